@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a Spark context, so that Python stages can import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cleanframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        target = Path(tempfile.mkdtemp(prefix="cleanframe-")) / "cleanframe.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(target))
+    sc._cleanframe_shipped = True
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -89,6 +106,7 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     the id. Otherwise rows are numbered by (id with nulls last, text), so repeated ids and null ids are rows of
     their own with a fixed order. Only the two named columns are read: extra columns can't clash.
     """
+    ship(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     if isinstance(rows.schema["_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         counts = rows.groupBy("_id").count()

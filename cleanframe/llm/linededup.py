@@ -91,3 +91,26 @@ def deduped_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     out = _with_runs(rows, min_chars, min_docs)
     kept = F.when(F.size("_dropped") == 0, F.coalesce("_text", F.lit(""))).otherwise(apply_runs(F.col("_text"), F.col("_runs")))
     return out.select(F.col("_id").alias(id_col), F.col("_n").cast("long").alias("n_lines"), F.size("_dropped").cast("long").alias("n_dropped"), kept.alias("kept"))
+
+
+def deduped_rows(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, with their texts less the repeated lines (null texts stay null).
+
+    Where ids are unique, rows find their decisions by id. Otherwise by id and a digest of the text: rows that
+    share both are told apart by nothing, so that of such rows one decision, the last one's, holds for all.
+    """
+    rows, plain = keyed(df, id_col, text_col)
+    drops = written(_decisions(rows, min_chars, min_docs), "drops")
+    few = (drops.agg(F.sum(F.size("_dropped") + 4)).first()[0] or 0) <= BROADCAST_POSITIONS
+    text = F.col(f"`{text_col}`")
+    if plain:
+        found = drops.select(F.col("_k").alias("__key"), "_dropped")
+        base = df.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
+    else:
+        mark = lambda i, t: F.sha2(F.to_json(F.struct(i.cast("string").alias("i"), t.cast("string").alias("t"))).cast("binary"), 256)
+        last = rows.withColumn("__key", mark(F.col("_id"), F.col("_text"))).groupBy("__key").agg(F.max("_k").alias("_k"))
+        found = last.join(drops, "_k").select("__key", "_dropped")
+        base = df.withColumn("__key", mark(F.col(f"`{id_col}`"), text))
+    out = base.join(F.broadcast(found) if few else found, "__key", "left")
+    kept = F.when(F.col("_dropped").isNull() | text.isNull(), text.cast("string")).otherwise(apply_runs(text, keep_runs(F.size(lines_of(text)), F.col("_dropped"))))
+    return out.withColumn(text_col, kept).select(*[f"`{c}`" for c in df.columns])

@@ -18,6 +18,8 @@ from cleanframe.llm.components import components
 
 #: Shingles whose bits are unpacked at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 15
+#: Ids of rows to drop are broadcast up to so many (8 MB); beyond that they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(text: bytes, ngram: int) -> list[bytes]:
@@ -137,19 +139,10 @@ def _jaccard(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(like, pa.float64())], ["u", "v", "like"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, longs: int = 4) -> DataFrame:
-    """`id, group_id`: rows in groups of near copies (Jaccard of word n-grams >= similarity); alone: own id.
-
-    1. Fingerprints of 64 * longs bits; equal ones are one node, so exact copies cost one row however many
-    they are. 2. Segments of 21 or 22 bits, within one bit, find candidates. The bits that differ estimate the angle between the texts; pairs are kept up to two and a
-    half standard deviations beyond the angle of `similarity`, which finds over 0.9 of pairs at similarity 0.85
-    and over 0.98 at 0.9 (measured in the tests). 3. Pairs two and a half deviations on the near side are links;
-    those between, where they would join different groups, are verified on whole texts. 4. Groups are the
-    connected components, named by their smallest id. Null and blank texts are copies of each other.
-    """
+def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataFrame:
+    """`_k, _c`: the group of each row of `_k, _text`; see `near_duplicates`."""
     from math import acos, pi, sqrt
 
-    rows, plain = keyed(df, id_col, text_col)
     bits = 64 * longs
     share = acos(2 * similarity / (1 + similarity)) / pi
     margin = 2.5 * sqrt(bits * share * (1 - share))
@@ -169,8 +162,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = pairs.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, ngram), "u long, v long, like double").where(F.col("like") >= similarity)
     linked = links.where(F.col("d") <= sure).select("u", "v").union(alike.select("u", "v"))
     named = nodes.join(components(linked), F.col("u") == F.col("node"), "left").select(F.col("f").alias("_f"), F.coalesce("root", "u").alias("_c"))
-    out = marks.join(named, "_f").select("_k", "_c")
+    return marks.join(named, "_f").select("_k", "_c")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, longs: int = 4) -> DataFrame:
+    """`id, group_id`: rows in groups of near copies (Jaccard of word n-grams >= similarity); alone: own id.
+
+    1. Fingerprints of 64 * longs bits; equal ones are one node, so exact copies cost one row however many
+    they are. 2. Segments of 21 or 22 bits, within one bit, find candidates. The bits that differ estimate the angle between the texts; pairs are kept up to two and a
+    half standard deviations beyond the angle of `similarity`, which finds over 0.9 of pairs at similarity 0.85
+    and over 0.98 at 0.9 (measured in the tests). 3. Pairs two and a half deviations on the near side are links;
+    those between, where they would join different groups, are verified on whole texts. 4. Groups are the
+    connected components, named by their smallest id. Null and blank texts are copies of each other.
+    """
+    rows, plain = keyed(df, id_col, text_col)
+    out = _groups(rows, ngram, similarity, longs)
     if plain:
         return out.select(F.col("_k").alias(id_col), F.col("_c").alias("group_id"))
     ids = rows.select("_k", "_id")
     return out.join(ids, "_k").join(ids.select(F.col("_k").alias("_c"), F.col("_id").alias("group_id")), "_c").select(F.col("_id").alias(id_col), "group_id")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, longs: int = 4) -> DataFrame:
+    """The rows of `df`, all columns, less the near copies: of each group of `near_duplicates`, the first row stays.
+
+    Where ids repeat or are null, rows are found again by id and a digest of the text, and one of the rows that
+    share both stays.
+    """
+    rows, plain = keyed(df, id_col, text_col)
+    gone = written(_groups(rows, ngram, similarity, longs).where("_k <> _c").select("_k"), "gone")
+    if plain:
+        drop = gone.select(F.col("_k").alias("__key"))
+        base = df.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
+    else:
+        mark = lambda i, t: F.sha2(F.to_json(F.struct(i.cast("string").alias("i"), t.cast("string").alias("t"))).cast("binary"), 256)
+        own = rows.withColumn("__key", mark(F.col("_id"), F.col("_text")))
+        stay = own.join(gone, "_k", "left_anti").select("__key").distinct()
+        base = df.withColumn("__key", mark(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).dropDuplicates(["__key"])
+        return base.join(stay, "__key", "left_semi").select(*[f"`{c}`" for c in df.columns])
+    if gone.count() <= BROADCAST_IDS:
+        drop = F.broadcast(drop)
+    return base.join(drop, "__key", "left_anti").select(*[f"`{c}`" for c in df.columns])
