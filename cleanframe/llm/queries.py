@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import decontam, fingerprint, langid, linededup, neardup, segment
+from cleanframe.llm import debruijn, decontam, fingerprint, langid, linededup, neardup, segment, warc
 from cleanframe.llm.common import fold
 
 
@@ -38,6 +38,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeat_digests(table(spark, sf_dir, "documents"), window=20)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def piece_model() -> str:
     """The public piece vocabulary on this machine; the operators take any model file."""
     import public_tokenizers
@@ -55,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_language_id": op5_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
@@ -70,4 +80,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             v AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+             f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM v),
+             g AS (SELECT DISTINCT doc_id, i + j AS p FROM f, range(20) AS t(j) WHERE r > 1),
+             x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+             y AS (SELECT x.doc_id, x.p, x.w[x.p] AS word, g.p IS NOT NULL AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.p = x.p),
+             z AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM y GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(z.n_removed, 0) AS n_removed, sha256(coalesce(z.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN z USING (doc_id)""",
+    "op9_warc": """
+        WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+             b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     1 + (((('0x' || substr(x, 1 + 5 * (i // 4)::INT, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest FROM h),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS origin FROM b)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN origin <> page_id THEN origin END AS refers_to FROM f""",
 }
