@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import debruijn, decontam, fingerprint, langid, linededup, neardup, segment, warc
+from cleanframe.llm import debruijn, decontam, fingerprint, hmm, langid, linededup, neardup, segment, warc
 from cleanframe.llm.common import fold
 
 
@@ -42,6 +42,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeat_digests(table(spark, sf_dir, "documents"), window=20)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
