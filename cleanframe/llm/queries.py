@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import debruijn, decontam, fingerprint, hmm, langid, linededup, neardup, segment, warc
+from cleanframe.llm import debruijn, decontam, fingerprint, hmm, langid, linededup, neardup, segment, toxic, warc
 from cleanframe.llm.common import fold
 
 
@@ -38,6 +38,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxic.score(docs, toxic.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeat_digests(table(spark, sf_dir, "documents"), window=20)
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
