@@ -27,10 +27,12 @@ PART = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 #: Cumulative probabilities and draws lie on this grid (draws between its points), so that adding a node's number
-#: below 2**21 is exact and a draw is the same wherever the node is stored.
+#: below 2**22 is exact and a draw is the same wherever the node is stored.
 GRID = 2.0**-30
+#: Probability, for all practical purposes none, of what is left of a chunk's ways.
+SURE = 1e-12
 #: Distinct chunks whose lattices a task keeps.
-KEPT = 150_000
+KEPT = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,10 +71,15 @@ class Vocabulary:
         rank = np.array([-model.get_score(i) if model.get_score(i) > -1e8 else i for i in normal])
         total = np.log(np.sum(1 / (rank + 10)))
         self.unknown = float(-np.log(n + 10) - total)
-        by_length: dict[int, list] = {}
+        entries: dict[str, tuple[int, float]] = {}
         for i, r in zip(normal, rank.tolist(), strict=True):
             p = self.pieces[i]
-            by_length.setdefault(len(p), []).append((self.hash(p), i, -np.log(r + 10) - total))
+            entries[p] = (i, -np.log(r + 10) - total)
+            for cut in range(1, len(p)):  # beginnings of pieces, so that a look-up ends where no piece goes on
+                entries.setdefault(p[:cut], (-1, 0.0))
+        by_length: dict[int, list] = {}
+        for p, (i, logp) in entries.items():
+            by_length.setdefault(len(p), []).append((self.hash(p), i, logp))
         self.tables = {}
         for length, rows in by_length.items():
             rows.sort()
@@ -119,7 +126,8 @@ class Lattice:
         self.nodes = 0
         self.first, self.last, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.start, self.end, self.piece = (np.zeros(0, np.int32) for _ in range(3))
-        self.q, self.cum = np.zeros(0), np.zeros(0)
+        self.q, self.cum, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.main_begin, self.main_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def numbers(self, words: list[list[str]]) -> np.ndarray:
         """The numbers of all chunks, adding those that are new."""
@@ -128,7 +136,7 @@ class Lattice:
             self.clear()
             fresh = {w for ws in words for w in ws}
         if fresh:
-            self._add(sorted(fresh))
+            self._add(list(fresh))
         get = self.number.__getitem__
         return np.array([n for ws in words for n in map(get, ws)], np.int64)
 
@@ -152,17 +160,17 @@ class Lattice:
             if not len(live):
                 break
             h = h * MULTIPLIER + code[live + length - 1]
-            if length not in vocab.tables:
-                continue
             keys, ids, logp = vocab.tables[length]
             spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[spot] == h
-            starts.append(node[live[hit]])
-            ends.append(node[live[hit]] + length)
-            pieces.append(ids[spot[hit]])
-            scores.append(logp[spot[hit]])
+            live, h, spot = live[hit], h[hit], spot[hit]
+            whole = ids[spot] >= 0
+            starts.append(node[live[whole]])
+            ends.append(node[live[whole]] + length)
+            pieces.append(ids[spot[whole]])
+            scores.append(logp[spot[whole]])
             if length == 1:
-                single[live[hit]] = True
+                single[live[whole]] = True
         alone = np.flatnonzero(~single)
         if len(alone):
             starts.append(node[alone])
@@ -189,41 +197,88 @@ class Lattice:
         # cumulative within a node, above the node's number: one sorted array to look all draws up in
         cum = np.round(np.minimum(sums[1:] - sums[begin[end]], 1.0) / GRID) * GRID
         cum[begin[1:][begin[1:] > begin[:-1]] - 1] = 1.0
+        # probability of the main path, of the likeliest arcs, from each node back to its chunk's first
+        rest = np.ones(nodes)
+        by_place = np.argsort(place, kind="stable")
+        levels = np.searchsorted(place[by_place], np.arange(1, place.max() + 2))
+        for a, b in zip(levels[:-1], levels[1:], strict=True):
+            at = by_place[a:b]
+            rest[at] = q[begin[at]] * rest[start[begin[at]]]
         join = lambda a, b: np.concatenate((a, b.astype(a.dtype)))
         arcs = len(self.start)
         self.first, self.last = join(self.first, first + self.nodes), join(self.last, first + size + self.nodes)
         self.begin = join(self.begin[:-1], begin + arcs)
         self.start, self.end = join(self.start, start + self.nodes), join(self.end, end + self.nodes)
         self.piece, self.q = join(self.piece, np.concatenate([p.astype(np.int64) for p in pieces])[order]), join(self.q, q)
-        self.cum = join(self.cum, cum + end + self.nodes)
+        self.cum, self.rest = join(self.cum, cum + end + self.nodes), join(self.rest, rest)
         self.nodes += nodes
-
-    def walk(self, at: np.ndarray, chunk: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(walker, step, arc) of walks from nodes `at` back to their chunks' first nodes; `draw(walkers, step)`."""
+        fresh = np.arange(len(self.first) - len(words), len(self.first))
+        who, step, arc = self._walk(self.last[fresh], fresh, None)
+        _, arcs = _ordered(who, step, arc, len(words))
+        ids, owner = self.ids(_reversed(np.sort(who), arcs), np.sort(who))
+        self.main_begin = join(self.main_begin, self.main_begin[-1] + np.cumsum(np.bincount(owner, minlength=len(words))))
+        self.main_ids = join(self.main_ids, ids)
+
+    def _walk(self, at: np.ndarray, chunk: np.ndarray, draw, off: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(walker, step, arc) of walks from nodes `at` back to their chunks' first nodes.
+
+        `draw(walkers, step)` gives uniform numbers; without it all walks take the main path. With `off`, they must
+        leave it: at a node still on it, the share of the draws that would stay to the end is left out.
+        """
         who, steps, arcs = [], [], []
         live, node, step = np.arange(len(at)), at, 0
         home = self.first[chunk]
         keep = node > home
         live, node = live[keep], node[keep]
+        on = np.full(len(live), off)
         while len(live):
             arc = self.begin[node]
-            x = node + draw(live, step)
-            more = np.flatnonzero(x >= self.cum[arc])
-            arc[more] = np.searchsorted(self.cum, x[more], side="right")
+            if draw is not None:
+                u, top = draw(live, step), self.cum[arc] - node
+                if off and on.any():
+                    stay = self.rest[node]
+                    x = np.where(on, stay + u * (1 - stay), u)
+                    # where the rest of the path is sure, only another arc leaves it
+                    u = np.where(on & (self.rest[self.start[arc]] > 1 - 2 * GRID), np.maximum(x, top), x)
+                more = np.flatnonzero(u >= top)
+                more = more[self.begin[node[more] + 1] - arc[more] > 1]
+                found = np.searchsorted(self.cum, node[more] + u[more], side="right")
+                arc[more] = np.minimum(found, self.begin[node[more] + 1] - 1)
+                on[more] = False
             who.append(live)
             steps.append(np.full(len(live), step))
             arcs.append(arc)
             node = self.start[arc]
             keep = node > home[live]
-            live, node = live[keep], node[keep]
+            live, node, on = live[keep], node[keep], on[keep]
             step += 1
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, steps, arcs))
 
-    def ids(self, arcs: np.ndarray) -> np.ndarray:
+    def ids(self, arcs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of arcs, and their owners; characters without a piece give an id for each byte."""
         p = self.piece[arcs]
-        if not (p < 0).any():
-            return p
-        return np.array([i for x in p.tolist() for i in ([x] if x >= 0 else self.spelled[x])], np.int64)
+        if (p < 0).any():
+            count = np.array([1 if x >= 0 else len(self.spelled[x]) for x in p.tolist()])
+            return np.array([i for x in p.tolist() for i in ([x] if x >= 0 else self.spelled[x])], np.int64), np.repeat(owner, count)
+        return p, owner
+
+
+def _ordered(owner: np.ndarray, step: np.ndarray, arc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, arc) by owner and step."""
+    count = np.bincount(owner, minlength=n)
+    offset = np.concatenate(([0], np.cumsum(count)))
+    out = np.empty(len(arc), np.int64)
+    out[offset[owner] + step] = arc
+    return np.repeat(np.arange(n), count), out
+
+
+def _reversed(owner: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x with the run of each owner turned round: walks go from a chunk's end."""
+    if not len(x):
+        return x
+    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    count = np.diff(np.concatenate((edge, [len(x)])))
+    return x[np.repeat(2 * edge + count - 1, count) - np.arange(len(x))]
 
 
 def _forward(place: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, plus: np.ufunc) -> np.ndarray:
@@ -247,14 +302,28 @@ def _truncated(mu: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(mu), -np.inf, np.where(np.isnan(g) | (g > top), top, g))
 
 
+class Sample:
+    """A segmentation of each text of a part: chunks on their main path, but for those of `off` (sorted), whose
+    arcs are listed in the walk's order; `logp` of each chunk; `g`: the values of the sets that leave it there."""
+
+    def __init__(self, logp: np.ndarray, off: np.ndarray, owner: np.ndarray, arcs: np.ndarray) -> None:
+        self.logp, self.off, self.owner, self.arcs = logp, off, owner, arcs
+        self.g = self.prefix = np.zeros(0)
+        self.gone: dict[int, list[tuple[int, ...]]] = {}
+
+    def path(self, token: int) -> tuple[int, ...]:
+        a, b = np.searchsorted(self.owner, (token, token + 1))
+        return tuple(self.arcs[a:b].tolist())
+
+
 class Sampler:
     """Gumbel top-k without replacement over the segmentations of several texts at once.
 
     A segmentation's perturbed value is its log probability plus a Gumbel; the k largest are k distinct samples.
     The search is A*: the set of all segmentations has its largest value drawn first; the sample that attains
-    it is drawn by walking the lattice; the rest splits into the sets that leave the sample's walk at some arc,
-    whose largest values are Gumbels of their log mass, truncated at the set's own. The best set is split next.
-    The walk's order is left to right over chunks and right to left in a chunk.
+    it is drawn from the lattice; the rest splits into the sets that agree with the sample up to some chunk
+    and differ there, whose largest values are Gumbels of their log mass, truncated at the set's own. The best
+    set is split next. Ways through a chunk that have less than SURE of its probability together count as none.
     """
 
     def __init__(self, lattice: Lattice, texts: list[str], seeds: list[int], k: int) -> None:
@@ -263,17 +332,15 @@ class Sampler:
         self.chunk = lattice.numbers(words)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
         self.begin = np.concatenate(([0], np.cumsum(self.n)))
+        self.place = np.arange(len(self.chunk)) - self.begin[self.doc]
         self.seed = mixed(np.array([s & MASK for s in seeds], np.uint64))
         self.k = k
         self.lattice = lattice
-
-    def _draw(self, tokens: np.ndarray, round_: int, shift: np.ndarray | None = None):
-        place = (tokens - self.begin[self.doc[tokens]]) << 14
-        seed = self.seed[self.doc[tokens]] ^ np.uint64(2 * round_ + 1)
-        return lambda live, step: uniform(seed[live], place[live] + step + (0 if shift is None else shift[live]))
-
-    def _walks(self, tokens: np.ndarray, at: np.ndarray, round_: int, shift: np.ndarray | None = None):
-        return self.lattice.walk(at, self.chunk[tokens], self._draw(tokens, round_, shift))
+        if len(self.chunk):
+            main = lattice.rest[lattice.last]
+            with np.errstate(divide="ignore"):
+                self.main = main[self.chunk]
+                self.main_log = np.log(main)[self.chunk]
 
     def run(self) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text, its samples in the order drawn: (piece ids, log probability, perturbed value).
@@ -282,132 +349,139 @@ class Sampler:
         where all segmentations were drawn.
         """
         docs = len(self.n)
-        none = np.zeros(0, np.int64)
         if not len(self.chunk):
-            return [[(none, 0.0, np.inf), (None, np.nan, -np.inf)] for _ in range(docs)]
-        lat = self.lattice
-        tokens = np.arange(len(self.chunk))
-        who, step, arc = self._walks(tokens, lat.last[self.chunk], 0)
-        sample = self._ordered(who, step, arc)
-        all_docs = np.arange(docs)
-        top = -np.log(-np.log(uniform(self.seed ^ np.uint64(1 << 40), all_docs * 0)))
-        families = [self._family(sample, top, np.zeros(docs, np.int64), np.zeros(docs), all_docs, 0)]
-        out = [[(*self._emit(families[0], d), float(top[d]))] for d in range(docs)]
-        live = all_docs
+            return [[(np.zeros(0, np.int64), 0.0, np.inf), (None, np.nan, -np.inf)] for _ in range(docs)]
+        everyone = np.arange(docs)
+        top = -np.log(-np.log(uniform(self.seed ^ np.uint64(1 << 40), everyone * 0)))
+        samples = [self._sets(self._fresh(np.arange(len(self.chunk)), 0), top, self.begin[:-1], 0)]
+        out = [[x] for x in self._emit(samples[0], everyone, top)]
+        live = everyone
         for r in range(1, self.k + 1):
-            best = np.full(docs, -np.inf)
-            pick = np.full(docs, -1)
-            for f, family in enumerate(families):
-                m = family["max"]()
-                better = m > best
-                best, pick = np.where(better, m, best), np.where(better, f, pick)
-            live = live[best[live] > -np.inf]
-            for d in np.setdiff1d(all_docs, live):
-                if out[d][-1][0] is not None:
-                    out[d].append((None, np.nan, -np.inf))
+            best, pick = np.full(docs, -np.inf), np.full(docs, -1)
+            for f, sample in enumerate(samples):
+                most = np.full(docs, -np.inf)
+                some = self.n > 0
+                most[some] = np.maximum.reduceat(sample.g, self.begin[:-1][some])
+                better = most > best
+                best, pick = np.where(better, most, best), np.where(better, f, pick)
+            for d in live[np.isneginf(best[live])].tolist():
+                out[d].append((None, np.nan, -np.inf))
+            live = live[~np.isneginf(best[live])]
             if r == self.k:
-                for d in live:
+                for d in live.tolist():
                     out[d].append((None, np.nan, float(best[d])))
-                break
-            if not len(live):
-                break
-            families.append(self._split(families, pick, best, live, r))
-            for d in live:
-                out[d].append((*self._emit(families[-1], d), float(best[d])))
+            elif len(live):
+                samples.append(self._split(samples, pick, best, live, r))
+                for d, x in zip(live.tolist(), self._emit(samples[-1], live, best), strict=True):
+                    out[d].append(x)
         return out
 
-    def _ordered(self, token: np.ndarray, step: np.ndarray, arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, arc) of all arcs, by token and step."""
-        count = np.bincount(token, minlength=len(self.chunk))
-        offset = np.concatenate(([0], np.cumsum(count)))
-        arcs = np.empty(len(arc), np.int64)
-        arcs[offset[token] + step] = arc
-        return np.repeat(np.arange(len(self.chunk)), count), arcs
-
-    def _family(self, sample, top, fixed, base, docs, round_) -> dict:
-        """A drawn sample of each text and the sets that leave it after its first `fixed` arcs."""
-        token, arc = sample
-        doc = self.doc[token]
-        n = np.bincount(doc, minlength=len(self.n))
-        begin = np.concatenate(([0], np.cumsum(n)))
-        q = self.lattice.q[arc]
-        logq = np.log(q)
-        run = np.cumsum(logq)
-        prefix = run - logq - np.concatenate(([0.0], run))[begin[:-1]][doc]
-        place = np.arange(len(arc)) - begin[doc]
-        size = self.lattice.begin[self.lattice.end[arc] + 1] - self.lattice.begin[self.lattice.end[arc]]
+    def _fresh(self, tokens: np.ndarray, round_: int) -> Sample:
+        """Draws the chunks `tokens` anew; others keep the main path."""
+        lat = self.lattice
+        seed = self.seed[self.doc[tokens]] ^ np.uint64(2 * round_ + 1)
+        leave = tokens[uniform(seed, self.place[tokens] << 14) >= self.main[tokens]]
+        place, seed = (self.place[leave] << 14) + 1, self.seed[self.doc[leave]] ^ np.uint64(2 * round_ + 1)
+        who, step, arc = lat._walk(lat.last[self.chunk[leave]], self.chunk[leave], lambda live, t: uniform(seed[live], place[live] + t), off=True)
+        owner, arcs = _ordered(who, step, arc, len(leave))
+        logp = self.main_log.copy()
+        logp[leave] = np.bincount(owner, np.log(lat.q[arcs]), minlength=len(leave))
+        return Sample(logp, leave, leave[owner], arcs)
+
+    def _sets(self, sample: Sample, top: np.ndarray, since: np.ndarray, round_: int) -> Sample:
+        """Values of the sets that leave the sample at a chunk from `since` on, below its own value `top`."""
+        run = np.cumsum(sample.logp)
+        before = np.concatenate(([0.0], run))[self.begin[:-1]]
+        sample.prefix = run - sample.logp - before[self.doc]
+        sample.total = np.concatenate(([0.0], run))[self.begin[1:]] - before
+        other = -np.expm1(sample.logp)
         with np.errstate(divide="ignore"):
-            mu = prefix + np.where((size > 1) & (place >= fixed[doc]), np.log1p(-q), -np.inf)
-        u = uniform(self.seed[doc] ^ np.uint64((2 * round_ + 2) << 20), place)
-        g = _truncated(mu, top[doc], u)
-        family = {"token": token, "arc": arc, "begin": begin, "prefix": prefix, "g": g, "left": {}}
-
-        def most() -> np.ndarray:
-            m = np.full(len(n), -np.inf)
-            some = n > 0
-            if some.any():
-                m[some] = np.maximum.reduceat(family["g"], begin[:-1][some])
-            return m
-
-        family["max"] = most
-        family["logp"] = np.where(n > 0, np.concatenate(([0.0], run))[begin[1:]] - np.concatenate(([0.0], run))[begin[:-1]], 0.0)
-        return family
-
-    def _emit(self, family: dict, d: int) -> tuple[np.ndarray, float]:
-        a, b = family["begin"][d], family["begin"][d + 1]
-        token, arc = family["token"][a:b], family["arc"][a:b]
-        # arcs of a chunk were walked from its end
-        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if b > a else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate((edge, [b - a])))
-        back = np.repeat(2 * edge + count - 1, count) - np.arange(b - a)
-        return self.lattice.ids(arc[back]), float(family["logp"][d])
-
-    def _split(self, families, pick, best, live, round_) -> dict:
+            mu = sample.prefix + np.where((other > SURE) & (np.arange(len(run)) >= since[self.doc]), np.log(other), -np.inf)
+        sample.g = _truncated(mu, top[self.doc], uniform(self.seed[self.doc] ^ np.uint64((2 * round_ + 2) << 20), self.place))
+        return sample
+
+    def _other(self, chunk: int, gone: list[tuple[int, ...]], draw) -> tuple[int, ...]:
+        """A way through a chunk that is none of `gone`, by its probability among those left."""
+        lat = self.lattice
+        node, path, left = int(lat.last[chunk]), [], [(p, 0) for p in gone]
+        while node > lat.first[chunk]:
+            a, b = int(lat.begin[node]), int(lat.begin[node + 1])
+            w = lat.q[a:b].copy()
+            for p, i in left:
+                w[p[i] - a] -= np.prod(lat.q[list(p[i:])])
+            w = np.maximum(w, 0)
+            x = draw(len(path)) * w.sum()
+            arc = a + min(b - a - 1, int(np.searchsorted(np.cumsum(w), x, side="right")))
+            if w[arc - a] <= 0:
+                arc = a + int(np.argmax(w))
+            left = [(p, i + 1) for p, i in left if p[i] == arc]
+            path.append(arc)
+            node = int(lat.start[arc])
+        return tuple(path)
+
+    def _main(self, chunk: int) -> tuple[int, ...]:
+        lat, path = self.lattice, []
+        node = int(lat.last[chunk])
+        while node > lat.first[chunk]:
+            path.append(int(lat.begin[node]))
+            node = int(lat.start[path[-1]])
+        return tuple(path)
+
+    def _split(self, samples: list[Sample], pick: np.ndarray, best: np.ndarray, live: np.ndarray, round_: int) -> Sample:
         """Draws the best set's sample for each text of `live`, and what is left of that set."""
         lat = self.lattice
-        kept_t, kept_a, open_tokens, open_at, open_shift, forced = [], [], [], [], [], []
-        fixed = np.zeros(len(self.n), np.int64)
+        since = np.full(len(self.n), len(self.chunk))
+        kept, forced = [], []
         for d in live.tolist():
-            family = families[pick[d]]
-            a, b = family["begin"][d], family["begin"][d + 1]
-            t = a + int(np.argmax(family["g"][a:b]))
-            token, arc = int(family["token"][t]), int(family["arc"][t])
-            gone = family["left"].setdefault(t, [arc])
-            node = lat.end[arc]
-            arcs = np.arange(lat.begin[node], lat.begin[node + 1])
-            free = arcs[~np.isin(arcs, gone)]
-            w = lat.q[free]
-            u = float(uniform(self.seed[d : d + 1] ^ np.uint64((round_ + 1) << 50), np.array([t - a]))[0])
-            new = int(free[min(len(free) - 1, int(np.searchsorted(np.cumsum(w), u * w.sum(), side="right")))])
+            sample = samples[pick[d]]
+            a, b = self.begin[d], self.begin[d + 1]
+            t = int(a + np.argmax(sample.g[a:b]))
+            chunk = int(self.chunk[t])
+            gone = sample.gone.get(t)
+            if gone is None:
+                gone = sample.gone[t] = [sample.path(t) or self._main(chunk)]
+            seed = self.seed[d : d + 1] ^ np.uint64((round_ + 1) << 50)
+            new = self._other(chunk, gone, lambda i, s=seed, q=(t - a) << 14: float(uniform(s, np.array([q + i]))[0]))
             gone.append(new)
-            rest = float(lat.q[np.setdiff1d(free, [new])].sum())
-            mu = family["prefix"][t] + (np.log(rest) if rest > 0 else -np.inf)
-            v = uniform(self.seed[d : d + 1] ^ np.uint64((round_ + 1) << 54), np.array([t - a]))
-            family["g"][t] = _truncated(np.array([mu]), np.array([best[d]]), v)[0]
-            kept_t.append(family["token"][a:t])
-            kept_a.append(family["arc"][a:t])
-            forced.append((token, new))
-            done = t - int(np.searchsorted(family["token"][a:b], token)) - a
-            fixed[d] = t - a + 1
-            open_tokens.append(np.arange(token, self.begin[d + 1]))
-            at = lat.last[self.chunk[open_tokens[-1]]].copy()
-            at[0] = lat.start[new]
-            open_at.append(at)
-            shift = np.zeros(len(at), np.int64)
-            shift[0] = done + 1
-            open_shift.append(shift)
-        tokens, at, shift = np.concatenate(open_tokens), np.concatenate(open_at), np.concatenate(open_shift)
-        who, step, arc = self._walks(tokens, at, round_, shift)
-        old_t, old_a = np.concatenate(kept_t), np.concatenate(kept_a)
-        new_t, new_a = np.array([f[0] for f in forced]), np.array([f[1] for f in forced])
-        first = np.searchsorted(old_t, old_t)
-        done_at = np.zeros(len(self.chunk), np.int64)
-        done_at[tokens] = shift
-        token = np.concatenate((old_t, new_t, tokens[who]))
-        steps = np.concatenate((np.arange(len(old_t)) - first, done_at[new_t] - 1, step + shift[who]))
-        sample = self._ordered(token, steps, np.concatenate((old_a, new_a, arc)))
-        top = np.where(np.isin(np.arange(len(self.n)), live), best, -np.inf)
-        return self._family(sample, top, fixed, None, live, round_)
+            rest = 1 - sum(float(np.prod(lat.q[list(p)])) for p in gone)
+            mu = np.array([sample.prefix[t] + np.log(rest) if rest > SURE else -np.inf])
+            sample.g[t] = _truncated(mu, best[d : d + 1], uniform(seed ^ np.uint64(1 << 54), np.array([t - a])))[0]
+            lo, hi = np.searchsorted(sample.owner, (a, t))
+            kept.append((sample.logp[a:t], sample.owner[lo:hi], sample.arcs[lo:hi]))
+            forced.append((t, new))
+            since[d] = t + 1
+        tokens = np.concatenate([np.arange(since[d], self.begin[d + 1]) for d in live.tolist()])
+        fresh = self._fresh(tokens, round_)
+        for d, (t, new), (logp, _, _) in zip(live.tolist(), forced, kept, strict=True):
+            fresh.logp[self.begin[d] : t] = logp
+            fresh.logp[t] = np.log(lat.q[list(new)]).sum()
+        owner = np.concatenate([fresh.owner, *[k[1] for k in kept], *[np.full(len(p), t) for t, p in forced]])
+        arcs = np.concatenate([fresh.arcs, *[k[2] for k in kept], *[np.array(p, np.int64) for _, p in forced]])
+        order = np.argsort(owner, kind="stable")
+        fresh.owner, fresh.arcs = owner[order], arcs[order]
+        fresh.off = np.unique(fresh.owner)
+        return self._sets(fresh, np.where(since <= len(self.chunk), best, -np.inf), since, round_)
+
+    def _emit(self, sample: Sample, docs: np.ndarray, value: np.ndarray) -> list[tuple[np.ndarray, float, float]]:
+        """(piece ids, log probability, perturbed value) of the sample of each text."""
+        lat = self.lattice
+        ids, owner = lat.ids(_reversed(sample.owner, sample.arcs), sample.owner)
+        count = lat.main_begin[self.chunk + 1] - lat.main_begin[self.chunk]
+        own = np.bincount(owner, minlength=len(self.chunk))
+        count[sample.off] = own[sample.off]
+        end = np.cumsum(count)
+        offset = end - count
+        flat = np.empty(int(end[-1]), np.int64)
+        main = np.ones(len(self.chunk), bool)
+        main[sample.off] = False
+        c = count[main]
+        inner = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        flat[np.repeat(offset[main], c) + inner] = lat.main_ids[np.repeat(lat.main_begin[self.chunk[main]], c) + inner]
+        if len(ids):
+            o = own[sample.off]
+            flat[np.repeat(offset[sample.off], o) + np.arange(len(ids)) - np.repeat(np.cumsum(o) - o, o)] = ids
+        edge = np.concatenate(([0], end))[self.begin]
+        return [(flat[edge[d] : edge[d + 1]], float(sample.total[d]), float(value[d])) for d in docs.tolist()]
 
 
 def best_ids(lattice: Lattice, texts: list[str]) -> list[np.ndarray]:
@@ -430,7 +504,7 @@ def best_ids(lattice: Lattice, texts: list[str]) -> list[np.ndarray]:
         while node > a:
             path.append(-into[node - a])
             node = int(lattice.start[path[-1]])
-        paths[w] = lattice.ids(np.array(path[::-1], np.int64))
+        paths[w] = lattice.ids(np.array(path[::-1], np.int64), np.zeros(len(path), np.int64))[0]
     return [np.concatenate([paths[w] for w in ws]) if ws else np.zeros(0, np.int64) for ws in words]
 
 
