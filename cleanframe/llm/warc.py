@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -59,6 +60,16 @@ def transaction(key: int, page: str, url: str | None, payload: bytes, first: int
     return [request, capture, metadata]
 
 
+def unzipped(data: bytes) -> bytes:
+    """The bytes of an archive: gzip members, one or one for each record, are joined; others stay as they are."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        out += [z.decompress(data), z.flush()]
+        data = z.unused_data
+    return b"".join([*out, data])
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, by Content-Length alone: payloads may hold anything."""
     at = 0
@@ -119,7 +130,7 @@ def _records(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     for batch in batches:
         for data in batch.column("content").to_pylist():
             rows, size = [], 0
-            for headers, block in parse(data):
+            for headers, block in parse(unzipped(data)):
                 rows.append(row(headers, block))
                 size += len(block)
                 if size > 8 << 20:
@@ -129,8 +140,9 @@ def _records(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
-    """Writes three records a page to archives under `path`, with Spark's text writer (task commits and all).
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, compression: str = "gzip") -> None:
+    """Writes three records a page to archives under `path`, with Spark's text writer (task commits and all), gzipped
+    as whole files unless `compression` is none.
 
     Of equal payloads of at least `min_bytes` bytes (null: empty), the page with the smallest id holds the
     response and the others revisit it. The first of each digest comes from an aggregate over digests, joined
@@ -149,7 +161,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     firsts = marks.where(F.col("_size") >= min_bytes).groupBy("_digest").agg(F.min("_k").alias("_f"))
     known = marks.join(firsts, "_digest", "left").select("_k", F.when(F.col("_size") >= min_bytes, F.col("_f")).otherwise(F.col("_k")).alias("_first"))
     records = urls.join(known, "_k").select("_k", "_id", "_url", "_b", "_first").mapInArrow(_transactions, "value string")
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
