@@ -103,14 +103,17 @@ def deduped_rows(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     drops = written(_decisions(rows, min_chars, min_docs), "drops")
     few = (drops.agg(F.sum(F.size("_dropped") + 4)).first()[0] or 0) <= BROADCAST_POSITIONS
     text = F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
     if plain:
         found = drops.select(F.col("_k").alias("__key"), "_dropped")
-        base = df.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
+        key = F.col(f"`{id_col}`").cast("long")
     else:
         mark = lambda i, t: F.sha2(F.to_json(F.struct(i.cast("string").alias("i"), t.cast("string").alias("t"))).cast("binary"), 256)
         last = rows.withColumn("__key", mark(F.col("_id"), F.col("_text"))).groupBy("__key").agg(F.max("_k").alias("_k"))
         found = last.join(drops, "_k").select("__key", "_dropped")
-        base = df.withColumn("__key", mark(F.col(f"`{id_col}`"), text))
-    out = base.join(F.broadcast(found) if few else found, "__key", "left")
+        key = mark(F.col(f"`{id_col}`"), text)
+    # the row goes as one struct, so that no column of its own can clash
+    out = df.select(row, key.alias("__key")).join(F.broadcast(found) if few else found, "__key", "left")
+    text = F.col("__row")[text_col]
     kept = F.when(F.col("_dropped").isNull() | text.isNull(), text.cast("string")).otherwise(apply_runs(text, keep_runs(F.size(lines_of(text)), F.col("_dropped"))))
-    return out.withColumn(text_col, kept).select(*[f"`{c}`" for c in df.columns])
+    return out.select(*[(kept if c == text_col else F.col("__row")[c]).alias(c) for c in df.columns])

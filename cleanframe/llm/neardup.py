@@ -192,14 +192,14 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     rows, plain = keyed(df, id_col, text_col)
     gone = written(_groups(rows, ngram, similarity, longs).where("_k <> _c").select("_k"), "gone")
     if plain:
-        drop = gone.select(F.col("_k").alias("__key"))
-        base = df.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
+        drop = gone.select(F.col("_k").alias("__cleanframe_key"))
+        base = df.withColumn("__cleanframe_key", F.col(f"`{id_col}`").cast("long"))
     else:
         mark = lambda i, t: F.sha2(F.to_json(F.struct(i.cast("string").alias("i"), t.cast("string").alias("t"))).cast("binary"), 256)
-        own = rows.withColumn("__key", mark(F.col("_id"), F.col("_text")))
-        stay = own.join(gone, "_k", "left_anti").select("__key").distinct()
-        base = df.withColumn("__key", mark(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).dropDuplicates(["__key"])
-        return base.join(stay, "__key", "left_semi").select(*[f"`{c}`" for c in df.columns])
+        own = rows.withColumn("__cleanframe_key", mark(F.col("_id"), F.col("_text")))
+        stay = own.join(gone, "_k", "left_anti").select("__cleanframe_key").distinct()
+        base = df.withColumn("__cleanframe_key", mark(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).dropDuplicates(["__cleanframe_key"])
+        return base.join(stay, "__cleanframe_key", "left_semi").select(*[f"`{c}`" for c in df.columns])
     if gone.count() <= BROADCAST_IDS:
         drop = F.broadcast(drop)
-    return base.join(drop, "__key", "left_anti").select(*[f"`{c}`" for c in df.columns])
+    return base.join(drop, "__cleanframe_key", "left_anti").select(*[f"`{c}`" for c in df.columns])
