@@ -51,26 +51,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Spark's switch to delete a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: it cuts the lineage, outlives executors, and is columnar.
 
-    The collection afterwards lets Spark drop the shuffle files of the finished job early.
+    The shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    release(spark)
+    path, before = fresh_path(spark, what), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no live plan refers to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by `written` that no later plan reads."""
     for df in tables:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cleanframe.llm.common import as_binary, dropped, keyed, written
 
-#: Odd multipliers of the two rolling hashes: together, 128 bits tell windows apart.
+#: Odd multipliers of the two rolling hashes: 64 bits of one and 32 of the other tell windows apart.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words whose hashes a task keeps.
@@ -63,13 +63,13 @@ def sliding(x: np.ndarray, size: int, least: np.ufunc) -> np.ndarray:
 class Words:
     """A text's words, their hashes, and the minimizers of its windows.
 
-    A window's minimizer is the least hash among the runs of half a window in it. Equal windows have equal
+    A window's minimizer is the least hash among the runs of three tenths of its length in it. Equal windows have equal
     minimizers, so a window whose minimizer occurs once in the corpus is not repeated.
     """
 
     def __init__(self, text: bytes, window: int, memo: Memo) -> None:
         self.words = text.split()
-        self.window, self.half = window, max(1, window // 2)
+        self.window, self.half = window, max(1, window * 3 // 10)
         self.n = len(self.words)
         if self.n >= window:
             # one power less than the window in each multiplier: the hashes differ by position
@@ -125,7 +125,7 @@ def _edges(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 for column, x in zip(out, (*w.edges(starts), np.full(len(starts), k, np.int64), starts), strict=True):
                     column.append(x)
             cols = [np.concatenate(c) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))], ["h", "g", "_k", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array((cols[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))], ["h", "g", "_k", "i"])
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def _deduped(df: DataFrame, window: int, digest: bool, id_col: str, text_col: st
     repeated = least.groupBy("m").count().where("count > 1").select("m")
     places = written(least.join(repeated, "m", "left_semi").groupBy("_k").agg(F.collect_list("p").alias("_places")), "places")
     dropped(least)
-    edges = texts.join(places, "_k").mapInArrow(partial(_edges, window), "h long, g long, _k long, i int")
+    edges = texts.join(places, "_k").mapInArrow(partial(_edges, window), "h long, g int, _k long, i int")
     firsts = edges.groupBy("h", "g").agg(F.min(F.struct("_k", "i")).alias("at"), F.count("*").alias("n"))
     sources = firsts.groupBy(F.col("at._k").alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col("at.i").alias("i"), "n"))).alias("_firsts"))
     paths = written(sources.mapInArrow(_paths, "_k long, _paths array<struct<start:int,edges:int,count:bigint>>"), "paths")
@@ -209,7 +209,7 @@ def without_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
 
     Windows are the edges of the corpus' de Bruijn graph. (1) Each text's minimizers are counted; only
     windows whose minimizer repeats go on, so that the words of most texts never leave their task. (2) Those
-    are grouped by 128 bits of hash to find each edge's first place and count, with partial sums for hot ones.
+    are grouped by 96 bits of hash to find each edge's first place and count, with partial sums for hot ones.
     (3) Edges that follow each other at their source and repeat equally often are compacted to paths by
     source, which (4) are joined to the texts: candidates that lie on no own path start earlier elsewhere.
     Null texts have no words. Rows with null or repeated ids are rows of their own, in `keyed`'s order.
