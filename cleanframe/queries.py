@@ -359,10 +359,10 @@ def profile_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- plans --------------------------------------------------------------------------------------------------
-@query("step_diff", f"""SELECT 'changed' AS change, count(*) AS cells FROM {EVENTS_SQL} WHERE event_type IS NULL AND user_id < 100 UNION ALL SELECT 'removed', count(*) FROM {EVENTS_SQL} WHERE user_id >= 100""")
+@query("step_diff", f"""SELECT 'changed' AS change, count(*) AS cells FROM {EVENTS_SQL} WHERE event_type IS NULL AND user_id < 10 HAVING count(*) > 0 UNION ALL SELECT 'removed', count(*) FROM {EVENTS_SQL} WHERE user_id >= 10 HAVING count(*) > 0""")
 def step_diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = events(spark, sf_dir).select("event_id", "user_id", "event_type")
-    after = Recipe().then("filterRows", filterModel={"filters": [on("user_id", ("lt", "100"))]}).then("fillMissingValues", column="event_type", replacement={"kind": "value", "value": "none"}).apply(before).df
+    after = Recipe().then("filterRows", filterModel={"filters": [on("user_id", ("lt", "10"))]}).then("fillMissingValues", column="event_type", replacement={"kind": "value", "value": "none"}).apply(before).df
     return diff_counts(step_diff(before, after, ["event_id"]))
 
 
