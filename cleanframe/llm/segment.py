@@ -31,6 +31,8 @@ MASK = (1 << 64) - 1
 GRID = 2.0**-30
 #: Probability, for all practical purposes none, of what is left of a chunk's ways.
 SURE = 1e-12
+#: Size of the table that tells most strings that are no piece before they are looked up.
+FILTER_BITS = 22
 #: Distinct chunks whose lattices a task keeps.
 KEPT = 250_000
 
@@ -71,21 +73,23 @@ class Vocabulary:
         rank = np.array([-model.get_score(i) if model.get_score(i) > -1e8 else i for i in normal])
         total = np.log(np.sum(1 / (rank + 10)))
         self.unknown = float(-np.log(n + 10) - total)
-        entries: dict[str, tuple[int, float]] = {}
+        by_length: dict[int, list] = {}
         for i, r in zip(normal, rank.tolist(), strict=True):
             p = self.pieces[i]
-            entries[p] = (i, -np.log(r + 10) - total)
-            for cut in range(1, len(p)):  # beginnings of pieces, so that a look-up ends where no piece goes on
-                entries.setdefault(p[:cut], (-1, 0.0))
-        by_length: dict[int, list] = {}
-        for p, (i, logp) in entries.items():
-            by_length.setdefault(len(p), []).append((self.hash(p), i, logp))
+            by_length.setdefault(len(p), []).append((self.hash(p), i, -np.log(r + 10) - total))
         self.tables = {}
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
         for length, rows in by_length.items():
             rows.sort()
-            self.tables[length] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]))
+            keys = np.array([r[0] for r in rows], np.uint64)
+            self.tables[length] = (keys, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]))
+            self.filter[self.slot(keys)] = True
         self.longest = max(self.tables)
 
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (h * MULTIPLIER) >> np.uint64(64 - FILTER_BITS)
+
     @staticmethod
     def hash(s: str) -> int:
         h = 0
@@ -142,45 +146,48 @@ class Lattice:
 
     def _add(self, words: list[str]) -> None:
         vocab = self.vocab
+        words.sort(key=len)
         for w in words:
             self.number[w] = len(self.number)
         size = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = flat.astype(np.uint64) + np.uint64(1)
-        at = np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
-        left = np.repeat(size, size) - at
-        node = np.repeat(first, size) + at
         starts, ends, pieces, scores = [], [], [], []
-        live, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
-        single = np.zeros(len(flat), bool)
-        for length in range(1, vocab.longest + 1):
-            fits = left[live] >= length
-            live, h = live[fits], h[fits]
-            if not len(live):
-                break
-            h = h * MULTIPLIER + code[live + length - 1]
-            keys, ids, logp = vocab.tables[length]
-            spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[spot] == h
-            live, h, spot = live[hit], h[hit], spot[hit]
-            whole = ids[spot] >= 0
-            starts.append(node[live[whole]])
-            ends.append(node[live[whole]] + length)
-            pieces.append(ids[spot[whole]])
-            scores.append(logp[spot[whole]])
-            if length == 1:
-                single[live[whole]] = True
-        alone = np.flatnonzero(~single)
-        if len(alone):
-            starts.append(node[alone])
-            ends.append(node[alone] + 1)
-            byte = np.array([vocab.byte_id[b] for b in range(128)])
-            c = flat[alone].astype(np.int64)
-            pieces.append(np.where(c < 128, byte[np.minimum(c, 127)], -1 - c))
-            scores.append(np.full(len(alone), vocab.unknown))
-            for x in set(c[c >= 128].tolist()):
-                self.spelled[-1 - x] = [vocab.byte_id[b] for b in (BLANK if x == ord(OWN_BLANK) else chr(x)).encode()]
+        byte = np.array([vocab.byte_id[b] for b in range(128)])
+        at = 0
+        for n, count in zip(*np.unique(size, return_counts=True), strict=True):
+            # all chunks of a length as rows: their substrings of a length are hashed in one step from those before
+            char = flat[at : at + n * count].reshape(count, n)
+            code = char.astype(np.uint64) + np.uint64(1)
+            node = first[np.searchsorted(size, n)] + np.arange(count)[:, None] * (n + 1) + np.arange(n)
+            h, single = np.zeros((count, n), np.uint64), np.zeros((count, n), bool)
+            for length in range(1, min(n, vocab.longest) + 1):
+                h = h[:, : n - length + 1] * MULTIPLIER + code[:, length - 1 :]
+                if length not in vocab.tables:
+                    continue
+                row, place = np.nonzero(vocab.filter[vocab.slot(h)])
+                keys, ids, logp = vocab.tables[length]
+                found = h[row, place]
+                spot = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                hit = keys[spot] == found
+                row, place, spot = row[hit], place[hit], spot[hit]
+                here = node[row, place]
+                starts.append(here)
+                ends.append(here + length)
+                pieces.append(ids[spot])
+                scores.append(logp[spot])
+                if length == 1:
+                    single[row, place] = True
+            row, place = np.nonzero(~single)
+            if len(row):
+                c = char[row, place].astype(np.int64)
+                starts.append(node[row, place])
+                ends.append(node[row, place] + 1)
+                pieces.append(np.where(c < 128, byte[np.minimum(c, 127)], -1 - c))
+                scores.append(np.full(len(c), vocab.unknown))
+                for x in set(c[c >= 128].tolist()):
+                    self.spelled[-1 - x] = [vocab.byte_id[b] for b in (BLANK if x == ord(OWN_BLANK) else chr(x)).encode()]
+            at += n * count
         start, end = np.concatenate(starts), np.concatenate(ends)
         order = np.argsort(end, kind="stable")
         start, end = start[order], end[order]
@@ -400,7 +407,7 @@ class Sampler:
         sample.g = _truncated(mu, top[self.doc], uniform(self.seed[self.doc] ^ np.uint64((2 * round_ + 2) << 20), self.place))
         return sample
 
-    def _other(self, chunk: int, gone: list[tuple[int, ...]], draw) -> tuple[int, ...]:
+    def _other(self, chunk: int, gone: list[tuple[int, ...]], draws: list[float]) -> tuple[int, ...]:
         """A way through a chunk that is none of `gone`, by its probability among those left."""
         lat = self.lattice
         node, path, left = int(lat.last[chunk]), [], [(p, 0) for p in gone]
@@ -410,7 +417,7 @@ class Sampler:
             for p, i in left:
                 w[p[i] - a] -= np.prod(lat.q[list(p[i:])])
             w = np.maximum(w, 0)
-            x = draw(len(path)) * w.sum()
+            x = draws[len(path)] * w.sum()
             arc = a + min(b - a - 1, int(np.searchsorted(np.cumsum(w), x, side="right")))
             if w[arc - a] <= 0:
                 arc = a + int(np.argmax(w))
@@ -432,24 +439,35 @@ class Sampler:
         lat = self.lattice
         since = np.full(len(self.n), len(self.chunk))
         kept, forced = [], []
-        for d in live.tolist():
-            sample = samples[pick[d]]
-            a, b = self.begin[d], self.begin[d + 1]
-            t = int(a + np.argmax(sample.g[a:b]))
-            chunk = int(self.chunk[t])
+        spot = np.zeros(len(self.n), np.int64)
+        for f, sample in enumerate(samples):
+            for d in live[pick[live] == f].tolist():
+                spot[d] = self.begin[d] + np.argmax(sample.g[self.begin[d] : self.begin[d + 1]])
+        at = spot[live]
+        size = (lat.last - lat.first)[self.chunk[at]]
+        owner = np.repeat(np.arange(len(live)), size)
+        seed = self.seed[live] ^ np.uint64((round_ + 1) << 50)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        draws = np.split(uniform(seed[owner], (self.place[at][owner] << 14) + within), np.cumsum(size)[:-1])
+        mu = np.full(len(live), -np.inf)
+        for j, (d, t) in enumerate(zip(live.tolist(), at.tolist(), strict=True)):
+            sample, a, chunk = samples[pick[d]], self.begin[d], int(self.chunk[t])
             gone = sample.gone.get(t)
             if gone is None:
                 gone = sample.gone[t] = [sample.path(t) or self._main(chunk)]
-            seed = self.seed[d : d + 1] ^ np.uint64((round_ + 1) << 50)
-            new = self._other(chunk, gone, lambda i, s=seed, q=(t - a) << 14: float(uniform(s, np.array([q + i]))[0]))
+            new = self._other(chunk, gone, draws[j].tolist())
             gone.append(new)
             rest = 1 - sum(float(np.prod(lat.q[list(p)])) for p in gone)
-            mu = np.array([sample.prefix[t] + np.log(rest) if rest > SURE else -np.inf])
-            sample.g[t] = _truncated(mu, best[d : d + 1], uniform(seed ^ np.uint64(1 << 54), np.array([t - a])))[0]
+            if rest > SURE:
+                mu[j] = sample.prefix[t] + np.log(rest)
             lo, hi = np.searchsorted(sample.owner, (a, t))
             kept.append((sample.logp[a:t], sample.owner[lo:hi], sample.arcs[lo:hi]))
             forced.append((t, new))
             since[d] = t + 1
+        left = _truncated(mu, best[live], uniform(seed ^ np.uint64(1 << 54), self.place[at]))
+        for f, sample in enumerate(samples):
+            mine = pick[live] == f
+            sample.g[at[mine]] = left[mine]
         tokens = np.concatenate([np.arange(since[d], self.begin[d + 1]) for d in live.tolist()])
         fresh = self._fresh(tokens, round_)
         for d, (t, new), (logp, _, _) in zip(live.tolist(), forced, kept, strict=True):
