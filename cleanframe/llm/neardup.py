@@ -49,15 +49,18 @@ def simhash_bits(terms: list[bytes], longs: int) -> np.ndarray:
     return np.packbits(votes * 2 > len(terms), bitorder="little").view(np.uint64)
 
 
-def _sketch(ngram: int, longs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(ngram: int, longs: int, once: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [simhash_bits(shingles(b, ngram), longs).view(np.int64).tolist() for b in batch.column("_b").to_pylist()]
+        terms = [shingles(b, ngram) for b in batch.column("_b").to_pylist()]
+        out = [simhash_bits(list(set(t)) if once else t, longs).view(np.int64).tolist() for t in terms]
         yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(out, pa.list_(pa.int64()))], ["_k", "_f"])
 
 
-def sketches(rows: DataFrame, ngram: int, longs: int) -> DataFrame:
-    """`_k, _f array<long>` for every row of `_k, _text`; texts without a word have zeros."""
-    return as_binary(rows).mapInArrow(partial(_sketch, ngram, longs), "_k long, _f array<long>")
+def sketches(rows: DataFrame, ngram: int, longs: int, once: bool = False) -> DataFrame:
+    """`_k, _f array<long>` for every row of `_k, _text`; texts without a word have zeros.
+
+    A shingle votes at every occurrence, or `once` a text: then the angle is that of the shingle sets."""
+    return as_binary(rows).mapInArrow(partial(_sketch, ngram, longs, once), "_k long, _f array<long>")
 
 
 def segments_for(radius: int, n: int) -> list[tuple[int, int, int]]:
@@ -148,7 +151,7 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
     margin = 2.5 * sqrt(bits * share * (1 - share))
     far, sure = int(bits * share + margin), int(bits * share - margin)
     texts = rows.select("_k", F.coalesce("_text", F.lit("")).alias("_text"))
-    marks = written(sketches(rows, ngram, longs), "sketches")
+    marks = written(sketches(rows, ngram, longs, once=True), "sketches")
     nodes = written(marks.groupBy("_f").agg(F.min("_k").alias("u")).select("u", F.col("_f").alias("f")), "nodes")
     cuts = [(0, 21), (21, 21), (42, 22)]
     links = written(near_links(nodes, far, [(j, at, w, 1) for j in range(longs) for at, w in cuts], longs), "near")

@@ -134,6 +134,16 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {k for k, g in group.items() if k == g}
 
 
+def test_near_duplicates_with_repeats_in_a_text(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(12):
+        text = " ".join(rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(300))
+        rows += [(10 * i, text), (10 * i + 1, text + "\none short line said again" * (10 if i % 2 else 20))]
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == k // 10 * 10 for k in got)
+
+
 def naive_repeats(rows, window):
     docs = {k: (t or "").encode().split() for k, t in rows}
     seen, gone = set(), {k: set() for k in docs}
