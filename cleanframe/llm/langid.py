@@ -130,7 +130,7 @@ def _cut(per_text: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             n = max(1, -(-len(text) // WINDOW))
             for i in sorted({n * j // per_text for j in range(per_text)}):
                 part = text[i * WINDOW : (i + 1) * WINDOW]
-                if ASCII_LETTER.search(part):
+                if has_letter(part):
                     langs.append(lang)
                     windows.append(part.ljust(WINDOW, b" "))
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], ["lang", "w"])

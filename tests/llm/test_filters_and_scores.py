@@ -136,6 +136,17 @@ def test_language_id(spark):
     assert not kept & {1000, 1001, 1002} and len(kept) > 350
 
 
+def test_language_without_latin_letters(spark):
+    rng = random.Random(3)
+    cyrillic = lambda n: " ".join(rng.choice(["мир", "слово", "река", "город", "время", "книга"]) for _ in range(n))
+    rows = [(i, cyrillic(rng.randrange(5, 80)) if i % 2 else prose("aa", rng, rng.randrange(5, 80)), "ru" if i % 2 else "aa") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(langid.learned(df), per_lang=80)
+    assert net.langs == ["aa", "ru"]
+    truth = {i: lang for i, _, lang in rows}
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in langid.predict(df, net).collect()]) > 0.95
+
+
 def test_gradients_of_the_byte_network():
     rng = np.random.default_rng(0)
     net = langid.ByteNet(["a", "b"])
