@@ -13,13 +13,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanframe.llm.common import as_binary, keyed, written
+from cleanframe.llm.common import as_binary, dropped, keyed, written
 from cleanframe.llm.components import components
 
 #: Shingles whose bits are unpacked at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 15
 #: Ids of rows to drop are broadcast up to so many (8 MB); beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shingles that come last in prefixes: the most frequent of every SAMPLE-th text, so many at most.
+SAMPLE, FREQUENT = 16, 100_000
+#: Sets of fewer shingles have no verdict by fingerprint: their bits are too few votes to follow the angle.
+FEW = 64
 
 
 def shingles(text: bytes, ngram: int) -> list[bytes]:
@@ -142,41 +146,107 @@ def _jaccard(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(like, pa.float64())], ["u", "v", "like"])
 
 
+def _hashes(text: bytes, ngram: int) -> np.ndarray:
+    """Sorted XXH3 hashes of 64 bits of the text's shingle set."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(t) for t in set(shingles(text, ngram))], np.uint64)).view(np.int64)
+
+
+def _sampled(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in batch.column("_b").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b, ngram))], ["t"])
+
+
+def _frequent(texts: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, counts) of the shingles most frequent in every SAMPLE-th text.
+
+    They only say which shingles come last in a prefix: any order finds all pairs, this one keeps buckets small.
+    """
+    part = texts.where(F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(SAMPLE)) == 0)
+    counts = as_binary(part).mapInArrow(partial(_sampled, ngram), "t long").groupBy("t").agg(F.count("*").alias("c")).where("c > 2")
+    got = counts.orderBy(F.desc("c"), "t").limit(FREQUENT).toPandas().sort_values("t")
+    return got["t"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
+
+
+def _marked(ngram: int, longs: int, similarity: float, often: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, counts = often
+    for batch in batches:
+        f, size, same, prefix = [], [], [], []
+        for b in batch.column("_b").to_pylist():
+            h = _hashes(b, ngram)
+            rank = np.zeros(len(h), np.int64)
+            if len(known) and len(h):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, counts[at], 0)
+            least = int(np.ceil(similarity * len(h) - 1e-9))
+            prefix.append(h[np.lexsort((h, rank))[: len(h) - least + 1]] if len(h) else h)
+            f.append(simhash_bits(list(set(shingles(b, ngram))), longs).view(np.int64).tolist())
+            size.append(len(h))
+            same.append(xxhash.xxh3_128_digest(h.tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(f, pa.list_(pa.int64())), pa.array(size, pa.int32()), pa.array(same, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["_k", "_f", "_n", "_set", "_prefix"])
+
+
 def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataFrame:
     """`_k, _c`: the group of each row of `_k, _text`; see `near_duplicates`."""
     from math import acos, pi, sqrt
 
     bits = 64 * longs
     share = acos(2 * similarity / (1 + similarity)) / pi
-    margin = 2.5 * sqrt(bits * share * (1 - share))
-    far, sure = int(bits * share + margin), int(bits * share - margin)
+    deviation = sqrt(bits * share * (1 - share))
+    far, sure = int(bits * share + 6 * deviation), int(bits * share - 2.5 * deviation)
     texts = rows.select("_k", F.coalesce("_text", F.lit("")).alias("_text"))
-    marks = written(sketches(rows, ngram, longs, once=True), "sketches")
-    nodes = written(marks.groupBy("_f").agg(F.min("_k").alias("u")).select("u", F.col("_f").alias("f")), "nodes")
-    cuts = [(0, 21), (21, 21), (42, 22)]
-    links = written(near_links(nodes, far, [(j, at, w, 1) for j in range(longs) for at, w in cuts], longs), "near")
-    roots = written(components(links.where(F.col("d") <= sure)), "roots")
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    doubt = links.where(F.col("d") > sure).join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    doubt = written(doubt, "doubt")
-    wanted = doubt.select(F.col("u").alias("_k")).union(doubt.select(F.col("v").alias("_k"))).distinct()
-    shown = written(texts.join(wanted, "_k", "left_semi").select("_k", F.col("_text").cast("binary").alias("_b")), "shown")
-    pairs = doubt.join(shown.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(shown.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
-    alike = pairs.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, ngram), "u long, v long, like double").where(F.col("like") >= similarity)
-    linked = links.where(F.col("d") <= sure).select("u", "v").union(alike.select("u", "v"))
-    named = nodes.join(components(linked), F.col("u") == F.col("node"), "left").select(F.col("f").alias("_f"), F.coalesce("root", "u").alias("_c"))
-    return marks.join(named, "_f").select("_k", "_c")
+    marks = written(as_binary(texts).mapInArrow(partial(_marked, ngram, longs, similarity, _frequent(texts, ngram)), "_k long, _f array<long>, _n int, _set binary, _prefix array<long>"), "sketches")
+    nodes = written(marks.groupBy("_set").agg(F.min("_k").alias("u")), "nodes")
+    tokens = marks.join(nodes.select(F.col("u").alias("_k")), "_k", "left_semi").select(F.col("_k").alias("u"), F.explode("_prefix").alias("t"))
+    tokens = written(tokens, "tokens")
+    buckets = tokens.groupBy("t").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("t", "a")
+    shared = written(tokens.join(buckets, "t"), "shared")
+    dropped(tokens)
+    mark = lambda c, f, n: marks.select(F.col("_k").alias(c), F.col("_f").alias(f), F.col("_n").alias(n))
+    d, small = differing(F.col("f"), F.col("g"), longs), F.least("m", "n") < FEW
+    alike = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity - 1e-9)
+    binary = texts.select("_k", F.col("_text").cast("binary").alias("_b"))
+
+    def real(pairs: DataFrame) -> DataFrame:
+        """The pairs `u, v, f, g, m, n` that are near copies: by their fingerprints where these leave no doubt, else by whole texts."""
+        seen = written(pairs.select("u", "v", (~small & (d <= sure)).alias("sure")), "pairs")
+        doubt = seen.where("not sure")
+        wanted = doubt.select(F.col("u").alias("_k")).union(doubt.select(F.col("v").alias("_k"))).distinct()
+        shown = written(binary.join(wanted, "_k", "left_semi"), "shown")
+        both = doubt.join(shown.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(shown.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
+        held = both.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, ngram), "u long, v long, like double").where(F.col("like") >= similarity)
+        return written(seen.where("sure").select("u", "v").union(held.select("u", "v")), "near")
+
+    maybe = alike & (small | (d <= far))
+    # every member of a bucket against its first: a row each, however large a group of copies is
+    led = shared.where("u <> a").select(F.col("a").alias("u"), F.col("u").alias("v")).distinct()
+    led = written(led.join(mark("u", "f", "m"), "u").join(mark("v", "g", "n"), "v").where(maybe).select("u", "v", "f", "g", "m", "n"), "led")
+    first = real(led)
+    # what is left: pairs of a bucket that are in different components by now
+    roots = components(first)
+    placed = shared.join(roots, F.col("u") == F.col("node"), "left").select("t", "u", F.coalesce("root", "u").alias("r"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("t").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("t")
+    open_ = written(placed.join(mixed, "t", "left_semi").join(mark("u", "f", "m"), "u"), "open")
+    other = open_.select("t", F.col("u").alias("v"), F.col("r").alias("s"), F.col("f").alias("g"), F.col("m").alias("n"))
+    met = open_.join(other, (open_["t"] == other["t"]) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & maybe)
+    met = met.select("u", "v", "f", "g", "m", "n").dropDuplicates(["u", "v"]).join(led.select("u", "v"), ["u", "v"], "left_anti")
+    linked = first.union(real(met))
+    named = nodes.join(components(linked), F.col("u") == F.col("node"), "left").select("_set", F.coalesce("root", "u").alias("_c"))
+    return marks.select("_k", "_set").join(named, "_set").select("_k", "_c")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, longs: int = 4) -> DataFrame:
     """`id, group_id`: rows in groups of near copies (Jaccard of word n-grams >= similarity); alone: own id.
 
-    1. Fingerprints of 64 * longs bits; equal ones are one node, so exact copies cost one row however many
-    they are. 2. Segments of 21 or 22 bits, within one bit, find candidates. The bits that differ estimate the angle between the texts; pairs are kept up to two and a
-    half standard deviations beyond the angle of `similarity`, which finds over 0.9 of pairs at similarity 0.85
-    and over 0.98 at 0.9 (measured in the tests). 3. Pairs two and a half deviations on the near side are links;
-    those between, where they would join different groups, are verified on whole texts. 4. Groups are the
-    connected components, named by their smallest id. Null and blank texts are copies of each other.
+    1. Texts of equal shingle sets are one node, so exact copies cost one row however many they are. 2. Two sets
+    of that similarity share a shingle among the first (1 - similarity) of each, in any order that is the same
+    for all; rare shingles come first. So texts that meet in a shingle of these prefixes are all the candidates:
+    no pair is lost. 3. The members of a bucket are held against its first one, and then only against those in
+    other components. 4. Fingerprints of 64 * longs bits, a vote a distinct shingle, estimate the angle: pairs two
+    and a half standard deviations within that of `similarity` are links, those six beyond it are none, all
+    others and small texts are verified on whole texts. 5. Groups are the connected components, named by their
+    smallest id. Null and blank texts are copies of each other.
     """
     rows, plain = keyed(df, id_col, text_col)
     out = _groups(rows, ngram, similarity, longs)

@@ -144,6 +144,29 @@ def test_near_duplicates_with_repeats_in_a_text(spark):
     assert all(got[k] == k // 10 * 10 for k in got)
 
 
+@pytest.mark.parametrize("words", [12, 300])
+def test_near_duplicates_are_all_found(spark, words):
+    rng = random.Random(words)
+    rows, edits = [], 1 if words < 50 else 7
+    common = " ".join(rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(words // 4))
+    for i in range(60):
+        ws = [rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(words)]
+        rows.append((10 * i, " ".join(ws) + (" " + common if i % 3 == 0 else "")))
+        for j in range(4):
+            copy = list(ws)
+            for p in rng.sample(range(words), rng.randrange(edits - 1, edits + 2)):
+                copy[p] = "x"
+            rows.append((10 * i + 1 + j, " ".join(copy) + (" " + common if i % 3 == 0 else "")))
+    sets = {k: set(neardup.shingles(t.encode(), 5)) for k, t in rows}
+    want = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(8):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(pairs) > 20
+
+
 def naive_repeats(rows, window):
     docs = {k: (t or "").encode().split() for k, t in rows}
     seen, gone = set(), {k: set() for k in docs}
