@@ -58,9 +58,9 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = fold_words(text)
-            if len(words) < min_words:
+            if not words:
                 continue
-            budget = int(len(words) * error_rate)
+            budget = int(len(words) * error_rate) if len(words) >= min_words else 0
             cuts = [round(len(words) * i / (budget + 1)) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 piece = (b" " + b" ".join(words[a:b]) + b" ").decode("latin-1")
@@ -137,8 +137,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, min_word
     Words are runs of letters and digits, A-Z lower-cased (bytes from 128 are letters). An item of n words may
     differ by k = floor(n * error_rate) word edits. It is cut into k + 1 pieces, of which at least one is
     unharmed, so all exact piece hits are looked up and verified with Myers' distance: nothing within the
-    budget is missed. Items under `min_words` words and null items are left out; null texts hold nothing; rows
-    with repeated ids each count. Item ids are whole numbers. Items go to tasks in blocks, see `blocks`.
+    budget is missed. Items under `min_words` words may not differ at all; null items and those without a word
+    are left out; null texts hold nothing; rows with repeated ids each count. Item ids are whole numbers. Items go to tasks in blocks, see `blocks`.
     """
     rows, plain = keyed(df, id_col, text_col)
     out = None

@@ -64,6 +64,13 @@ def test_leaks_against_brute_force(spark):
     assert kept.count() == len([1 for k, t, _ in docs if not any((k, i) in {(a, b) for a, b, _ in want} for i, _ in items)]) - (1 if (5, 1) in {(a, b) for a, b, _ in want} and not any(a == 5 for a, b, _ in want if b != 1) else 0)
 
 
+def test_short_items_match_word_for_word(spark):
+    df = spark.createDataFrame([(1, "so: Who wrote the Iliad? they asked"), (2, "who wrote an Iliad"), (3, "the iliad")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "who wrote the iliad"), (8, "?!"), (9, None)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.leaks(df, bench).collect()] == [(1, 7, 0, 1, 5)]
+    assert {r.doc_id for r in decontam.decontaminated(df, bench).collect()} == {2, 3}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, toxic int")
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
