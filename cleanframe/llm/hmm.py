@@ -211,15 +211,15 @@ def _rare_words(head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(w, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["_k", "word", "n"])
 
 
-def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, warm_rows: int = 2000, seed: int = 1, modulo: int = 7, left: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, seed: int = 1, modulo: int = 7, left: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, held_out, n_tokens, n_known, train_tokens, base_score, score` of every whole text.
 
     Learns from the rows whose crc32(id as text) modulo `modulo` is not `left`. Tokens are words with A-Z
     lower-cased and an end. All words are counted, in all training rows. A hidden Markov model of `states`
     states emits symbols: the HEAD most frequent words by themselves (fewer where counts tie), the end, and classes of the
     others, by ending and length; a class then gives its word by add-one counts, with a share for unknown
-    words. Baum-Welch starts with `warm` steps on some `warm_rows` rows, chosen by a hash of the id, and ends
-    with `full` steps over all training rows; a step's expected counts are summed across partitions. `score`
+    words. Baum-Welch goes once through all training rows in `warm` steps, each on another share of them by a
+    hash of the id, and ends with `full` steps over all of them; a step's expected counts are summed across partitions. `score`
     is the log10 likelihood of the whole text by the scaled forward recursion, `base_score` that of add-one
     unigrams. Rare words' counts are joined by word, so only the head, bounded, reaches all tasks. Null texts
     are an end alone; without a training row all counts are 0 and the model is uniform. Repeated ids count.
@@ -252,9 +252,9 @@ def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, warm_ro
     model = Model.first(unigram, states, seed)
     learn = as_binary(train)
     if ends:
-        part = written(as_binary(train.where(F.pmod(F.xxhash64(F.lit(11), F.col("_k")), F.lit(1 << 20)) < F.lit(min(1.0, warm_rows / ends) * (1 << 20)))), "warm")
-        for _ in range(warm):
-            model = _iterate(part, model, head, unigram)
+        for i in range(warm):
+            part = train.where(F.pmod(F.xxhash64(F.lit(11), F.col("_k")), F.lit(warm)) == i)
+            model = _iterate(as_binary(part), model, head, unigram)
         for _ in range(full):
             model = _iterate(learn, model, head, unigram)
     base = float(np.log10(tokens + kinds + 1))

@@ -262,6 +262,15 @@ def test_lm_scores(spark):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_early_steps_see_all_training_rows(spark, monkeypatch):
+    rows = [(i, f"word{i} again") for i in range(3000)]
+    seen = []
+    monkeypatch.setattr(hmm, "_iterate", lambda texts, model, *a: (seen.append({r._k for r in texts.select("_k").collect()}), model)[1])
+    hmm.scores(spark.createDataFrame(rows, "doc_id long, text string"), warm=4, full=1)
+    train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    assert set().union(*seen[:4]) == train and sum(map(len, seen[:4])) == len(train) and seen[4] == train
+
+
 @pytest.mark.parametrize("text", ["", "   ", "a"])
 def test_symbols(text):
     s = hmm.Symbols([b"a"])
