@@ -10,7 +10,7 @@ from cleanframe.functions.types import kind_of, missing, named
 from cleanframe.plans.frame import Frame, SortRule
 
 #: Rows of a bucket, and most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 200_000, 4096
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 32_768
 
 
 def sort_number(df: DataFrame, column: str) -> Column:
@@ -94,8 +94,9 @@ def anchors(frame: Frame, present: Column, carried: Column, partition: list[str]
     here = F.when(present, F.struct(F.col("__rn").cast("long").alias("pos"), carried.alias("v")))
     df = df.withColumn("__here", here)
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    near = df.withColumn("__p", F.last("__here", ignorenulls=True).over(before)).withColumn("__f", F.first("__here", ignorenulls=True).over(after))
+    # the next one is the last one of the turned order: a frame that only grows costs a step a row
+    after = Window.partitionBy(*by).orderBy(F.desc("__rn")).rowsBetween(Window.unboundedPreceding, 0)
+    near = df.withColumn("__p", F.last("__here", ignorenulls=True).over(before)).withColumn("__f", F.last("__here", ignorenulls=True).over(after))
     if partition:
         whole = Window.partitionBy(*by)
         return near.withColumns({"__pos": F.col("__rn").cast("long"), "__total": F.count(F.lit(1)).over(whole), "__prev": F.col("__p"), "__next": F.col("__f")}).drop("__rn", "__here", "__p", "__f")
@@ -108,7 +109,7 @@ def anchors(frame: Frame, present: Column, carried: Column, partition: list[str]
         F.col("__bucket").alias("__b"),
         "__off",
         F.last("last", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)).alias("__cp"),
-        F.first("first", ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing)).alias("__cn"),
+        F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("__cn"),
         F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
     )
     joined = near.join(F.broadcast(carry), F.col("__bucket") == F.col("__b"))
