@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,20 @@ BLANK = "▁"
 OWN_BLANK = "\ud800"
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Bytes of text whose chunks are worked on at once.
-PART = 1 << 20
+PART = 1 << 21
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
-#: Cumulative probabilities and draws lie on this grid (draws between its points), so that adding a node's number
-#: below 2**22 is exact and a draw is the same wherever the node is stored.
+#: Cumulative probabilities and draws lie on this grid (draws between its points): a probability below it is never drawn
+#: by chance, but is reached where all likelier ways are drawn already.
 GRID = 2.0**-30
-#: Probability, for all practical purposes none, of what is left of a chunk's ways.
-SURE = 1e-12
-#: Size of the table that tells most strings that are no piece before they are looked up.
-FILTER_BITS = 22
-#: Distinct chunks whose lattices a task keeps.
+#: Slots, as a power of two, of the table in which pieces are looked up.
+TABLE_BITS = 22
+#: Distinct chunks whose lattices a worker keeps.
 KEPT = 250_000
+#: Characters of a chunk that is looked over for further cuts.
+LONG = 256
+#: Cells (place, piece length, chunk) of lattices built at once.
+CELLS = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,25 +74,51 @@ class Vocabulary:
         bad = [self.pieces[i] for i in normal if BLANK in self.pieces[i].lstrip(BLANK) or ("\n" in self.pieces[i] and len(self.pieces[i]) > 1)]
         if bad:
             raise ValueError(f"pieces across chunks: {bad[:3]}")
-        rank = np.array([-model.get_score(i) if model.get_score(i) > -1e8 else i for i in normal])
-        total = np.log(np.sum(1 / (rank + 10)))
-        self.unknown = float(-np.log(n + 10) - total)
-        by_length: dict[int, list] = {}
-        for i, r in zip(normal, rank.tolist(), strict=True):
-            p = self.pieces[i]
-            by_length.setdefault(len(p), []).append((self.hash(p), i, -np.log(r + 10) - total))
-        self.tables = {}
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        for length, rows in by_length.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
-            self.tables[length] = (keys, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]))
-            self.filter[self.slot(keys)] = True
-        self.longest = max(self.tables)
+        score = np.array([model.get_score(i) for i in normal])
+        if (score == np.round(score)).all():
+            # merge ranks instead of probabilities
+            rank = np.where(score > -1e8, -score, normal)
+            total = np.log(np.sum(1 / (rank + 10)))
+            logp, self.unknown = -np.log(rank + 10) - total, float(-np.log(n + 10) - total)
+        else:
+            logp, self.unknown = score, float(score.min() - 10)
+        # entry 0 is none; entries of one slot are chained
+        self.key = np.array([0, *[self.hash(self.pieces[i]) for i in normal]], np.uint64)
+        self.id = np.array([0, *normal], np.int32)
+        self.logp = np.concatenate(([-np.inf], logp))
+        self.table = np.zeros(1 << TABLE_BITS, np.int32)
+        self.chain = np.zeros(len(self.key), np.int32)
+        for e, at in enumerate(self.slot(self.key[1:]).tolist(), 1):
+            self.chain[e], self.table[at] = self.table[at], e
+        self.ascii = np.array([self.byte_id.get(b, 0) for b in range(128)])
+        self.lengths = set(map(len, map(self.pieces.__getitem__, normal)))
+        self.pairs = {p[j : j + 2] for p in map(self.pieces.__getitem__, normal) for j in range(len(p) - 1)}
+        self.longest = max(self.lengths)
+
+    def entry(self, h: np.ndarray) -> np.ndarray:
+        """The entries of hashes, 0 for none."""
+        e = self.table[self.slot(h)]
+        wrong = np.flatnonzero((self.key[e] != h).ravel())
+        wrong = wrong[e.ravel()[wrong] > 0]
+        out = e.reshape(-1)
+        while len(wrong):
+            out[wrong] = self.chain[out[wrong]]
+            wrong = wrong[(out[wrong] > 0) & (self.key[out[wrong]] != h.ravel()[wrong])]
+        return e
+
+    def cut(self, words: list[str]) -> list[str]:
+        """The chunks, those over LONG characters cut wherever no piece holds both neighbours: no way crosses that."""
+        if not words or max(map(len, words)) <= LONG:
+            return words
+        out = []
+        for w in words:
+            at = [0, *([j for j in range(1, len(w)) if w[j - 1 : j + 1] not in self.pairs] if len(w) > LONG else []), len(w)]
+            out += [w[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
-        return (h * MULTIPLIER) >> np.uint64(64 - FILTER_BITS)
+        return (h * MULTIPLIER) >> np.uint64(64 - TABLE_BITS)
 
     @staticmethod
     def hash(s: str) -> int:
@@ -112,12 +142,20 @@ def chunks(text: str) -> list[str]:
     return CHUNK.findall(BLANK + text.replace(BLANK, OWN_BLANK).replace(" ", BLANK)) if text else []
 
 
+class Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Lattice:
     """The piece lattices of distinct chunks: arcs sorted by (chunk, end), with their conditional probability.
 
     A node is a place in a chunk; `first[c] + j` is the node after j characters. Walking back from a chunk's
-    last node by the arcs' probabilities samples a segmentation exactly. Chunks are added as they are met, and
-    all go when there are KEPT of them: text repeats its frequent words, so few lattices are built.
+    last node by the arcs' probabilities samples a segmentation exactly; a node's likeliest arc comes first.
+    Chunks are added as they are met; of more than KEPT the most used stay: text repeats its frequent words.
     """
 
     def __init__(self, vocab: Vocabulary, alpha: float) -> None:
@@ -125,106 +163,156 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.spelled: dict[int, list[int]] = {}
-        self.nodes = 0
+        self.nodes, self.used = 0, np.zeros(0, np.int64)
         self.first, self.last, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.start, self.end, self.piece = (np.zeros(0, np.int32) for _ in range(3))
-        self.q, self.cum, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.start, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.q, self.cum, self.rest, self.leave = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
         self.main_begin, self.main_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def numbers(self, words: list[list[str]]) -> np.ndarray:
         """The numbers of all chunks, adding those that are new."""
-        fresh = {w for ws in words for w in ws if w not in self.number}
-        if len(self.number) + len(fresh) > KEPT and self.number:
-            self.clear()
-            fresh = {w for ws in words for w in ws}
-        if fresh:
-            self._add(list(fresh))
-        get = self.number.__getitem__
-        return np.array([n for ws in words for n in map(get, ws)], np.int64)
+        if len(self.number) > KEPT:
+            self._forget()
+        known = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        if len(self.number) > known:
+            self._add(list(islice(reversed(self.number), len(self.number) - known))[::-1])
+        used = np.bincount(out, minlength=len(self.number))
+        used[:known] += self.used
+        self.used = used
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the half of KEPT chunks that were used most."""
+        keep = np.sort(np.argpartition(-self.used, KEPT // 2)[: KEPT // 2])
+        size = self.last[keep] - self.first[keep] + 1
+        shift = np.cumsum(size) - size - self.first[keep]
+        node = np.arange(int(size.sum())) - np.repeat(shift, size)
+        degree = np.diff(self.begin)[node]
+        begin = np.cumsum(degree) - degree
+        arc = np.arange(int(degree.sum())) + np.repeat(self.begin[node] - begin, degree)
+        self.start = (self.start[arc] + np.repeat(np.repeat(shift, size), degree)).astype(np.int32)
+        self.piece, self.q, self.cum = self.piece[arc], self.q[arc], self.cum[arc]
+        self.rest, self.leave, self.begin = self.rest[node], self.leave[node], np.concatenate((begin, [len(arc)]))
+        length = np.diff(self.main_begin)[keep]
+        place = np.cumsum(length) - length
+        self.main_ids = self.main_ids[np.arange(int(length.sum())) + np.repeat(self.main_begin[keep] - place, length)]
+        self.main_begin = np.concatenate((place, [int(length.sum())]))
+        self.first, self.last, self.nodes, self.used = self.first[keep] + shift, self.last[keep] + shift, len(node), self.used[keep]
+        words = list(self.number)
+        self.number = Numbers(zip(map(words.__getitem__, keep.tolist()), range(len(keep)), strict=True))
 
     def _add(self, words: list[str]) -> None:
-        vocab = self.vocab
-        words.sort(key=len)
-        for w in words:
-            self.number[w] = len(self.number)
+        """Builds the lattices of new chunks: blocks of chunks of about one length, a character a step for all."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts, ends, pieces, scores = [], [], [], []
-        byte = np.array([vocab.byte_id[b] for b in range(128)])
-        at = 0
-        for n, count in zip(*np.unique(size, return_counts=True), strict=True):
-            # all chunks of a length as rows: their substrings of a length are hashed in one step from those before
-            char = flat[at : at + n * count].reshape(count, n)
-            code = char.astype(np.uint64) + np.uint64(1)
-            node = first[np.searchsorted(size, n)] + np.arange(count)[:, None] * (n + 1) + np.arange(n)
-            h, single = np.zeros((count, n), np.uint64), np.zeros((count, n), bool)
-            for length in range(1, min(n, vocab.longest) + 1):
-                h = h[:, : n - length + 1] * MULTIPLIER + code[:, length - 1 :]
-                if length not in vocab.tables:
-                    continue
-                row, place = np.nonzero(vocab.filter[vocab.slot(h)])
-                keys, ids, logp = vocab.tables[length]
-                found = h[row, place]
-                spot = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                hit = keys[spot] == found
-                row, place, spot = row[hit], place[hit], spot[hit]
-                here = node[row, place]
-                starts.append(here)
-                ends.append(here + length)
-                pieces.append(ids[spot])
-                scores.append(logp[spot])
-                if length == 1:
-                    single[row, place] = True
-            row, place = np.nonzero(~single)
-            if len(row):
-                c = char[row, place].astype(np.int64)
-                starts.append(node[row, place])
-                ends.append(node[row, place] + 1)
-                pieces.append(np.where(c < 128, byte[np.minimum(c, 127)], -1 - c))
-                scores.append(np.full(len(c), vocab.unknown))
-                for x in set(c[c >= 128].tolist()):
-                    self.spelled[-1 - x] = [vocab.byte_id[b] for b in (BLANK if x == ord(OWN_BLANK) else chr(x)).encode()]
-            at += n * count
-        start, end = np.concatenate(starts), np.concatenate(ends)
-        order = np.argsort(end, kind="stable")
-        start, end = start[order], end[order]
-        score = np.concatenate(scores)[order] * self.smooth
-        nodes = int(first[-1] + size[-1]) + 1
-        begin = np.searchsorted(end, np.arange(nodes + 1))
-        place = np.arange(nodes) - np.repeat(first, size + 1)
-        alpha = _forward(place, first, start, end, score, np.logaddexp)
-        q = np.minimum(1.0, np.exp(alpha[start] + score - alpha[end]))
-        # the likeliest arc of a node comes first: most draws end there
-        likely = np.lexsort((-q, end))
-        start, q, order = start[likely], q[likely], order[likely]
-        sums = np.concatenate(([0.0], np.cumsum(q)))
-        # cumulative within a node, above the node's number: one sorted array to look all draws up in
-        cum = np.round(np.minimum(sums[1:] - sums[begin[end]], 1.0) / GRID) * GRID
-        cum[begin[1:][begin[1:] > begin[:-1]] - 1] = 1.0
-        # probability of the main path, of the likeliest arcs, from each node back to its chunk's first
-        rest = np.ones(nodes)
-        by_place = np.argsort(place, kind="stable")
-        levels = np.searchsorted(place[by_place], np.arange(1, place.max() + 2))
-        for a, b in zip(levels[:-1], levels[1:], strict=True):
-            at = by_place[a:b]
-            rest[at] = q[begin[at]] * rest[start[begin[at]]]
-        join = lambda a, b: np.concatenate((a, b.astype(a.dtype)))
-        arcs = len(self.start)
-        self.first, self.last = join(self.first, first + self.nodes), join(self.last, first + size + self.nodes)
-        self.begin = join(self.begin[:-1], begin + arcs)
-        self.start, self.end = join(self.start, start + self.nodes), join(self.end, end + self.nodes)
-        self.piece, self.q = join(self.piece, np.concatenate([p.astype(np.int64) for p in pieces])[order]), join(self.q, q)
-        self.cum, self.rest = join(self.cum, cum + end + self.nodes), join(self.rest, rest)
-        self.nodes += nodes
-        fresh = np.arange(len(self.first) - len(words), len(self.first))
+        width = np.where(size <= 24, size, np.ceil(1.25 ** np.ceil(np.log(np.maximum(size, 1)) / np.log(1.25) - 1e-9))).astype(np.int64)
+        first, known = np.empty(len(words), np.int64), len(self.first)
+        made, nodes, arcs = [], self.nodes, len(self.start)
+        order = np.argsort(width, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
+            w = int(width[rows[0]])
+            step = max(1, CELLS // ((w + 1) * self.vocab.longest))
+            for i in range(0, len(rows), step):
+                some = rows[i : i + step]
+                degree, start, piece, q, cum, rest, leave = self._block([words[r] for r in some.tolist()], size[some], w)
+                base = np.cumsum(size[some] + 1) - size[some] - 1
+                first[some] = nodes + base
+                made.append((arcs + np.cumsum(degree), start + nodes, piece, q, cum, rest, leave))
+                nodes, arcs = nodes + len(degree), arcs + len(start)
+        for name, x in zip(("begin", "start", "piece", "q", "cum", "rest", "leave"), zip(*made, strict=True), strict=True):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate((old, *[y.astype(old.dtype) for y in x])))
+        self.first, self.last = np.concatenate((self.first, first)), np.concatenate((self.last, first + size))
+        self.nodes = nodes
+        fresh = np.arange(known, len(self.first))
         who, step, arc = self._walk(self.last[fresh], fresh, None)
-        _, arcs = _ordered(who, step, arc, len(words))
-        ids, owner = self.ids(_reversed(np.sort(who), arcs), np.sort(who))
-        self.main_begin = join(self.main_begin, self.main_begin[-1] + np.cumsum(np.bincount(owner, minlength=len(words))))
-        self.main_ids = join(self.main_ids, ids)
+        _, path = _ordered(who, step, arc, len(words))
+        who = np.sort(who)
+        ids, owner = self.ids(_reversed(who, path), who)
+        self.main_begin = np.concatenate((self.main_begin, self.main_begin[-1] + np.cumsum(np.bincount(owner, minlength=len(words)))))
+        self.main_ids = np.concatenate((self.main_ids, ids.astype(np.int32)))
+
+    def _block(self, words: list[str], size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """(arcs into each node; start node, piece, probability and cumulative probability of each arc; main path's
+        probability from each node back, and that of all other ways) of chunks of at most `width` characters.
+
+        Cells are [end, piece length - 1, chunk], so that all steps are sums of whole rows.
+        """
+        vocab, count = self.vocab, len(words)
+        longest = min(width, vocab.longest)
+        char = np.zeros((count, width), np.uint32)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.arange(width) < size[:, None]
+        char[inside] = flat
+        char = np.ascontiguousarray(char.T)
+        code = char.astype(np.uint64) + np.uint64(1)
+        entry = np.zeros((width + 1, longest, count), np.int32)
+        h = np.zeros((width, count), np.uint64)
+        for length in range(1, longest + 1):
+            h = h[: width - length + 1] * MULTIPLIER + code[length - 1 :]
+            if length in vocab.lengths:
+                entry[length:, length - 1] = vocab.entry(h)
+        if int(size.min()) < width:
+            entry.transpose(0, 2, 1)[np.arange(width + 1)[:, None] > size] = 0
+        score = vocab.logp[entry]
+        single = score[1:, 0]
+        single[single == -np.inf] = vocab.unknown
+        score *= self.smooth
+        alpha, total = np.zeros((width + 1, count)), np.zeros(score.shape)
+        best = np.zeros((width + 1, count), np.int64)
+        rest, leave = np.ones((width + 1, count)), np.zeros((width + 1, count))
+        column = np.arange(count)
+        for j in range(1, width + 1):
+            m = min(j, longest)
+            x = score[j, :m]
+            x += alpha[j - m : j][::-1]
+            top, b = x.max(axis=0), x.argmax(axis=0)
+            x -= top
+            np.exp(x, out=x)
+            x[b, column] = 0.0
+            other = x.sum(axis=0)
+            alpha[j] = top + np.log1p(other)
+            first = 1 / (1 + other)
+            x *= first
+            run = total[j, :m]
+            np.cumsum(x, axis=0, out=run)
+            run += first
+            x[b, column] = run[b, column] = first
+            best[j] = b
+            rest[j] = first * rest[j - 1 - b, column]
+            leave[j] = other * first + first * leave[j - 1 - b, column]
+        # from cells to arcs by (chunk, end), the likeliest first
+        entry = np.ascontiguousarray(entry.transpose(2, 0, 1))
+        valid = entry > 0
+        valid[:, 1:, 0] = True
+        inside = np.arange(width + 1) <= size[:, None]
+        valid &= inside[:, :, None]
+        cells = np.flatnonzero(valid)
+        place, short = np.divmod(cells, longest)
+        chunk, place = np.divmod(place, width + 1)
+        end = (np.cumsum(size + 1) - size - 1)[chunk] + place
+        degree = np.bincount(end, minlength=int((size + 1).sum()))
+        begin = np.cumsum(degree) - degree
+        top = np.flatnonzero(short == best[place, chunk])
+        at = np.zeros(len(degree), np.int64)
+        at[end[top]] = top
+        to = np.arange(len(cells))
+        to += to < at[end]
+        to[top] = begin[end[top]]
+        flat = entry.ravel()[cells]
+        piece = vocab.id[flat].astype(np.int64)
+        unknown = np.flatnonzero(flat == 0)
+        c = char[place[unknown] - 1, chunk[unknown]].astype(np.int64)
+        piece[unknown] = np.where(c < 128, vocab.ascii[np.minimum(c, 127)], -1 - c)
+        for x in set(c[c >= 128].tolist()):
+            self.spelled[-1 - x] = [vocab.byte_id[b] for b in (BLANK if x == ord(OWN_BLANK) else chr(x)).encode()]
+        cell = (place, short, chunk)
+        start, pieces, q, cum = np.empty(len(cells), np.int64), np.empty(len(cells), np.int32), np.empty(len(cells)), np.empty(len(cells))
+        start[to], pieces[to], q[to], cum[to] = end - short - 1, piece, score[cell], np.round(np.minimum(total[cell], 1.0) / GRID) * GRID
+        cum[(begin + degree - 1)[degree > 0]] = 1.0
+        return degree, start, pieces, q, cum, rest.T[inside], leave.T[inside]
 
     def _walk(self, at: np.ndarray, chunk: np.ndarray, draw, off: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(walker, step, arc) of walks from nodes `at` back to their chunks' first nodes.
@@ -241,17 +329,18 @@ class Lattice:
         while len(live):
             arc = self.begin[node]
             if draw is not None:
-                u, top = draw(live, step), self.cum[arc] - node
+                u, top = draw(live, step), self.cum[arc]
                 if off and on.any():
                     stay = self.rest[node]
                     x = np.where(on, stay + u * (1 - stay), u)
                     # where the rest of the path is sure, only another arc leaves it
                     u = np.where(on & (self.rest[self.start[arc]] > 1 - 2 * GRID), np.maximum(x, top), x)
                 more = np.flatnonzero(u >= top)
-                more = more[self.begin[node[more] + 1] - arc[more] > 1]
-                found = np.searchsorted(self.cum, node[more] + u[more], side="right")
-                arc[more] = np.minimum(found, self.begin[node[more] + 1] - 1)
                 on[more] = False
+                while len(more):
+                    more = more[self.begin[node[more] + 1] - arc[more] > 1]
+                    arc[more] += 1
+                    more = more[u[more] >= self.cum[arc[more]]]
             who.append(live)
             steps.append(np.full(len(live), step))
             arcs.append(arc)
@@ -288,20 +377,6 @@ def _reversed(owner: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x[np.repeat(2 * edge + count - 1, count) - np.arange(len(x))]
 
 
-def _forward(place: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, plus: np.ufunc) -> np.ndarray:
-    """Log mass (or best score) of the ways to each node; chunks advance together, a character at a time."""
-    alpha = np.full(len(place), -np.inf)
-    alpha[first] = 0.0
-    arcs = np.argsort(place[end], kind="stable")
-    cuts = np.searchsorted(place[end[arcs]], np.arange(1, place.max() + 2))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        some = arcs[a:b]
-        into = end[some]
-        edge = np.flatnonzero(np.concatenate(([True], into[1:] != into[:-1])))
-        alpha[into[edge]] = plus.reduceat(alpha[start[some]] + score[some], edge)
-    return alpha
-
-
 def _truncated(mu: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """A Gumbel of location mu (the largest of a set of that log mass), given that it is below `top`."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
@@ -330,11 +405,12 @@ class Sampler:
     The search is A*: the set of all segmentations has its largest value drawn first; the sample that attains
     it is drawn from the lattice; the rest splits into the sets that agree with the sample up to some chunk
     and differ there, whose largest values are Gumbels of their log mass, truncated at the set's own. The best
-    set is split next. Ways through a chunk that have less than SURE of its probability together count as none.
+    set is split next. What is left of a chunk's ways is summed from the ways themselves, never as one less the
+    others, so that ways of any probability are reached and none is made up.
     """
 
     def __init__(self, lattice: Lattice, texts: list[str], seeds: list[int], k: int) -> None:
-        words = [chunks(t) for t in texts]
+        words = [lattice.vocab.cut(chunks(t)) for t in texts]
         self.n = np.fromiter(map(len, words), np.int64, len(words))
         self.chunk = lattice.numbers(words)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
@@ -348,6 +424,7 @@ class Sampler:
             with np.errstate(divide="ignore"):
                 self.main = main[self.chunk]
                 self.main_log = np.log(main)[self.chunk]
+            self.leave = lattice.leave[lattice.last][self.chunk]
 
     def run(self) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text, its samples in the order drawn: (piece ids, log probability, perturbed value).
@@ -401,29 +478,53 @@ class Sampler:
         before = np.concatenate(([0.0], run))[self.begin[:-1]]
         sample.prefix = run - sample.logp - before[self.doc]
         sample.total = np.concatenate(([0.0], run))[self.begin[1:]] - before
-        other = -np.expm1(sample.logp)
+        other = self.leave.copy()
+        other[sample.off] = -np.expm1(sample.logp[sample.off])
         with np.errstate(divide="ignore"):
-            mu = sample.prefix + np.where((other > SURE) & (np.arange(len(run)) >= since[self.doc]), np.log(other), -np.inf)
+            mu = sample.prefix + np.where(np.arange(len(run)) >= since[self.doc], np.log(other), -np.inf)
         sample.g = _truncated(mu, top[self.doc], uniform(self.seed[self.doc] ^ np.uint64((2 * round_ + 2) << 20), self.place))
         return sample
 
+    def _left(self, chunk: int, gone: list[tuple[int, ...]]) -> tuple[list[tuple[int, dict[int, int]]], list[float]]:
+        """The tree of the ways `gone`, walked back from a chunk's end, as (node, next of each arc), and the
+        probability of the ways that leave it from each of its nodes on."""
+        lat = self.lattice
+        tree, tails = [(int(lat.last[chunk]), {})], [[(p, 0) for p in gone]]
+        for i, (_, kids) in enumerate(tree):
+            by: dict[int, list] = {}
+            for p, at in tails[i]:
+                if at < len(p):
+                    by.setdefault(p[at], []).append((p, at + 1))
+            for arc, rest in by.items():
+                kids[arc] = len(tree)
+                tree.append((int(lat.start[arc]), {}))
+                tails.append(rest)
+        mass = [0.0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            node, kids = tree[i]
+            if kids:
+                a = int(lat.begin[node])
+                mass[i] = sum(w * mass[kids[x]] if x in kids else w for x, w in enumerate(lat.q[a : int(lat.begin[node + 1])].tolist(), a))
+        return tree, mass
+
     def _other(self, chunk: int, gone: list[tuple[int, ...]], draws: list[float]) -> tuple[int, ...]:
         """A way through a chunk that is none of `gone`, by its probability among those left."""
         lat = self.lattice
-        node, path, left = int(lat.last[chunk]), [], [(p, 0) for p in gone]
-        while node > lat.first[chunk]:
-            a, b = int(lat.begin[node]), int(lat.begin[node + 1])
-            w = lat.q[a:b].copy()
-            for p, i in left:
-                w[p[i] - a] -= np.prod(lat.q[list(p[i:])])
-            w = np.maximum(w, 0)
-            x = draws[len(path)] * w.sum()
-            arc = a + min(b - a - 1, int(np.searchsorted(np.cumsum(w), x, side="right")))
-            if w[arc - a] <= 0:
-                arc = a + int(np.argmax(w))
-            left = [(p, i + 1) for p, i in left if p[i] == arc]
-            path.append(arc)
-            node = int(lat.start[arc])
+        tree, mass = self._left(chunk, gone)
+        node, at, path, home = int(lat.last[chunk]), 0, [], int(lat.first[chunk])
+        while node > home:
+            a = int(lat.begin[node])
+            w = lat.q[a : int(lat.begin[node + 1])].tolist()
+            kids = tree[at][1] if at is not None else {}
+            for x, kid in kids.items():
+                w[x - a] *= mass[kid]
+            run = list(accumulate(w))
+            i = min(bisect_right(run, draws[len(path)] * run[-1]), len(w) - 1)
+            while w[i] <= 0:
+                i -= 1
+            path.append(a + i)
+            at = kids.get(a + i)
+            node = int(lat.start[a + i])
         return tuple(path)
 
     def _main(self, chunk: int) -> tuple[int, ...]:
@@ -457,8 +558,8 @@ class Sampler:
                 gone = sample.gone[t] = [sample.path(t) or self._main(chunk)]
             new = self._other(chunk, gone, draws[j].tolist())
             gone.append(new)
-            rest = 1 - sum(float(np.prod(lat.q[list(p)])) for p in gone)
-            if rest > SURE:
+            rest = self._left(chunk, gone)[1][0]
+            if rest > 0:
                 mu[j] = sample.prefix[t] + np.log(rest)
             lo, hi = np.searchsorted(sample.owner, (a, t))
             kept.append((sample.logp[a:t], sample.owner[lo:hi], sample.arcs[lo:hi]))
@@ -502,9 +603,15 @@ class Sampler:
         return [(flat[edge[d] : edge[d + 1]], float(sample.total[d]), float(value[d])) for d in docs.tolist()]
 
 
+@lru_cache(1)
+def lattices(model_file: str, alpha: float) -> Lattice:
+    """The lattices that a worker keeps from task to task."""
+    return Lattice(vocabulary(model_file), alpha)
+
+
 def best_ids(lattice: Lattice, texts: list[str]) -> list[np.ndarray]:
     """The best segmentation of each text, by Viterbi over the distinct chunks; ties go to the shorter last piece."""
-    words = [chunks(t) for t in texts]
+    words = [lattice.vocab.cut(chunks(t)) for t in texts]
     if not any(words):
         return [np.zeros(0, np.int64) for _ in texts]
     lattice.numbers(words)
@@ -551,7 +658,7 @@ SAMPLE_FIELDS = "sample int, ids array<int>, log_prob double, inclusion double"
 
 def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(model_file)
-    lattice = Lattice(vocab, alpha)
+    lattice = lattices(model_file, alpha)
     for batch in batches:
         for keys, texts in _parts(batch.column("_k").to_pylist(), batch.column("_b").to_pylist()):
             rows = []
@@ -571,7 +678,7 @@ def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batc
 
 
 def _best(model_file: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lattice = Lattice(vocabulary(model_file), 1.0)
+    lattice = lattices(model_file, 1.0)
     for batch in batches:
         for keys, texts in _parts(batch.column("_k").to_pylist(), batch.column("_b").to_pylist()):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.astype(np.int32) for x in best_ids(lattice, texts)], pa.list_(pa.int32()))], ["_k", "ids"])

@@ -224,7 +224,7 @@ def model():
 
 
 def all_ways(vocab, text):
-    score = {vocab.pieces[i]: (i, s) for _, ids, logp in vocab.tables.values() for i, s in zip(ids.tolist(), logp.tolist(), strict=True) if i >= 0}
+    score = {vocab.pieces[i]: (i, s) for i, s in zip(vocab.id[1:].tolist(), vocab.logp[1:].tolist(), strict=True)}
     s, out = segment.BLANK + text.replace(" ", segment.BLANK), []
 
     def go(at, ids, logp):
@@ -278,3 +278,43 @@ def test_best_segmentation(model):
         top = max(w for _, w in ways)
         got = segment.best_ids(segment.Lattice(vocab, 1.0), [text])[0]
         assert dict(ways)[tuple(got.tolist())] == pytest.approx(top)
+
+
+def test_every_segmentation_is_reached_once(model):
+    vocab, alpha = segment.vocabulary(model), 3.0
+    for text in ("the end", "ation s"):
+        ways = all_ways(vocab, text)
+        logs = np.array([w for _, w in ways]) * alpha
+        p = dict(zip([w for w, _ in ways], logs - np.logaddexp.reduce(logs), strict=True))
+        assert min(p.values()) < np.log(1e-13)
+        drawn = segment.Sampler(segment.Lattice(vocab, alpha), [text], [5], len(ways) + 3).run()[0]
+        assert drawn[-1][0] is None and drawn[-1][2] == -np.inf
+        got = [tuple(x[0].tolist()) for x in drawn[:-1]]
+        assert len(got) == len(ways) and set(got) == set(p)
+        assert all(x[1] == pytest.approx(p[tuple(x[0].tolist())]) for x in drawn[:-1])
+
+
+def test_draws_do_not_depend_on_kept_chunks(model, monkeypatch):
+    vocab, rng = segment.vocabulary(model), random.Random(3)
+    texts = [" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(30)]
+    run = lambda lattice, some, at: [[(tuple(x[0].tolist()), round(x[1], 9)) for x in r[:-1]] for r in segment.Sampler(lattice, some, list(range(at, at + len(some))), 2).run()]
+    once = run(segment.Lattice(vocab, 0.5), texts, 0)
+    monkeypatch.setattr(segment, "KEPT", 40)
+    lattice = segment.Lattice(vocab, 0.5)
+    assert [x for i in range(0, 30, 3) for x in run(lattice, texts[i : i + 3], i)] == once
+    assert len(lattice.number) < 300
+
+
+def test_long_chunks_are_cut_only_where_no_piece_lies(model):
+    vocab, rng = segment.vocabulary(model), random.Random(4)
+    word = "".join(rng.choice("aeinorstqxzQ7é日") for _ in range(segment.LONG + 50))
+    parts = vocab.cut([word, "short"])
+    assert "".join(parts) == word + "short" and len(parts) > 2
+    pieces = [vocab.pieces[i] for i in vocab.id[1:].tolist()]
+    for a, b in zip(parts[:-2], parts[1:-1], strict=True):
+        assert not any(a[-1] + b[0] in p for p in pieces)
+
+
+def test_sampling_of_an_empty_table(spark, model):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert segment.sampled(empty, model).count() == segment.sample_digests(empty, model).count() == segment.encoded(empty, model).count() == 0
