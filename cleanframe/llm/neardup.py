@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import ceil, log2
+from math import acos, ceil, log2, pi, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanframe.llm.common import as_binary, dropped, keyed, written
@@ -24,6 +25,10 @@ BROADCAST_IDS = 1_000_000
 SAMPLE, FREQUENT = 16, 100_000
 #: Sets of fewer shingles have no verdict by fingerprint: their bits are too few votes to follow the angle.
 FEW = 64
+#: Shingles found so often in the sample are hot: their buckets are never shuffled.
+HOT = 2_000
+#: Rows and shingles of a block within which all pairs are looked at.
+BLOCK, BLOCK_TOKENS = 512, 1 << 18
 
 
 def shingles(text: bytes, ngram: int) -> list[bytes]:
@@ -151,6 +156,11 @@ def _hashes(text: bytes, ngram: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(t) for t in set(shingles(text, ngram))], np.uint64)).view(np.int64)
 
 
+def _set_of(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array([_hashes(b, ngram) for b in batch.column("_b").to_pylist()], pa.list_(pa.int64()))], ["k", "h"])
+
+
 def _sampled(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in batch.column("_b").to_pylist():
@@ -168,10 +178,10 @@ def _frequent(texts: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     return got["t"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
-def _marked(ngram: int, longs: int, similarity: float, often: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(ngram: int, longs: int, similarity: float, often: tuple[np.ndarray, np.ndarray], much: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, counts = often
     for batch in batches:
-        f, size, same, prefix = [], [], [], []
+        f, size, same, prefix, hot = [], [], [], [], []
         for b in batch.column("_b").to_pylist():
             h = _hashes(b, ngram)
             rank = np.zeros(len(h), np.int64)
@@ -179,59 +189,157 @@ def _marked(ngram: int, longs: int, similarity: float, often: tuple[np.ndarray,
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 rank = np.where(known[at] == h, counts[at], 0)
             least = int(np.ceil(similarity * len(h) - 1e-9))
-            prefix.append(h[np.lexsort((h, rank))[: len(h) - least + 1]] if len(h) else h)
+            first = np.lexsort((h, rank))[: len(h) - least + 1] if len(h) else np.zeros(0, np.int64)
+            prefix.append(h[first[rank[first] < much]])
+            hot.append(h[first[rank[first] >= much]])
             f.append(simhash_bits(list(set(shingles(b, ngram))), longs).view(np.int64).tolist())
             size.append(len(h))
             same.append(xxhash.xxh3_128_digest(h.tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(f, pa.list_(pa.int64())), pa.array(size, pa.int32()), pa.array(same, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["_k", "_f", "_n", "_set", "_prefix"])
+        longs_of = lambda x: pa.array(x, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), longs_of(f), pa.array(size, pa.int32()), pa.array(same, pa.binary()), longs_of(prefix), longs_of(hot)], ["_k", "_f", "_n", "_set", "_prefix", "_hot"])
+
+
+MARKS = "_k long, _f array<long>, _n int, _set binary, _prefix array<long>, _hot array<long>"
+
+
+def _buckets(tokens: DataFrame) -> DataFrame:
+    """`t, a, u`: the members of each bucket of two or more, with its first one; one shuffle, of what is not hot.
+
+    `tokens` are `u, cold array<long>, hot array<long>`. Hot shingles, of which there are FREQUENT at most, are not
+    shuffled: their first members are aggregated, partly in each task, and broadcast.
+    """
+    whole = Window.partitionBy("t")
+    cold = tokens.select("u", F.explode("cold").alias("t")).select("t", F.min("u").over(whole).alias("a"), "u", F.count(F.lit(1)).over(whole).alias("c")).where("c > 1")
+    hot = tokens.select("u", F.explode("hot").alias("t"))
+    first = hot.groupBy("t").agg(F.min("u").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "a")
+    return cold.select("t", "a", "u").union(hot.join(F.broadcast(first), "t").select("t", "a", "u"))
+
+
+def _spanning(similarity: float, pdf: pd.DataFrame) -> pd.DataFrame:
+    """`u, v`: links that join the near copies of a block, of pairs whose left row is marked `probe`.
+
+    Rows of one root count as joined before; a block's rows and shingles are bounded by the caller.
+    """
+    k, n = pdf["k"].to_numpy(), pdf["h"].map(len).to_numpy()
+    owner = np.repeat(np.arange(len(k)), n)
+    _, token = np.unique(np.concatenate(list(pdf["h"])), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    doc, begin = owner[order], np.concatenate(([0], np.cumsum(np.bincount(token))))
+    edge = np.concatenate(([0], np.cumsum(n)))
+    root = {r: r for r in pdf["r"].tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    own, links, left = pdf["r"].tolist(), [], len(root)
+    for i in np.flatnonzero(pdf["probe"].to_numpy()).tolist():
+        if left == 1:
+            break
+        mine = token[edge[i] : edge[i + 1]]
+        count = begin[mine + 1] - begin[mine]
+        at = np.arange(int(count.sum())) + np.repeat(begin[mine] - (np.cumsum(count) - count), count)
+        both = np.bincount(doc[at], minlength=len(k))
+        for j in np.flatnonzero(both >= similarity * (n[i] + n - both) - 1e-9).tolist():
+            x, y = find(own[i]), find(own[j])
+            if x != y:
+                root[x] = y
+                left -= 1
+                links.append((int(k[i]), int(k[j])))
+    return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+
+def _inside(members: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """`u, v`: links that join all near copies within each home, of `members(k, home, n, h)`; `first` are links found before.
+
+    Homes are dealt into blocks of about BLOCK rows and BLOCK_TOKENS shingles. Two rounds hold the rows of a block
+    against each other, dealt anew each time. Then the rows that are not of their home's largest group, few by now,
+    are held against all blocks: so every pair of different groups is looked at, none is emitted but spanning links.
+    """
+    sizes = members.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    members = written(members.join(sizes, "home"), "members")
+    most = members.agg(F.max("blocks")).first()[0] or 0
+    found, rounds = first, 1 if most <= 1 else 2
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        return _spanning(similarity, block)
+
+    none = F.lit(None).cast("long")
+    for i in range(rounds + (most > 1)):
+        roots = components(found)
+        placed = members.join(roots, F.col("k") == F.col("node"), "left").select("k", "home", "h", "blocks", F.coalesce("root", "k").alias("r"))
+        ends = placed.groupBy("home").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x <> y").select("home")
+        placed = placed.join(ends, "home", "left_semi").withColumn("b", F.pmod(F.xxhash64(F.lit(i), "k"), F.col("blocks")))
+        if i < rounds:
+            groups = placed.select("k", "home", "h", "r", "b", none.alias("p"), F.lit(True).alias("probe"))
+        else:
+            placed = written(placed.where("blocks > 1"), "placed")
+            counts = placed.groupBy("home", "r").agg(F.count(F.lit(1)).alias("c"))
+            top = counts.groupBy("home").agg(F.max_by("r", "c").alias("top"))
+            rest = placed.join(top, "home").where("r <> top").drop("top")
+            parts = rest.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+            asked = rest.join(parts, "home").withColumn("p", F.pmod(F.xxhash64(F.lit(-1), "k"), F.col("parts")))
+            targets = placed.join(parts, "home").select("k", "home", "h", "r", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.lit(False).alias("probe"))
+            groups = asked.select("k", "home", "h", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "p", F.lit(True).alias("probe")).union(targets)
+        more = groups.groupBy("home", "b", "p").applyInPandas(compare, "u long, v long")
+        found = written(found.union(more), "found")
+    dropped(members)
+    return found
 
 
 def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataFrame:
     """`_k, _c`: the group of each row of `_k, _text`; see `near_duplicates`."""
-    from math import acos, pi, sqrt
-
     bits = 64 * longs
     share = acos(2 * similarity / (1 + similarity)) / pi
     deviation = sqrt(bits * share * (1 - share))
-    far, sure = int(bits * share + 6 * deviation), int(bits * share - 2.5 * deviation)
+    far = int(bits * share + 6 * deviation)
     texts = rows.select("_k", F.coalesce("_text", F.lit("")).alias("_text"))
-    marks = written(as_binary(texts).mapInArrow(partial(_marked, ngram, longs, similarity, _frequent(texts, ngram)), "_k long, _f array<long>, _n int, _set binary, _prefix array<long>"), "sketches")
+    marks = written(as_binary(texts).mapInArrow(partial(_marked, ngram, longs, similarity, _frequent(texts, ngram), HOT), MARKS), "sketches")
     nodes = written(marks.groupBy("_set").agg(F.min("_k").alias("u")), "nodes")
-    tokens = marks.join(nodes.select(F.col("u").alias("_k")), "_k", "left_semi").select(F.col("_k").alias("u"), F.explode("_prefix").alias("t"))
-    tokens = written(tokens, "tokens")
-    buckets = tokens.groupBy("t").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("t", "a")
-    shared = written(tokens.join(buckets, "t"), "shared")
-    dropped(tokens)
+    tokens = marks.join(nodes.select(F.col("u").alias("_k")), "_k", "left_semi").select(F.col("_k").alias("u"), F.col("_prefix").alias("cold"), F.col("_hot").alias("hot"))
+    shared = written(_buckets(tokens), "shared")
     mark = lambda c, f, n: marks.select(F.col("_k").alias(c), F.col("_f").alias(f), F.col("_n").alias(n))
     d, small = differing(F.col("f"), F.col("g"), longs), F.least("m", "n") < FEW
     alike = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity - 1e-9)
+    maybe = alike & (small | (d <= far))
     binary = texts.select("_k", F.col("_text").cast("binary").alias("_b"))
 
     def real(pairs: DataFrame) -> DataFrame:
-        """The pairs `u, v, f, g, m, n` that are near copies: by their fingerprints where these leave no doubt, else by whole texts."""
-        seen = written(pairs.select("u", "v", (~small & (d <= sure)).alias("sure")), "pairs")
-        doubt = seen.where("not sure")
-        wanted = doubt.select(F.col("u").alias("_k")).union(doubt.select(F.col("v").alias("_k"))).distinct()
+        """Those of the pairs `u, v` whose whole texts are near copies."""
+        seen = written(pairs.select("u", "v"), "pairs")
+        wanted = seen.select(F.col("u").alias("_k")).union(seen.select(F.col("v").alias("_k"))).distinct()
         shown = written(binary.join(wanted, "_k", "left_semi"), "shown")
-        both = doubt.join(shown.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(shown.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
+        both = seen.join(shown.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(shown.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
         held = both.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, ngram), "u long, v long, like double").where(F.col("like") >= similarity)
-        return written(seen.where("sure").select("u", "v").union(held.select("u", "v")), "near")
+        out = written(held.select("u", "v"), "near")
+        dropped(seen, shown)
+        return out
 
-    maybe = alike & (small | (d <= far))
     # every member of a bucket against its first: a row each, however large a group of copies is
     led = shared.where("u <> a").select(F.col("a").alias("u"), F.col("u").alias("v")).distinct()
-    led = written(led.join(mark("u", "f", "m"), "u").join(mark("v", "g", "n"), "v").where(maybe).select("u", "v", "f", "g", "m", "n"), "led")
+    led = written(led.join(mark("u", "f", "m"), "u").join(mark("v", "g", "n"), "v").where(maybe).select("u", "v", "n", (d <= far).alias("about")), "led")
     first = real(led)
-    # what is left: pairs of a bucket that are in different components by now
-    roots = components(first)
-    placed = shared.join(roots, F.col("u") == F.col("node"), "left").select("t", "u", F.coalesce("root", "u").alias("r"))
+    # the rows that are about alike one first member, their home, against each other
+    near_home = led.where("about").groupBy("v").agg(F.min("u").alias("home"), F.first("n").alias("n"))
+    further = near_home.select(F.col("v").alias("home"), F.col("home").alias("_further"))
+    homes = written(near_home.join(further, "home", "left").select(F.col("v").alias("k"), F.coalesce("_further", "home").alias("home"), "n"), "homes")
+    several = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("home")
+    members = homes.join(several, "home", "left_semi")
+    sets = binary.join(members.select(F.col("k").alias("_k")), "_k", "left_semi").mapInArrow(partial(_set_of, ngram), "k long, h array<long>")
+    inner = _inside(members.join(sets, "k"), first, similarity)
+    # what is left: pairs of a bucket that are of different homes and of different groups by now
+    roots = components(inner)
+    named = homes.select(F.col("k").alias("_k"), "home").join(roots, F.col("_k") == F.col("node"), "full").select(F.coalesce("_k", "node").alias("_k"), F.coalesce("home", "_k", "node").alias("home"), F.coalesce("root", "_k").alias("r"))
+    placed = shared.join(named, F.col("u") == F.col("_k"), "left").select("t", "u", F.coalesce("home", "u").alias("o"), F.coalesce("r", "u").alias("r"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("t").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("t")
+    mixed = placed.groupBy("t").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.min("o").alias("z"), F.max("o").alias("w"), F.count(F.lit(1)).alias("c")).where("x <> y and z <> w and c > 2").select("t")
     open_ = written(placed.join(mixed, "t", "left_semi").join(mark("u", "f", "m"), "u"), "open")
-    other = open_.select("t", F.col("u").alias("v"), F.col("r").alias("s"), F.col("f").alias("g"), F.col("m").alias("n"))
-    met = open_.join(other, (open_["t"] == other["t"]) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & maybe)
-    met = met.select("u", "v", "f", "g", "m", "n").dropDuplicates(["u", "v"]).join(led.select("u", "v"), ["u", "v"], "left_anti")
-    linked = first.union(real(met))
+    other = open_.select("t", F.col("u").alias("v"), F.col("r").alias("s"), F.col("o").alias("q"), F.col("f").alias("g"), F.col("m").alias("n"))
+    met = open_.join(other, (open_["t"] == other["t"]) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & (F.col("o") != F.col("q")) & maybe)
+    met = met.select("u", "v").distinct().join(led.select("u", "v"), ["u", "v"], "left_anti")
+    linked = inner.union(real(met))
+    dropped(shared, placed, open_)
     named = nodes.join(components(linked), F.col("u") == F.col("node"), "left").select("_set", F.coalesce("root", "u").alias("_c"))
     return marks.select("_k", "_set").join(named, "_set").select("_k", "_c")
 
@@ -242,11 +350,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     1. Texts of equal shingle sets are one node, so exact copies cost one row however many they are. 2. Two sets
     of that similarity share a shingle among the first (1 - similarity) of each, in any order that is the same
     for all; rare shingles come first. So texts that meet in a shingle of these prefixes are all the candidates:
-    no pair is lost. 3. The members of a bucket are held against its first one, and then only against those in
-    other components. 4. Fingerprints of 64 * longs bits, a vote a distinct shingle, estimate the angle: pairs two
-    and a half standard deviations within that of `similarity` are links, those six beyond it are none, all
-    others and small texts are verified on whole texts. 5. Groups are the connected components, named by their
-    smallest id. Null and blank texts are copies of each other.
+    no pair is lost. 3. The members of a bucket are held against its first one. Those about alike it make it their
+    home: within a home, blocks of bounded size are held against each other on whole shingle sets, and only links
+    that join groups leave a block. Then members of different homes and groups that still share a bucket meet.
+    4. Fingerprints of 64 * longs bits, a vote a distinct shingle, estimate the angle: pairs six standard deviations
+    beyond that of `similarity` are none, all others and small texts are verified on whole texts. 5. Groups are the connected components, named by their smallest id. Null and blank
+    texts are copies of each other.
     """
     rows, plain = keyed(df, id_col, text_col)
     out = _groups(rows, ngram, similarity, longs)

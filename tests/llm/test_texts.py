@@ -167,6 +167,30 @@ def test_near_duplicates_are_all_found(spark, words):
     assert got == want and len(pairs) > 20
 
 
+def test_large_groups_of_near_copies_are_dealt_into_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("HOT", 3), ("SAMPLE", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    rng, rows = random.Random(9), []
+    for g in range(3):
+        base = [rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(90)]
+        for j in range(60):
+            copy = list(base)
+            for p in rng.sample(range(90), rng.randrange(1, 4)):
+                copy[p] = f"y{j}"
+            rows.append((100 * g + j, " ".join(copy)))
+    sets = {k: set(neardup.shingles(t.encode(), 5)) for k, t in rows}
+    want, before = {k: k for k in sets}, None
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while before != want:
+        before = dict(want)
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(pairs) > 300
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert neardup.near_duplicates(empty).count() == neardup.without_near_duplicates(empty).count() == 0
+
+
 def naive_repeats(rows, window):
     docs = {k: (t or "").encode().split() for k, t in rows}
     seen, gone = set(), {k: set() for k in docs}
