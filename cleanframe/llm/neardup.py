@@ -318,16 +318,18 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
 
     # every member of a bucket against its first: a row each, however large a group of copies is
     led = shared.where("u <> a").select(F.col("a").alias("u"), F.col("u").alias("v")).distinct()
-    led = written(led.join(mark("u", "f", "m"), "u").join(mark("v", "g", "n"), "v").where(maybe).select("u", "v", "n", (d <= far).alias("about")), "led")
+    led = written(led.join(mark("u", "f", "m"), "u").join(mark("v", "g", "n"), "v").where(maybe).select("u", "v", (d <= far).alias("about")), "led")
     first = real(led)
     # the rows that are about alike one first member, their home, against each other
-    near_home = led.where("about").groupBy("v").agg(F.min("u").alias("home"), F.first("n").alias("n"))
-    further = near_home.select(F.col("v").alias("home"), F.col("home").alias("_further"))
-    homes = written(near_home.join(further, "home", "left").select(F.col("v").alias("k"), F.coalesce("_further", "home").alias("home"), "n"), "homes")
-    several = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("home")
+    near_home = led.where("about").groupBy(F.col("v").alias("k")).agg(F.min("u").alias("home"))
+    further = near_home.select(F.col("k").alias("home"), F.col("home").alias("_further"))
+    settled = near_home.join(further, "home", "left").select("k", F.coalesce("_further", "home").alias("home"))
+    own = settled.select(F.col("home").alias("k")).distinct().join(near_home, "k", "left_anti").select("k", F.col("k").alias("home"))
+    homes = written(settled.union(own), "homes")
+    several = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select("home")
     members = homes.join(several, "home", "left_semi")
     sets = binary.join(members.select(F.col("k").alias("_k")), "_k", "left_semi").mapInArrow(partial(_set_of, ngram), "k long, h array<long>")
-    inner = _inside(members.join(sets, "k"), first, similarity)
+    inner = _inside(members.join(sets, "k").withColumn("n", F.size("h")), first, similarity)
     # what is left: pairs of a bucket that are of different homes and of different groups by now
     roots = components(inner)
     named = homes.select(F.col("k").alias("_k"), "home").join(roots, F.col("_k") == F.col("node"), "full").select(F.coalesce("_k", "node").alias("_k"), F.coalesce("home", "_k", "node").alias("home"), F.coalesce("root", "_k").alias("r"))
