@@ -22,6 +22,8 @@ CLASSES = 1 << 12
 CHAIN = 64
 #: Longest word, in bytes, that can be in the head: bounds what the tasks get.
 HEAD_BYTES = 64
+#: Words outside the head whose symbols a task remembers.
+MEMO = 200_000
 
 
 def word_class(word: bytes) -> int:
@@ -29,15 +31,21 @@ def word_class(word: bytes) -> int:
 
 
 class Symbols(dict):
-    """Symbol of each word: head words by rank, others by class; the last symbol is a text's end."""
+    """Symbol of each word: head words by rank, others by class; the last symbol is a text's end.
+
+    MEMO words of the classes are remembered."""
 
     def __init__(self, head: list[bytes]) -> None:
         super().__init__((w, i) for i, w in enumerate(head))
-        self.head = len(head)
+        self.words, self.head = head, len(head)
         self.end = self.head + CLASSES
 
     def __missing__(self, word: bytes) -> int:
-        return self.head + word_class(word)
+        if len(self) >= self.head + MEMO:
+            self.clear()
+            self.update((w, i) for i, w in enumerate(self.words))
+        n = self[word] = self.head + word_class(word)
+        return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.array([*map(self.__getitem__, words), self.end], np.int32)
@@ -150,12 +158,41 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("cls", pa.array([word_class(w.encode()) for w in batch.column("word").to_pylist()], pa.int32()))
 
 
-def _expect(model: Model, head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's symbols with its end, and its words outside the head with their counts."""
+    symbols = Symbols(head)
+    for batch in batches:
+        for keys, words in _parts(batch):
+            made = [symbols.of(w) for w in words]
+            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+            rare = [Counter([w for w, s in zip(ws, x.tolist(), strict=False) if s >= symbols.head]) for ws, x in zip(words, made, strict=True)]
+            at = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made))),
+                pa.ListArray.from_arrays(at, pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string())),
+                pa.ListArray.from_arrays(at, pa.array([n for c in rare for n in c.values()], pa.int64())),
+            ], ["_k", "s", "rare", "times"])
+
+
+def _texts(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, symbols of each text) of rows, some `most` tokens at a time."""
+    s = batch.column("s")
+    flat, at = s.flatten().to_numpy(), s.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    row = 0
+    while row < len(s):
+        upto = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
+        yield row, [flat[a:b] for a, b in zip(at[row:upto].tolist(), at[row + 1 : upto + 1].tolist(), strict=True)]
+        row = upto
+
+
+def _expect(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Expected counts of a partition: a row for each symbol it holds, and negative rows for start, share, moves."""
-    symbols, sums = Symbols(head), None
+    sums = None
     for batch in batches:
-        for _, words in _parts(batch):
-            got = model.counts([symbols.of(w) for w in words])
+        for _, texts in _texts(batch):
+            got = model.counts(texts)
             sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
     if sums is not None:
         start, share, move, emit = sums
@@ -165,11 +202,11 @@ def _expect(model: Model, head: list[bytes], batches: Iterator[pa.RecordBatch])
         yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *[pa.array(values[:, j]) for j in range(values.shape[1])]], ["s", *[f"v{j}" for j in range(values.shape[1])]])
 
 
-def _iterate(texts: DataFrame, model: Model, head: list[bytes], unigram: np.ndarray) -> Model:
+def _iterate(texts: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     """One Baum-Welch step: expected counts by partition, summed by symbol. The result has a fixed bound."""
     k = model.move.shape[0]
     cols = [f"v{j}" for j in range(k)]
-    each = texts.mapInArrow(partial(_expect, model, head), "s int, " + ", ".join(f"{c} double" for c in cols))
+    each = texts.select("s").mapInArrow(partial(_expect, model), "s int, " + ", ".join(f"{c} double" for c in cols))
     got = each.groupBy("s").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
     s, v = got["s"].to_numpy(), got[cols].to_numpy()
     if not len(s):
@@ -180,17 +217,15 @@ def _iterate(texts: DataFrame, model: Model, head: list[bytes], unigram: np.ndar
     return model.refit(rest[-1], rest[-2], np.stack([rest[-3 - j] for j in range(k)]), emit, unigram)
 
 
-def _score(model: Model, head: list[bytes], head_log: np.ndarray, class_log: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    symbols = Symbols(head)
+def _score(model: Model, first: int, end: int, head_log: np.ndarray, class_log: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys, words in _parts(batch):
-            texts = [symbols.of(w) for w in words]
+        for row, texts in _texts(batch):
             size = np.array([len(t) for t in texts])
             flat = np.concatenate(texts)
             begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-            rare = (flat >= symbols.head) & (flat < symbols.end)
+            rare = (flat >= first) & (flat < end)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.int64()),
+                batch.column("_k").slice(row, len(texts)),
                 pa.array(size.astype(np.int64)),
                 pa.array(np.add.reduceat(rare.astype(np.int64), begin)),
                 pa.array(np.add.reduceat(head_log[flat], begin)),
@@ -198,19 +233,6 @@ def _score(model: Model, head: list[bytes], head_log: np.ndarray, class_log: np.
             ], ["_k", "n", "rare", "head", "path"])
 
 
-def _rare_words(head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = set(head)
-    for batch in batches:
-        for keys, words in _parts(batch):
-            k, w, n = [], [], []
-            for key, ws in zip(keys, words, strict=True):
-                c = Counter([x for x in ws if x not in known])
-                k += [key] * len(c)
-                w += c.keys()
-                n += c.values()
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(w, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["_k", "word", "n"])
-
-
 def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, seed: int = 1, modulo: int = 7, left: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, held_out, n_tokens, n_known, train_tokens, base_score, score` of every whole text.
 
@@ -226,7 +248,6 @@ def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, seed: i
     """
     rows, plain = keyed(df, id_col, text_col)
     texts = as_binary(rows)
-    marked = rows.select("_k", fold(F.col("_id"), modulo).alias("_fold"))
     train = rows.where(fold(F.col("_id"), modulo) != left)
     each = train.select(F.explode(words_of(ascii_lower(F.coalesce("_text", F.lit(""))))).alias("word"))
     words = written(each.groupBy("word").agg(F.count("*").alias("c")), "words")
@@ -250,22 +271,25 @@ def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, seed: i
     mass = np.concatenate(([c for _, c in top], class_n, [ends])).astype(float) + 0.5
     unigram = mass / mass.sum()
     model = Model.first(unigram, states, seed)
-    learn = as_binary(train)
+    # tokenised once: all that follows reads symbols
+    encoded = texts.mapInArrow(partial(_encode, head), "_k long, s array<int>, rare array<string>, times array<bigint>")
+    ids = rows.select("_k", "_id", fold(F.col("_id"), modulo).alias("_fold"))
+    by_key = fold(F.col("_k"), modulo).alias("_fold")
+    encoded = written(encoded.select("*", by_key) if plain else encoded.join(ids.select("_k", "_fold"), "_k"), "symbols")
+    learn = encoded.where(F.col("_fold") != left)
     if ends:
         for i in range(warm):
-            part = train.where(F.pmod(F.xxhash64(F.lit(11), F.col("_k")), F.lit(warm)) == i)
-            model = _iterate(as_binary(part), model, head, unigram)
+            model = _iterate(learn.where(F.pmod(F.xxhash64(F.lit(11), F.col("_k")), F.lit(warm)) == i), model, unigram)
         for _ in range(full):
-            model = _iterate(learn, model, head, unigram)
+            model = _iterate(learn, model, unigram)
     base = float(np.log10(tokens + kinds + 1))
     head_log = np.concatenate((np.log10(np.array([c for _, c in top], float) + 1) - base, np.full(CLASSES, -base), [np.log10(ends + 1) - base]))
     class_log = np.concatenate((np.zeros(len(top)), np.log10(class_n + class_v + 1), [0.0]))
-    main = texts.mapInArrow(partial(_score, model, head, head_log, class_log), "_k long, n long, rare long, head double, path double")
-    rare = texts.mapInArrow(partial(_rare_words, head), "_k long, word string, n long").join(tail.select("word", "c"), "word", "left")
+    main = encoded.select("_k", "s").mapInArrow(partial(_score, model, len(head), len(head) + CLASSES, head_log, class_log), "_k long, n long, rare long, head double, path double")
+    rare = encoded.select("_k", F.inline(F.arrays_zip("rare", "times"))).toDF("_k", "word", "n").join(tail.select("word", "c"), "word", "left")
     lifted = rare.groupBy("_k").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("up"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = main.join(lifted, "_k", "left").join(marked, "_k")
-    if not plain:
-        out = out.join(rows.select("_k", "_id"), "_k")
+    out = main.join(lifted, "_k", "left")
+    out = out.select("*", by_key) if plain else out.join(ids, "_k")
     up, known = F.coalesce("up", F.lit(0.0)), F.coalesce("known", F.lit(0))
     end_known = 1 if ends else 0
     return out.select(
