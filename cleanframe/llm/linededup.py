@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanframe.llm.common import ascii_lower, keyed, strip, written
@@ -28,15 +28,16 @@ def _marks(min_chars: int) -> Column:
 def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """`h1, h2, _keeper`: keys of at least `min_docs` documents and the largest key `_k` holding each.
 
-    Each document counts once for a key. Counts are summed by (hash, salt) with map-side partial sums, so no
-    task gathers a hot line; the few rows left are range-partitioned by hash, sorted by hash and then document,
-    latest first, and the aggregate over them streams: the first row of a hash is the occurrence that stays.
+    Each document counts once for a key, whatever its positions there. Counts are summed by (hash, salt) with
+    map-side partial sums, so no task gathers a hot line. The SALTS rows at most that are left of a hash are
+    range-partitioned by it and sorted by hash and document, latest first; a window streams over them, and the
+    first row of a hash is the occurrence that stays.
     """
     once = lines.select("_k", F.inline(F.array_distinct(F.transform("_marks", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))))
     salted = once.groupBy("h1", "h2", F.pmod(F.hash("_k"), F.lit(SALTS)).alias("_salt")).agg(F.count("*").alias("_n"), F.max("_k").alias("_last"))
-    ranged = salted.repartitionByRange("h1").sortWithinPartitions("h1", "h2", F.col("_last").desc())
-    first = ranged.groupBy("h1", "h2").agg(F.sum("_n").alias("_n"), F.max("_last").alias("_keeper"))
-    return first.where(F.col("_n") >= min_docs).select("h1", "h2", "_keeper")
+    whole = Window.partitionBy("h1", "h2")
+    streamed = salted.repartitionByRange("h1", "h2").select("h1", "h2", "_last", F.row_number().over(whole.orderBy(F.desc("_last"))).alias("_turn"), F.sum("_n").over(whole).alias("_docs"))
+    return streamed.where((F.col("_turn") == 1) & (F.col("_docs") >= min_docs)).select("h1", "h2", F.col("_last").alias("_keeper"))
 
 
 def keep_runs(n_lines: Column, dropped: Column) -> Column:
