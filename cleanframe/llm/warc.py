@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from cleanframe.llm.common import fresh_path, keyed, ship, written
 
 #: A record ends in two line ends; Spark's text writer puts them after each row.
 END = "\r\n\r\n"
-#: Records of one archive: an archive is read as a whole by one task.
-RECORDS_PER_FILE = 1500
+#: Records of one archive, which one task reads as a whole; pages of more than LARGE bytes have archives of their own.
+RECORDS_PER_FILE, LARGE = 1500, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -43,8 +44,10 @@ def clean_uri(url: str | None) -> str:
     return (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def transaction(key: int, page: str, url: str | None, payload: bytes, first: int) -> list[bytes]:
-    """The request, response (or revisit of the response of `first`) and metadata records of a page."""
+def transaction(key: int, page: str | None, url: str | None, payload: bytes, first: int) -> list[bytes]:
+    """The request, response (or revisit of the response of `first`) and metadata records of a page.
+
+    The page's id stands percent-encoded in the metadata, so that blanks at its ends stay; a null id is not there."""
     uri, mark = clean_uri(url), digest(payload)
     own = record_id(key, "capture")
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
@@ -56,7 +59,7 @@ def transaction(key: int, page: str, url: str | None, payload: bytes, first: int
         capture = record("revisit", [("WARC-Record-ID", own), *common, ("WARC-Refers-To", record_id(first, "capture")), ("WARC-Profile", PROFILE), *marks], http)
     ask = f"GET {uri} HTTP/1.1\r\n\r\n".encode()
     request = record("request", [("WARC-Record-ID", record_id(key, "request")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], ask)
-    metadata = record("metadata", [("WARC-Record-ID", record_id(key, "metadata")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], f"page-id: {page}\r\n".encode())
+    metadata = record("metadata", [("WARC-Record-ID", record_id(key, "metadata")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], b"" if page is None else f"page-id: {quote(page)}\r\n".encode())
     return [request, capture, metadata]
 
 
@@ -122,7 +125,7 @@ def _records(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             lengths = [x.split(b":", 1)[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
             http_length = int(lengths[0]) if lengths else len(payload)
         elif kind == "metadata":
-            page = next((x[8:].strip().decode() for x in block.split(b"\r\n") if x.startswith(b"page-id:")), None)
+            page = next((unquote(x[8:].strip().decode()) for x in block.split(b"\r\n") if x.startswith(b"page-id:")), None)
         seen = kind == "response"
         mark = headers.get("warc-payload-digest")
         return (kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), mark and mark.partition(":")[2], page, http_length, len(payload) if seen else None, digest(payload) if seen else None, *([payload if seen else None] * payloads))
@@ -158,10 +161,19 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         same = rows["_id"].eqNullSafe(shared["_id"]) & rows["_text"].eqNullSafe(shared["_text"])
         urls = rows.join(shared, same).select("_k", rows["_id"].cast("string").alias("_id"), "_url", F.coalesce(rows["_text"], F.lit("")).cast("binary").alias("_b"))
     marks = written(urls.select("_k", "_b").mapInArrow(_digests, "_k long, _digest string, _size long"), "digests")
-    firsts = marks.where(F.col("_size") >= min_bytes).groupBy("_digest").agg(F.min("_k").alias("_f"))
-    known = marks.join(firsts, "_digest", "left").select("_k", F.when(F.col("_size") >= min_bytes, F.col("_f")).otherwise(F.col("_k")).alias("_first"))
-    records = urls.join(known, "_k").select("_k", "_id", "_url", "_b", "_first").mapInArrow(_transactions, "value string")
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
+    # the first of a digest goes to the others by a table of digests that occur more than once; others are their own
+    firsts = marks.where(F.col("_size") >= min_bytes).groupBy("_digest").agg(F.min("_k").alias("_f"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_digest", "_f")
+    known = marks.join(firsts, "_digest", "left").select("_k", "_size", F.when(F.col("_size") >= min_bytes, F.coalesce("_f", "_k")).otherwise(F.col("_k")).alias("_first"))
+    records = urls.join(known, "_k").select("_k", "_id", "_url", "_b", "_first", "_size")
+    large = F.col("_size") > LARGE
+
+    def write(some: DataFrame, per_file: int, mode: str) -> None:
+        lines = some.select("_k", "_id", "_url", "_b", "_first").mapInArrow(_transactions, "value string")
+        lines.write.mode(mode).option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+
+    write(records.where(~large), RECORDS_PER_FILE, "errorifexists")
+    if (marks.agg(F.max("_size")).first()[0] or 0) > LARGE:
+        write(records.where(large), 3, "append")
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -194,4 +206,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = written(captures(read_records(spark, path)).select("id", "kind", "page", "payload_bytes", "payload_digest", "refers_to"), "captures")
     kind = pages.schema[id_col].dataType
     origin = seen.where("kind = 'response'").select(F.col("id").alias("refers_to"), F.col("page").cast(kind).alias("_origin"))
-    return seen.join(origin, "refers_to", "left").select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("_origin").alias("refers_to"))
+    columns = (F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"))
+    # responses refer to nothing: they stay out of the join, whose null key would hold them all
+    first = seen.where("kind = 'response'").select(*columns, F.lit(None).cast(kind).alias("refers_to"))
+    later = seen.where("kind <> 'response'").join(origin, "refers_to", "left").select(*columns, F.col("_origin").alias("refers_to"))
+    return first.union(later)

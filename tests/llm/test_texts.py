@@ -237,7 +237,11 @@ def test_warc_round_trip(spark, tmp_path):
         one = warc.captures(records).where("page = '5'").first()
         assert one.kind == "revisit" and one.request.uri == one.uri == "http://c/" and one.metadata.page == "5"
     twice = spark.createDataFrame([(1, "u", "x"), (1, "v", "x"), (None, "w", "y")], "page_id long, url string, html string")
-    assert warc.round_trip(twice).count() == 3
+    got = warc.round_trip(twice).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == [(1, "response", None), (1, "revisit", 1), (None, "response", None)]
+    named = spark.createDataFrame([(" a", "u", "x"), ("b ", "v", "x"), ("é%20\n", "w", "y" * 2_000_000)], "page_id string, url string, html string")
+    got = warc.round_trip(named).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got} == {(" a", "response", None, 1), ("b ", "revisit", " a", 1), ("é%20\n", "response", None, 2_000_000)}
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
