@@ -186,7 +186,8 @@ def _deduped(df: DataFrame, window: int, digest: bool, id_col: str, text_col: st
     rows, plain = keyed(df, id_col, text_col)
     texts = as_binary(rows)
     least = written(texts.mapInArrow(partial(_minimizers, window), "m long, _k long, p int"), "minimizers")
-    repeated = least.groupBy("m").count().where("count > 1").select("m")
+    # a table of its own: it is broadcast while small, and beyond that a hot minimizer's rows can be split
+    repeated = written(least.groupBy("m").count().where("count > 1").select("m"), "repeated")
     places = written(least.join(repeated, "m", "left_semi").groupBy("_k").agg(F.collect_list("p").alias("_places")), "places")
     dropped(least)
     edges = texts.join(places, "_k").mapInArrow(partial(_edges, window), "h long, g int, _k long, i int")
