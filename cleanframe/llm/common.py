@@ -17,10 +17,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.cleanframe.shared.dir", "")
+    """The folder all executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets one of its own, as in tests; a cluster raises, for executors would write
+    to their own disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.cleanframe.shared.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cleanframe-")
         spark.conf.set("spark.cleanframe.shared.dir", folder)
     return folder.rstrip("/")
