@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from decimal import Decimal, InvalidOperation
 
@@ -12,61 +13,78 @@ from pyspark.sql import types as T
 
 from cleanframe.functions.types import StepError, semantic
 
-_DURATION = re.compile(r"(-)?(?:(\d+) days?,? ?)?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6}))?")
-
-
-def _float(text: str) -> float:
-    if text.strip().lower() in ("nan", "+nan", "-nan"):
-        raise StepError("NaN is no literal: use isNaN")
-    if text.strip() in ("Infinity", "+Infinity", "-Infinity"):
-        return float(text)
-    if not re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", text):
-        raise ValueError(text)
-    return float(text)
+_NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+_DAY = r"\d{4}-\d\d-\d\d"
+_CLOCK = r"([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?"
+#: The text forms of each type, matched in full: no blanks, no digit separators, no other spellings.
+_FORMS = {
+    "integer": re.compile(r"[+-]?\d+"),
+    "float": re.compile(rf"{_NUMBER}|[+-]?Infinity"),
+    "decimal": re.compile(_NUMBER),
+    "date": re.compile(_DAY),
+    "datetime": re.compile(rf"{_DAY}([T ]{_CLOCK}(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)?)?"),
+}
+#: Seconds, or days and a time of day.
+_SECONDS = re.compile(r"[+-]?(\d+(\.\d{0,6})?|\.\d{1,6})")
+_SPAN = re.compile(r"((?P<days>-?\d+) days?, )?(?P<h>\d|[01]\d|2[0-3]):(?P<m>[0-5]\d):(?P<s>[0-5]\d(\.\d{1,6})?)")
 
 
 def _duration(text: str) -> dt.timedelta:
-    m = _DURATION.fullmatch(text.strip())
-    if not m or int(m[4]) > 59 or int(m[5]) > 59:
+    if _SECONDS.fullmatch(text):
+        return dt.timedelta(microseconds=int(Decimal(text).scaleb(6)))
+    m = _SPAN.fullmatch(text)
+    if not m:
         raise ValueError(text)
-    value = dt.timedelta(days=int(m[2] or 0), hours=int(m[3]), minutes=int(m[4]), seconds=int(m[5]), microseconds=int((m[6] or "").ljust(6, "0") or 0))
-    return -value if m[1] else value
+    clock = Decimal(m["s"]) + 60 * int(m["m"]) + 3600 * int(m["h"])
+    return dt.timedelta(days=int(m["days"] or 0), microseconds=int(clock.scaleb(6)))
 
 
 def parse(value: object, kind: T.DataType) -> object:
-    """`value` (its text or its Python value) as a value of `kind`; raises StepError where it isn't one."""
+    """`value` (its text or its Python value) as a value of `kind`; raises StepError where it isn't one.
+
+    Booleans may have blanks around them, all other texts have exactly the form of their type. NaN is no literal,
+    and a number too large for a double is none but as `Infinity`. A day alone is its midnight.
+    """
     name = semantic(kind)
+    if name == "string":
+        return str(value)
+    own = {"boolean": bool, "date": dt.date, "datetime": dt.datetime, "duration": dt.timedelta}.get(name)
+    if own and isinstance(value, own) and not (name == "date" and isinstance(value, dt.datetime)):
+        text = None
+    elif isinstance(value, bool):
+        raise StepError(f"{value!r} is no {name} value")
+    else:
+        text = str(value)
+        if name in _FORMS and not _FORMS[name].fullmatch(text):
+            raise StepError(f"{value!r} is no {name} value")
     try:
-        if name == "string":
-            return str(value)
         if name == "boolean":
-            if isinstance(value, bool):
-                return value
-            return {"true": True, "false": False}[str(value).strip().lower()]
+            return value if text is None else {"true": True, "false": False}[text.strip().lower()]
         if name == "integer":
-            if isinstance(value, bool) or not re.fullmatch(r"\s*[+-]?\d+\s*", str(value)):
-                raise ValueError(value)
-            number = int(value)
+            number = int(text)
             if abs(number) >= 10**38:
                 raise ValueError(value)
             return number
         if name == "float":
-            return _float(str(value))
+            number = float(text)
+            if math.isinf(number) and not text.endswith("Infinity"):
+                raise ValueError(value)
+            return number
         if name == "decimal":
-            number = Decimal(str(value).strip())
-            if not number.is_finite() or -number.as_tuple().exponent > kind.scale and number != round(number, kind.scale):
+            number = Decimal(text)
+            if -number.as_tuple().exponent > kind.scale and number != round(number, kind.scale):
                 raise ValueError(value)
             return number
         if name == "date":
-            return value if isinstance(value, dt.date) and not isinstance(value, dt.datetime) else dt.date.fromisoformat(str(value).strip())
+            return value if text is None else dt.date.fromisoformat(text)
         if name == "datetime":
-            moment = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value).strip().replace("Z", "+00:00"))
+            moment = value if text is None else dt.datetime.fromisoformat(text.replace("Z", "+00:00"))
             if (moment.tzinfo is not None) != isinstance(kind, T.TimestampType) and not (moment.tzinfo is None and isinstance(kind, T.TimestampType)):
                 raise ValueError(value)
             return moment
         if name == "duration":
-            return value if isinstance(value, dt.timedelta) else _duration(str(value))
-    except (ValueError, KeyError, InvalidOperation) as e:
+            return value if text is None else _duration(text)
+    except (ValueError, KeyError, OverflowError, InvalidOperation) as e:
         raise StepError(f"{value!r} is no {name} value") from e
     raise StepError(f"{name} columns take no literals")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,11 +10,14 @@ from cleanframe.functions.types import any_of, kind_of, missing, named, rows_onl
 from cleanframe.functions.types import field as field_of
 from cleanframe.operators.numeric import finite
 from cleanframe.plans.filters import ascii_folded
+from cleanframe.plans.ranges import middle_values
 
 #: Columns of one job with distinct counts: each such count multiplies the rows that Spark expands.
 DISTINCT_COLUMNS = 4
 #: Top values kept, and bins of a histogram at most.
 TOP, BINS = 10, 20
+#: Distinct values, by estimate, up to which an exact median is one aggregate.
+MEDIAN_VALUES = 1_000_000
 
 
 def canonical(df: DataFrame, name: str) -> Column:
@@ -54,13 +57,25 @@ def base_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """`column, min, max, mean, median, std, sum` as doubles, over finite values; `exact=False` approximates the median."""
+    """`column, min, max, mean, median, std, sum` as doubles, over finite values; `exact=False` approximates the median.
+
+    Exact medians of columns of up to MEDIAN_VALUES distinct values come from one aggregate, which holds them all;
+    those of others from the range bucket that holds the middle ranks, so that no task holds a column.
+    """
     rows_only(df, "profile")
-    made = []
+    made, value = [], lambda c: finite(named(c).cast("double"))
+    wide = set()
+    if exact:
+        found = df.agg(*[F.approx_count_distinct(value(c)).alias(f"d{j}") for j, c in enumerate(columns)]).first()
+        wide = {c for c, n in zip(columns, found, strict=True) if n > MEDIAN_VALUES}
     for j, c in enumerate(columns):
-        v = finite(named(c).cast("double"))
+        v = value(c)
         total = F.sum(v) if kind_of(df, c) == "float" else F.try_sum(named(c).cast("decimal(38,0)") if kind_of(df, c) == "integer" else named(c)).cast("double")
-        middle = F.median(v) if exact else F.percentile_approx(v, 0.5)
+        if c in wide:
+            low, high = middle_values(df.select(v.alias("v")), "v")
+            middle = F.lit(low / 2 + high / 2)
+        else:
+            middle = F.median(v) if exact else F.percentile_approx(v, 0.5)
         made += [F.min(v).alias(f"a{j}"), F.max(v).alias(f"b{j}"), F.avg(v).alias(f"c{j}"), middle.alias(f"d{j}"), F.stddev_samp(v).alias(f"e{j}"), total.alias(f"f{j}")]
     names = ("min", "max", "mean", "median", "std", "sum")
     cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{x}{j}").alias(n) for x, n in zip("abcdef", names, strict=True)]) for j, c in enumerate(columns)]
@@ -100,12 +115,9 @@ def top_values(df: DataFrame, columns: list[str], k: int = TOP) -> DataFrame:
     rows_only(df, "profile")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), canonical(df, c).alias("value")) for c in columns])
     counts = df.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").count()
-    out = None
-    for c in columns:  # a top-k of each column: partial top-k in every task, no sort of all counts
-        one = counts.where(F.col("column") == c).orderBy(F.desc("count"), "value").limit(k)
-        out = one if out is None else out.union(one)
-    ranked = out.groupBy("column").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("m"), "value"))).alias("v"))
-    return ranked.select("column", F.posexplode("v").alias("rank", "x")).select("column", F.col("x.value").alias("value"), (-F.col("x.m")).alias("count"), (F.col("rank") + 1).cast("long").alias("rank"))
+    # the group limit below the window keeps k rows a column in every task: all counts are never sorted together
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("column", "value", "count", F.col("rank").cast("long").alias("rank"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
@@ -163,17 +175,33 @@ def column_values(df: DataFrame, column: str, search: str = "", limit: int = 100
 
 
 def sampled_profile(df: DataFrame, columns: list[str], key: list[str], rows: int = 100_000) -> DataFrame:
-    """`column, total, nulls, mean, std, distinct_estimate, median_estimate, sampled`: exact moments and estimates.
+    """`column, total, nulls, min, max, sum, mean, std, distinct_estimate, median_estimate, sampled`.
 
-    Counts, means and deviations cover all rows; the median comes from about `rows` rows chosen by a hash of `key`,
-    the same on every run, and distinct values from a sketch. A sampling operator: its labels say so.
+    Counts, ends, sums, means and deviations cover all rows; the median comes from about `rows` rows chosen by a hash
+    of `key`, the same on every run, and distinct values from a sketch. A sampling operator: its labels say so.
     """
     rows_only(df, "profile")
-    total = df.count()
-    chosen = F.pmod(F.xxhash64(*[named(k) for k in key]), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / max(1, total)) * (1 << 30)))
+    chosen = _sample(df, key, rows)
     made = [F.count("*").alias("t"), F.count(F.when(chosen, 1)).alias("s")]
     for j, c in enumerate(columns):
         v = finite(named(c).cast("double"))
-        made += [F.count(F.when(named(c).isNull(), 1)).alias(f"n{j}"), F.avg(v).alias(f"m{j}"), F.stddev_samp(v).alias(f"e{j}"), F.approx_count_distinct(named(c)).alias(f"d{j}"), F.percentile_approx(F.when(chosen, v), 0.5).alias(f"p{j}")]
-    cells = [F.struct(F.lit(c).alias("column"), F.col("t").alias("total"), F.col(f"n{j}").alias("nulls"), F.col(f"m{j}").alias("mean"), F.col(f"e{j}").alias("std"), F.col(f"d{j}").alias("distinct_estimate"), F.col(f"p{j}").alias("median_estimate"), F.col("s").alias("sampled")) for j, c in enumerate(columns)]
+        made += [F.count(F.when(named(c).isNull(), 1)).alias(f"n{j}"), F.min(v).alias(f"a{j}"), F.max(v).alias(f"b{j}"), F.sum(v).alias(f"f{j}"), F.avg(v).alias(f"m{j}"), F.stddev_samp(v).alias(f"e{j}"), F.approx_count_distinct(named(c)).alias(f"d{j}"), F.percentile_approx(F.when(chosen, v), 0.5).alias(f"p{j}")]
+    names = {"nulls": "n", "min": "a", "max": "b", "sum": "f", "mean": "m", "std": "e", "distinct_estimate": "d", "median_estimate": "p"}
+    cells = [F.struct(F.lit(c).alias("column"), F.col("t").alias("total"), *[F.col(f"{x}{j}").alias(n) for n, x in names.items()], F.col("s").alias("sampled")) for j, c in enumerate(columns)]
     return df.agg(*made).select(F.inline(F.array(*cells)))
+
+
+def _sample(df: DataFrame, key: list[str], rows: int) -> Column:
+    """About `rows` rows, chosen by a hash of `key`; all, where there are no more."""
+    share = min(1.0, rows / max(1, df.count()))
+    return F.pmod(F.xxhash64(*[named(k) for k in key]), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def sampled_histogram(df: DataFrame, column: str, key: list[str], rows: int = 100_000, bins: int = BINS) -> DataFrame:
+    """`histogram` of about `rows` rows chosen by a hash of `key`."""
+    return histogram(df.where(_sample(df, key, rows)), column, bins)
+
+
+def sampled_top_values(df: DataFrame, columns: list[str], key: list[str], rows: int = 100_000, k: int = TOP) -> DataFrame:
+    """`top_values` of about `rows` rows chosen by a hash of `key`."""
+    return top_values(df.where(_sample(df, key, rows)), columns, k)

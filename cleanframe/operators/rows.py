@@ -19,9 +19,8 @@ def drop_missing_rows(frame: Frame, columns: list[str] | None = None, how: str =
 def drop_duplicates(frame: Frame, columns: list[str] | None = None, keep: str = "first") -> Frame:
     """Keeps the first or last of equal rows in the frame's order, or (`none`) only rows without an equal.
 
-    Nulls equal nulls, and NaN equals NaN. With an ascending order, the kept position comes from an aggregate
-    with map-side partial results, joined back where whole rows are needed; keys that repeat millions of times
-    are no burden to a task.
+    Nulls equal nulls, and NaN equals NaN. With an ascending order, the kept row comes from an aggregate with
+    map-side partial results over whole rows; keys that repeat millions of times are no burden to a task.
     """
     rows_only(frame.df, "dropDuplicates")
     names = columns or frame.result().columns

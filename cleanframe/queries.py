@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleanframe.functions.types import StepError
+from cleanframe.operators import fill as fill_steps
 from cleanframe.operators import profile
 from cleanframe.operators.example import ranked
 from cleanframe.plans.diff import diff_counts, step_diff
 from cleanframe.plans.filters import FilterModel, page
 from cleanframe.plans.frame import Frame, SortRule
-from cleanframe.plans.recipe import Recipe
+from cleanframe.plans.recipe import Recipe, Step
 from cleanframe.sources import dialect, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,12 +77,14 @@ step(
 
 
 def _round_trip(spark: SparkSession, df: DataFrame, write: Callable, read: Callable) -> DataFrame:
-    """Written to a new folder of the shared ones, and read back."""
+    """Written to a new folder of the shared ones, and read back. Only a local session may do without a shared folder."""
     import tempfile
     import uuid
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cleanframe-")
-    path = f"{folder.rstrip('/')}/export-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise StepError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(folder or tempfile.mkdtemp(prefix='cleanframe-')).rstrip('/')}/export-{uuid.uuid4().hex}"
     write(df, path)
     return read(spark, path)
 
@@ -100,6 +105,56 @@ def tsv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, df, lambda d, p: files.write_delimited(d, p, "\t"), lambda s, p: files.read_delimited(s, p, "\t")).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
+@query("csv_encoded_round_trip", "SELECT c_custkey, 'Größe ' || c_name AS c_name FROM customer")
+def csv_encoded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Größe "), "c_name").alias("c_name"))
+    return _round_trip(spark, df, lambda d, p: files.write_delimited(d, p, encoding="ISO-8859-1"), lambda s, p: files.read_delimited(s, p, encoding="ISO-8859-1", schema="c_custkey bigint, c_name string"))
+
+
+@query("csv_lossy_utf8", "SELECT c_custkey, 'Gr' || chr(65533) || 'n ' || c_name AS c_name FROM customer")
+def csv_lossy_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Grün "), "c_name").alias("c_name"))
+    return _round_trip(spark, df, lambda d, p: files.write_delimited(d, p, encoding="ISO-8859-1"), lambda s, p: files.read_delimited(s, p, schema="c_custkey bigint, c_name string"))
+
+
+@query("csv_quoted_lines", "SELECT c_custkey, c_name || chr(10) || '\"' || c_mktsegment || '\", x' AS note FROM customer")
+def csv_quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", x')).alias("note"))
+    return _round_trip(spark, df, files.write_delimited, lambda s, p: files.read_delimited(s, p, schema="c_custkey bigint, note string", multi_line=True))
+
+
+@query("csv_blank_files", "SELECT 0::BIGINT AS columns, 0::BIGINT AS rows FROM customer LIMIT 1")
+def csv_blank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = table(spark, sf_dir, "customer").select(F.translate(F.substring("c_name", 1, 3), "Custom", "  \t").alias("value"))
+    got = _round_trip(spark, blank, lambda d, p: d.write.text(p), files.read_delimited)
+    return got.agg(F.lit(len(got.columns)).cast("long").alias("columns"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("export_refuses", "SELECT c_custkey, true AS refused FROM customer WHERE c_custkey <= 20")
+def export_refuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second export to the same place is refused, and leaves the first one as it was."""
+    from pyspark.errors import AnalysisException
+
+    df, refused = table(spark, sf_dir, "customer").select("c_custkey"), []
+
+    def write(d: DataFrame, path: str) -> None:
+        files.write_parquet(d.where("c_custkey <= 20"), path)
+        try:
+            files.write_parquet(d, path)
+        except AnalysisException:
+            refused.append(path)
+
+    return _round_trip(spark, df, write, files.read_parquet).withColumn("refused", F.lit(bool(refused)))
+
+
+@query("session_table", "SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus FROM orders WHERE o_totalprice > 300000")
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the session, by its name."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("cleanframe_orders")
+    recipe = Recipe().then("filterRows", filterModel={"filters": [on("o_totalprice", ("gt", "300000"))]}).then("lowerText", column="o_orderstatus").then("selectColumns", columns=["o_orderkey", "o_orderstatus"])
+    return recipe.apply(spark.table("cleanframe_orders")).df
+
+
 @query("json_lines_round_trip", CUSTOMER_SQL)
 def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, table(spark, sf_dir, "customer"), files.write_json_lines, lambda s, p: files.read_json_lines(s, p, CUSTOMER))
@@ -149,6 +204,41 @@ QUERIES["filter_not_nan"] = lambda spark, sf_dir: FilterModel.from_json({"filter
 filters("filter_not_equals", "events", ["event_id", "event_type"], "event_type <> 'click'", on("event_type", ("notEquals", "click")))
 filters("filter_values_and_nulls", "events", ["event_id", "event_type"], "event_type IN ('view', 'error') OR event_type IS NULL", on("event_type", selectedValues=["view", "error"], includeNulls=True))
 filters("filter_time", "orders", ["o_orderkey", "o_orderdate"], "o_orderdate < TIMESTAMP '1996-01-01' AND o_orderdate >= TIMESTAMP '1995-06-01'", on("o_orderdate", ("lt", "1996-01-01"), ("gte", "1995-06-01T00:00:00")))
+
+
+@query("filter_duration", "SELECT event_id FROM events WHERE event_id BETWEEN 600 AND 3723 OR event_id = 90")
+def filter_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", F.make_dt_interval(secs=F.col("event_id")).alias("spent"))
+    model = {"filters": [on("spent", ("between", "599.5", "0 days, 01:02:03")), on("spent", ("equals", "90"))], "logic": "or"}
+    return FilterModel.from_json(model).filtered(df).select("event_id")
+
+
+@query("filter_decimal", "SELECT o_orderkey FROM orders WHERE o_totalprice::DECIMAL(14, 2) >= 125000 AND o_totalprice::DECIMAL(14, 2) < 300000.25")
+def filter_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
+    return FilterModel.from_json({"filters": [on("price", ("gte", ".125e+6"), ("lt", "300000.25"), type="decimal")]}).filtered(df).select("o_orderkey")
+
+
+@query("filter_type_check", "SELECT l_orderkey, l_linenumber, true AS refused FROM lineitem WHERE l_quantity = 7")
+def filter_type_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter made for another type is refused; that for the column's own type applies."""
+    df, refused = table(spark, sf_dir, "lineitem"), False
+    try:
+        FilterModel.from_json({"filters": [on("l_quantity", ("equals", "7"), type="string")]}).filtered(df)
+    except StepError:
+        refused = True
+    return FilterModel.from_json({"filters": [on("l_quantity", ("equals", "7"), type="float")]}).filtered(df).select("l_orderkey", "l_linenumber", F.lit(refused).alias("refused"))
+
+
+@query("filter_carried_over", "SELECT p_partkey, p_size::VARCHAR AS p_size FROM part WHERE p_name LIKE 's%'")
+def filter_carried_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of columns that are gone or of another type now are left out, the others stay."""
+    before = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    after = Recipe().then("castColumn", column="p_size", dtype="string").then("dropColumns", columns=["p_brand"]).apply(before).df
+    model = FilterModel.from_json({"filters": [on("p_name", ("startsWith", "s")), on("p_size", ("gt", "10")), on("p_brand", ("equals", "x"))]})
+    return model.reconciled(before.schema, after.schema).filtered(after).select("p_partkey", "p_size")
+
+
 step("sort_rows", "orders", ["o_orderkey", "o_orderpriority", "o_totalprice"], "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders",
      ("sortRows", {"rules": [{"column": "o_orderpriority"}, {"column": "o_totalprice", "direction": "desc", "nulls": "first"}]}))
 
@@ -269,6 +359,14 @@ QUERIES["fill_grouped_mean"] = _rounded(Recipe().then("fillMissingValues", colum
 ORACLE["fill_grouped_mean"] = f"SELECT event_id, user_id, event_type, round(CASE WHEN {GONE} THEN avg(CASE WHEN NOT {GONE} THEN value END) OVER (PARTITION BY event_type) ELSE value END, 6) AS value FROM {EVENTS_SQL}"
 
 
+@query("count_missing", f"SELECT count(*) FILTER (WHERE {GONE} AND event_id % 13 = 0) AS missing FROM {EVENTS_SQL}")
+def count_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fill leaves missing: here NaN, where the fallback is NaN too."""
+    df = events(spark, sf_dir).withColumn("other", F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)))
+    filled = Recipe().then("fillMissingValues", column="value", replacement={"kind": "fallbackColumns", "columns": ["other"]}).apply(df).df
+    return fill_steps.count_missing(filled, "value")
+
+
 @query("fill_fallback", f"SELECT event_id, coalesce(event_type, CASE WHEN event_id % 2 = 0 THEN props END, 'user ' || user_id) AS event_type FROM {EVENTS_SQL}")
 def fill_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumns({"a": F.when(F.col("event_id") % 2 == 0, F.col("props")), "b": F.concat(F.lit("user "), "user_id")})
@@ -287,6 +385,27 @@ def by_example_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(df, ["o_orderpriority", "o_orderstatus"], "wanted")
 
 
+@query("by_example_choice", "SELECT o_orderkey, string_split(o_orderpriority, '-')[2] || '/' || o_orderstatus AS made, true AS every FROM orders")
+def by_example_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the programs that are right for all examples, applied."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.concat_ws("/", F.split("o_orderpriority", "-")[1], "o_orderstatus").alias("wanted"))
+    return _chosen(df, ["o_orderpriority", "o_orderstatus"]).drop("single")
+
+
+@query("by_example_ambiguous", "SELECT o_orderkey, o_orderstatus AS made, true AS every, false AS single FROM orders")
+def by_example_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two equal inputs leave a choice between programs of one cost: none is the `single` best."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("a"), F.col("o_orderstatus").alias("b"), F.col("o_orderstatus").alias("wanted"))
+    return _chosen(df, ["a", "b"])
+
+
+def _chosen(df: DataFrame, inputs: list[str]) -> DataFrame:
+    first, second = ranked(df.select(*inputs, "wanted"), inputs, "wanted").where("rank <= 2").orderBy("rank").collect()
+    single = (second["matched"], -second["cost"]) < (first["matched"], -first["cost"])
+    made = Recipe().then("byExample", program=json.loads(first["program"]), newColumn="made").apply(df).df
+    return made.select("o_orderkey", "made", F.lit(first["matched"] == first["rows"]).alias("every"), F.lit(single).alias("single"))
+
+
 @query("custom_sql", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY l_returnflag")
 def custom_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cleanframe.plans.recipe import Custom
@@ -353,9 +472,39 @@ def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_values(table(spark, sf_dir, "part"), "p_name", "RE", 10)
 
 
+MOMENTS = ["l_quantity", "l_extendedprice"]
+
+
 @query("profile_sampled")
 def profile_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.sampled_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey"], 20_000)
+    return profile.sampled_profile(table(spark, sf_dir, "lineitem"), MOMENTS, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("profile_sampled_moments", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS total, count(*) FILTER (WHERE {c} IS NULL) AS nulls, min({c}) AS min, max({c}) AS max, round(sum({c}), 2) AS sum, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem""" for c in MOMENTS))
+def profile_sampled_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the sampled profile that is exact."""
+    return profile_sampled(spark, sf_dir).select("column", "total", "nulls", "min", "max", F.round("sum", 2).alias("sum"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("profile_sampled_values")
+def profile_sampled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sampled_top_values(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_partkey"], ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("profile_sampled_histogram")
+def profile_sampled_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sampled_histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("profile_numeric_wide", """SELECT 'l_extendedprice' AS "column", min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice), 6) AS mean, median(l_extendedprice) AS median, round(stddev_samp(l_extendedprice), 6) AS std, round(sum(l_extendedprice), 2) AS sum FROM lineitem""")
+def profile_numeric_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profile.numeric_summary(table(spark, sf_dir, "lineitem"), ["l_extendedprice"])
+    return out.select("column", "min", "max", F.round("mean", 6).alias("mean"), "median", F.round("std", 6).alias("std"), F.round("sum", 2).alias("sum"))
+
+
+@query("profile_nested", "SELECT to_json(string_split(p_name, ' '))::VARCHAR AS value, count(*) AS count FROM part GROUP BY ALL ORDER BY count DESC, value LIMIT 11")
+def profile_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.column_values(table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("words")), "words", "", 10)
 
 
 # -- plans --------------------------------------------------------------------------------------------------
@@ -370,3 +519,23 @@ def step_diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recipe_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipe = Recipe().then("filterRows", filterModel={"filters": [on("l_quantity", ("gte", "40"))]}).then("formula", leftColumn="l_quantity", operator="multiply", rightColumn="l_tax", newColumn="t").then("lowerText", column="l_returnflag").then("selectColumns", columns=["l_orderkey", "t", "l_returnflag"])
     return Recipe.from_json(recipe.to_json()).apply(table(spark, sf_dir, "lineitem")).df
+
+
+@query("recipe_edited", "SELECT l_orderkey, l_linenumber, upper(l_returnflag) AS l_returnflag FROM lineitem WHERE l_quantity < 3")
+def recipe_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step replaced, one taken out, and the rest replayed; then the plan up to its last step but one."""
+    recipe = Recipe().then("filterRows", filterModel={"filters": [on("l_quantity", ("gt", "40"))]}).then("lowerText", column="l_returnflag").then("upperText", column="l_returnflag").then("dropColumns", columns=["l_returnflag"])
+    edited = recipe.replaced(0, Step("filterRows", {"filterModel": {"filters": [on("l_quantity", ("lt", "3"))]}})).without(1)
+    return edited.apply(table(spark, sf_dir, "lineitem"), upto=2).df.select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("name_collisions", "SELECT p_partkey, 3::BIGINT AS refused FROM part WHERE p_size = 1")
+def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New columns whose name is taken, whatever the case, are refused before anything runs."""
+    df, refused = table(spark, sf_dir, "part"), 0
+    for kind, params in (("renameColumn", {"column": "p_name", "newName": "P_SIZE"}), ("cloneColumn", {"column": "p_name", "newName": "p_partkey"}), ("textLength", {"column": "p_name", "newColumn": "P_Name"})):
+        try:
+            Recipe().then(kind, **params).apply(df)
+        except StepError:
+            refused += 1
+    return df.where("p_size = 1").select("p_partkey", F.lit(refused).cast("long").alias("refused"))

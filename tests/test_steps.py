@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cleanframe.functions.literals import parse
 from cleanframe.functions.types import StepError
@@ -256,3 +259,43 @@ def test_blank_delimited_file(spark, tmp_path):
 
     (tmp_path / "blank.csv").write_text("﻿ \n\n")
     assert read_delimited(spark, str(tmp_path / "blank.csv")).columns == []
+
+
+#: Texts that are literals of their type, and texts that are none.
+ACCEPTED = [
+    ("integer", "+1000"), ("float", "-1.25e3"), ("float", "Infinity"), ("decimal", ".1250e+2"), ("boolean", " TRUE "), ("date", "0001-01-01"), ("date", "2024-01-31"),
+    ("datetime", "2024-01-31T23:59:58.123456+02:30"), ("duration", "-1.25"), ("duration", "86399999999999.999999"), ("duration", "-86399999913600"), ("duration", "1 day, 02:03:04.5"),
+]
+REJECTED = [
+    ("integer", "1_000"), ("integer", " 1000"), ("float", "1_000"), ("float", "NaN"), ("float", "1e999999"), ("decimal", "Infinity"), ("boolean", "yes"), ("date", "20240131"), ("date", "0000-01-01"),
+    ("date", "2024-02-30"), ("datetime", "20240131T235958"), ("datetime", "23:59:58"), ("datetime", "0000-01-01T00:00:00"), ("datetime", "2024-01-31T24:00:00"), ("datetime", "2024-01-31T00:00:00+24:00"),
+    ("duration", "25:00:00"), ("duration", "00:60:00"), ("duration", "86400000000000"), ("duration", "-86399999913600.000001"), ("duration", "1000000000 days, 00:00:00"), ("duration", "0.0000001"), ("duration", "1e3"),
+]
+KIND = {"integer": T.LongType(), "float": T.DoubleType(), "decimal": T.DecimalType(20, 4), "boolean": T.BooleanType(), "date": T.DateType(), "datetime": T.TimestampType(), "duration": T.DayTimeIntervalType()}
+
+
+def test_literal_forms():
+    got = [parse(v, KIND[k]) for k, v in ACCEPTED]
+    assert got[:5] == [1000, -1250.0, math.inf, Decimal("12.5"), True]
+    assert got[8] == dt.timedelta(seconds=-1.25) and got[9] == dt.timedelta.max and got[10] == dt.timedelta.min and got[11] == dt.timedelta(days=1, hours=2, minutes=3, seconds=4.5)
+    for kind, value in [*REJECTED, ("decimal", "1_000"), ("integer", True), ("float", False)]:
+        with pytest.raises(StepError):
+            parse(value, KIND[kind])
+
+
+def test_fills_take_no_shrinking_frame(spark):
+    df = spark.range(100).selectExpr("id", "if(id % 7 = 0, double(id), null) AS v")
+    for direction in ("forward", "backward"):
+        out = fill_directional(Frame(df, (SortRule("id"),)), "v", direction, buckets=3).df
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower().replace("unboundedpreceding$(), unboundedfollowing", "")
+        want = {i: float(i // 7 * 7 if direction == "forward" else -(-i // 7) * 7) for i in range(98)}
+        assert {r.id: r.v for r in out.where("id < 98").collect()} == want
+
+
+def test_medians_of_many_values(spark, monkeypatch):
+    from cleanframe.operators import profile
+
+    df = spark.range(999).selectExpr("double(id * 7 % 999) AS v", "id AS i")
+    one = profile.numeric_summary(df, ["v", "i"]).collect()
+    monkeypatch.setattr(profile, "MEDIAN_VALUES", 10)
+    assert profile.numeric_summary(df, ["v", "i"]).collect() == one and [r.median for r in one] == [499.0, 499.0]
