@@ -25,7 +25,7 @@ BLANK = "▁"
 OWN_BLANK = "\ud800"
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Bytes of text whose chunks are worked on at once.
-PART = 1 << 21
+PART = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 #: Cumulative probabilities and draws lie on this grid (draws between its points): a probability below it is never drawn
@@ -33,8 +33,8 @@ MASK = (1 << 64) - 1
 GRID = 2.0**-30
 #: Slots, as a power of two, of the table in which pieces are looked up.
 TABLE_BITS = 22
-#: Distinct chunks whose lattices a worker keeps.
-KEPT = 250_000
+#: Distinct chunks whose lattices a task keeps.
+KEPT = 120_000
 #: Characters of a chunk that is looked over for further cuts.
 LONG = 256
 #: Cells (place, piece length, chunk) of lattices built at once.
@@ -603,12 +603,6 @@ class Sampler:
         return [(flat[edge[d] : edge[d + 1]], float(sample.total[d]), float(value[d])) for d in docs.tolist()]
 
 
-@lru_cache(1)
-def lattices(model_file: str, alpha: float) -> Lattice:
-    """The lattices that a worker keeps from task to task."""
-    return Lattice(vocabulary(model_file), alpha)
-
-
 def best_ids(lattice: Lattice, texts: list[str]) -> list[np.ndarray]:
     """The best segmentation of each text, by Viterbi over the distinct chunks; ties go to the shorter last piece."""
     words = [lattice.vocab.cut(chunks(t)) for t in texts]
@@ -658,7 +652,7 @@ SAMPLE_FIELDS = "sample int, ids array<int>, log_prob double, inclusion double"
 
 def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(model_file)
-    lattice = lattices(model_file, alpha)
+    lattice = Lattice(vocab, alpha)
     for batch in batches:
         for keys, texts in _parts(batch.column("_k").to_pylist(), batch.column("_b").to_pylist()):
             rows = []
@@ -678,7 +672,7 @@ def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batc
 
 
 def _best(model_file: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lattice = lattices(model_file, 1.0)
+    lattice = Lattice(vocabulary(model_file), 1.0)
     for batch in batches:
         for keys, texts in _parts(batch.column("_k").to_pylist(), batch.column("_b").to_pylist()):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.astype(np.int32) for x in best_ids(lattice, texts)], pa.list_(pa.int32()))], ["_k", "ids"])
