@@ -31,9 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts may be long, and a task holds a batch of them and what it makes of it.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once a Spark context, so that Python stages can import it there."""
+    """Sends the package to the executors, once a Spark context, so that Python stages can import it there.
+
+    Batches of more than BATCH_ROWS rows are made smaller for the session: they are what bounds a Python task's memory."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_cleanframe_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -34,7 +34,7 @@ GRID = 2.0**-30
 #: Slots, as a power of two, of the table in which pieces are looked up.
 TABLE_BITS = 22
 #: Distinct chunks whose lattices a task keeps.
-KEPT = 120_000
+KEPT = 80_000
 #: Characters of a chunk that is looked over for further cuts.
 LONG = 256
 #: Cells (place, piece length, chunk) of lattices built at once.
