@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import acos, ceil, log2, pi, sqrt
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from cleanframe.llm.components import components
 
 #: Shingles whose bits are unpacked at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 15
+#: Bits of a segment at least: shorter ones fill unevenly. A key looked up costs as much as KEY_COST comparisons.
+NARROW, KEY_COST = 21, 50
 #: Ids of rows to drop are broadcast up to so many (8 MB); beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles that come last in prefixes: the most frequent of every SAMPLE-th text, so many at most.
@@ -73,15 +75,22 @@ def sketches(rows: DataFrame, ngram: int, longs: int, once: bool = False) -> Dat
 
 
 def segments_for(radius: int, n: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of the segments of 64 bits: about log2(n) wide, so that buckets stay small.
+    """(shift, width, radius) of the segments of 64 bits, at least NARROW wide, whose search costs least at n fingerprints.
 
     With m segments and radius = m * a + b, a pair within the radius is within a on one of the first b + 1
-    segments or within a - 1 on one of the others, so the search loses no pair at any m.
+    segments or within a - 1 on one of the others, so the search loses no pair at any m. Wider segments have
+    larger balls, so more keys a fingerprint; narrower ones have fuller buckets, so more comparisons a key.
     """
-    m = max(1, min(radius + 1, 64 // max(8, ceil(log2(max(n, 2))))))
-    a, b = divmod(radius, m)
-    cuts = [64 * i // m for i in range(m + 1)]
-    return [(cuts[i], cuts[i + 1] - cuts[i], a if i <= b else a - 1) for i in range(m) if i <= b or a >= 1]
+
+    def cut(m: int) -> list[tuple[int, int, int]]:
+        a, b = divmod(radius, m)
+        cuts = [64 * i // m for i in range(m + 1)]
+        return [(cuts[i], cuts[i + 1] - cuts[i], a if i <= b else a - 1) for i in range(m) if i <= b or a >= 1]
+
+    def cost(segments: list[tuple[int, int, int]]) -> float:
+        return sum(sum(comb(width, i) for i in range(within + 1)) * (KEY_COST + n / 2**width) for _, width, within in segments)
+
+    return min((cut(m) for m in range(1, min(64 // NARROW, radius + 1) + 1)), key=cost)
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -93,31 +102,46 @@ def differing(f: Column, g: Column, longs: int) -> Column:
     return sum((F.bit_count(f[j].bitwiseXOR(g[j])) for j in range(longs)), F.lit(0))
 
 
-def near_links(marks: DataFrame, radius: int, segments: list[tuple[int, int, int, int]], longs: int) -> DataFrame:
-    """`u, v, d`: pairs u < v of `marks(u long, f array<long>)` (different f) at most `radius` bits apart.
+def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int, int]]) -> DataFrame:
+    """`u, v`: links that make the same groups as all pairs of `marks(u long, f long)` at most `radius` bits apart.
 
-    `segments` are (long, shift, width, segment radius). Every mark is stored once a segment under the exact
-    segment value and looked up under each value of the segment's Hamming ball; what meets is verified over
-    all bits in the join itself, so that only real links leave it.
+    Every mark is stored once a segment (shift, width, segment radius) under the exact segment value, and looked up
+    under each value of the segment's Hamming ball; complete distances are verified in the joins. First a look-up
+    meets the smallest mark of its bucket alone. Then look-ups meet marks of groups that are not joined by then:
+    members of a bucket's largest group meet only the rest, and the rest meets all, so that a group, however large,
+    is not held against itself. Of two groups that meet, one link between their roots leaves.
     """
 
-    def value(j: int, shift: int, width: int) -> Column:
-        v = F.shiftrightunsigned(F.col("f")[j], shift)
+    def key(s: int, at: int, width: int) -> Column:
+        v = F.shiftrightunsigned(F.col("f"), at)
         return v if width == 64 else v.bitwiseAND(F.lit((1 << width) - 1))
 
-    key = lambda s, v: F.xxhash64(F.lit(s), v)
-    stored = F.array(*[key(s, value(j, at, w)) for s, (j, at, w, _) in enumerate(segments)])
-
-    def looked_up(s: int, v: Column, width: int, within: int) -> Column:
-        masks = ", ".join(f"{m - (1 << 64) if m >= 1 << 63 else m}L" for m in ball(width, within))
-        return F.transform(F.expr(f"array({masks})"), lambda m: key(s, v.bitwiseXOR(m)))
-
-    asked = [looked_up(s, value(j, at, w), w, r) for s, (j, at, w, r) in enumerate(segments)]
-    index = marks.select(F.col("u").alias("v"), F.col("f").alias("g"), F.explode(stored).alias("_key"))
-    probe = marks.select("u", "f", F.explode(F.concat(*asked)).alias("_key"))
-    d = differing(F.col("f"), F.col("g"), longs)
-    met = probe.join(index, (probe["_key"] == index["_key"]) & (F.col("u") < F.col("v")) & (d <= radius))
-    return met.select("u", "v", d.alias("d")).distinct()
+    def stored(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.explode(F.array(*[F.xxhash64(F.lit(s), key(s, at, w)) for s, (at, w, _) in enumerate(segments)])).alias("_key"))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        def around(s: int, at: int, width: int, within: int) -> Column:
+            masks = ", ".join(f"{m - (1 << 64) if m >= 1 << 63 else m}L" for m in ball(width, within))
+            return F.transform(F.expr(f"array({masks})"), lambda m: F.xxhash64(F.lit(s), key(s, at, width).bitwiseXOR(m)))
+
+        return rows.select("*", F.explode(F.concat(*[around(s, *x) for s, x in enumerate(segments)])).alias("_key"))
+
+    near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
+    least = stored(marks).groupBy("_key").agg(F.min("u").alias("v"), F.min_by("f", "u").alias("g"))
+    first = written(asked(marks).join(least, "_key").where((F.col("u") != F.col("v")) & near).select("u", "v").distinct(), "first")
+    roots = components(first)
+    groups = written(marks.join(roots, F.col("u") == F.col("node"), "left").select("f", F.coalesce("root", "u").alias("r")), "groups")
+    sizes = stored(groups).groupBy("_key", "r").agg(F.count(F.lit(1)).alias("c"))
+    tops = written(sizes.groupBy("_key").agg(F.max_by("r", "c").alias("top")), "tops")
+    members = stored(groups).join(tops, "_key").select("_key", F.col("f").alias("g"), F.col("r").alias("s"), "top")
+    pair = (F.least("r", "s").alias("u"), F.greatest("r", "s").alias("v"))
+    rest = asked(groups).join(members.where("s <> top"), "_key").where((F.col("r") != F.col("s")) & near)
+    rest = written(rest.select(*pair).distinct(), "rest")
+    # written before the next join, so that Spark can split the skewed keys of both
+    strangers = written(asked(groups).join(tops, "_key").where("r <> top").select("_key", "f", "r"), "strangers")
+    most = written(strangers.join(members.where("s = top"), "_key").where(near).select(*pair).distinct(), "most")
+    dropped(groups, tops, strangers)
+    return first.union(rest).union(most)
 
 
 def fingerprint_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, radius: int = 4) -> DataFrame:
@@ -129,11 +153,10 @@ def fingerprint_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows, plain = keyed(df, id_col, text_col)
     marks = written(sketches(rows, ngram, 1), "sketches")
-    nodes = written(marks.groupBy("_f").agg(F.min("_k").alias("u")).select("u", F.col("_f").alias("f")), "nodes")
-    links = near_links(nodes, radius, [(0, *s) for s in segments_for(radius, nodes.count())], 1)
-    roots = components(links)
+    nodes = written(marks.groupBy(F.col("_f")[0].alias("f")).agg(F.min("_k").alias("u")), "nodes")
+    roots = components(joining_links(nodes, radius, segments_for(radius, nodes.count())))
     named = nodes.join(roots, nodes["u"] == roots["node"], "left").select("f", F.coalesce("root", "u").alias("_c"))
-    out = marks.join(named, marks["_f"] == named["f"])
+    out = marks.join(named, marks["_f"][0] == named["f"])
     hexed = F.lpad(F.lower(F.hex(F.col("_f")[0])), 16, "0").alias("fingerprint")
     if plain:
         return out.select(F.col("_k").alias(id_col), hexed, F.col("_c").alias("component_id"))

@@ -93,6 +93,44 @@ def test_components_of_fingerprints(spark):
     assert got == {k: (f[k], find(k)) for k in f}
 
 
+@pytest.mark.parametrize("n", [1000, 10**10])
+def test_links_of_balls_make_all_groups(spark, n):
+    """Random fingerprints, a large near group that shares segments, chains, and two groups that meet in one pair."""
+    rng = random.Random(7)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    f = [rng.getrandbits(64) for _ in range(150)]
+    f += [flip(x, k) for x in f[:40] for k in (1, 4, 5)]
+    f += [flip(f[0], rng.randrange(1, 4)) for _ in range(400)]
+    for _ in range(60):
+        f.append(flip(f[-1], 4))
+    far = flip(f[1], 8)
+    f += [flip(far, 1) for _ in range(60)] + [f[1] ^ (f[1] ^ far) & (1 << (f[1] ^ far).bit_length()) // 2 - 1]
+    f = sorted(set(f), key=lambda _: rng.random())
+    root = list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = [(a, b) for a in range(len(f)) for b in range(a) if (f[a] ^ f[b]).bit_count() <= 4]
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    segments = neardup.segments_for(4, n) if n == 1000 else [(0, 32, 1), (32, 32, 2)]
+    marks = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(f)], "u long, f long")
+    links = neardup.joining_links(marks, 4, segments)
+    got = dict(components.components(links).collect())
+    assert {i: got.get(i, i) for i in range(len(f))} == {i: find(i) for i in range(len(f))}
+    if n == 1000:  # in proportion to the rows, not to the pairs
+        assert links.count() < 10 * len(f) < len(pairs)
+
+
+def test_keys_do_not_jump():
+    keys = lambda n: sum(len(neardup.ball(w, r)) for _, w, r in neardup.segments_for(4, n))
+    assert {keys(n) for n in (2, 5000, 10**5, 3 * 10**6, 10**8)} == {45}
+
+
 @pytest.mark.parametrize("radius", [0, 1, 4, 7])
 @pytest.mark.parametrize("n", [2, 3000, 10**6, 10**9])
 def test_segments_lose_no_pair(radius, n):
