@@ -141,7 +141,8 @@ def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int,
     strangers = written(asked(groups).join(tops, "_key").where("r <> top").select("_key", "f", "r"), "strangers")
     most = written(strangers.join(members.where("s = top"), "_key").where(near).select(*pair).distinct(), "most")
     dropped(groups, tops, strangers)
-    return first.union(rest).union(most)
+    # a star for each group of the first step: the caller's search for components starts from it
+    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest).union(most)
 
 
 def fingerprint_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, radius: int = 4) -> DataFrame:
