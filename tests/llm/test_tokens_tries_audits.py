@@ -64,6 +64,12 @@ def test_byte_bpe_long_words_and_small_memory(vocabulary, monkeypatch):
         assert coder.encode([t, t]) == [",".join(map(str, library.encode_ordinary(t)))] * 2
     word = b"abcabcabdd" * 20
     assert bytebpe.contract(word, coder.ranks) == list(map(int, coder.encode([word.decode()])[0].split(",")))
+    # texts of the fast pattern, all its code points
+    rng.shuffle(plain := [chr(i) for i in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]] * 3)
+    for i in range(0, len(plain), 50):
+        assert not bytebpe.WIDE.search(t := "".join(plain[i : i + 50]))
+        assert coder.narrow.findall(t) == coder.pattern.findall(t) and coder.encode([t]) == [",".join(map(str, library.encode_ordinary(t)))]
+    assert bytebpe.narrow(r"\p{Lu}+|\s") is None and bytebpe.narrow(r"\w+") is None and bytebpe.narrow(r"[\S]") is None
     # the newest letters of the pattern's library
     odd = "".join(chr(i) for i in range(0x370, 0x32400, 7) if not 0xD800 <= i < 0xE000)
     assert coder.encode([odd]) == [",".join(map(str, library.encode_ordinary(odd)))]
