@@ -111,21 +111,22 @@ def fold(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
-    """(rows of `_k long, _id, _text`, whether `_k` is the id itself).
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """(rows of `_k long, _id, _text` and the columns of `more` as `_m0, ...`, whether `_k` is the id itself).
 
     `_k` is unique, never null and ordered as the id. Where ids are whole numbers, unique and not null, it is
-    the id. Otherwise rows are numbered by (id with nulls last, text), so repeated ids and null ids are rows of
-    their own with a fixed order. Only the two named columns are read: extra columns can't clash.
+    the id. Otherwise rows are numbered by (id with nulls last, text, more), so repeated ids and null ids are rows of
+    their own with a fixed order. Only the named columns are read: extra columns can't clash.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"_m{i}") for i, c in enumerate(more)])
+    names = [f"_m{i}" for i in range(len(more))]
     if isinstance(rows.schema["_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         counts = rows.groupBy("_id").count()
         odd = counts.where(F.col("_id").isNull() | (F.col("count") > 1)).limit(1).count()
         if not odd:
-            return rows.select(F.col("_id").cast("long").alias("_k"), "_id", "_text"), True
-    ordered = rows.orderBy(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first())
+            return rows.select(F.col("_id").cast("long").alias("_k"), "_id", "_text", *names), True
+    ordered = rows.orderBy(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first(), *names)
     schema = T.StructType([T.StructField("_k", T.LongType()), *rows.schema.fields])
     numbered = df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
     return written(numbered, "keyed"), False

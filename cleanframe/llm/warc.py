@@ -152,14 +152,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     back: a payload that a third of all pages share is one row of it. Repeated or null ids count as rows.
     """
     ship(pages.sparkSession)
-    rows, plain = keyed(pages, id_col, payload_col)
-    if plain:
-        urls = pages.select(F.col(f"`{id_col}`").cast("long").alias("_k"), F.col(f"`{id_col}`").cast("string").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("_url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("_b"))
-    else:
-        # an url of the rows that share id and payload stands for them all
-        shared = pages.groupBy(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{payload_col}`").cast("string").alias("_text")).agg(F.min(F.col(f"`{url_col}`").cast("string")).alias("_url"))
-        same = rows["_id"].eqNullSafe(shared["_id"]) & rows["_text"].eqNullSafe(shared["_text"])
-        urls = rows.join(shared, same).select("_k", rows["_id"].cast("string").alias("_id"), "_url", F.coalesce(rows["_text"], F.lit("")).cast("binary").alias("_b"))
+    # the URL goes with its row, so that rows which share id and payload keep theirs
+    rows, _ = keyed(pages, id_col, payload_col, (url_col,))
+    urls = rows.select("_k", F.col("_id").cast("string").alias("_id"), F.col("_m0").cast("string").alias("_url"), F.coalesce("_text", F.lit("")).cast("binary").alias("_b"))
     marks = written(urls.select("_k", "_b").mapInArrow(_digests, "_k long, _digest string, _size long"), "digests")
     # the first of a digest goes to the others by a table of digests that occur more than once; others are their own
     firsts = marks.where(F.col("_size") >= min_bytes).groupBy("_digest").agg(F.min("_k").alias("_f"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_digest", "_f")

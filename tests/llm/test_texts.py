@@ -277,6 +277,9 @@ def test_warc_round_trip(spark, tmp_path):
     twice = spark.createDataFrame([(1, "u", "x"), (1, "v", "x"), (None, "w", "y")], "page_id long, url string, html string")
     got = warc.round_trip(twice).collect()
     assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == [(1, "response", None), (1, "revisit", 1), (None, "response", None)]
+    warc.write_warc(twice, str(tmp_path / "twice"))
+    seen = warc.captures(warc.read_records(spark, str(tmp_path / "twice"))).collect()
+    assert sorted((r.page or "", r.uri, r.request.uri, r.kind) for r in seen) == [("", "w", "w", "response"), ("1", "u", "u", "response"), ("1", "v", "v", "revisit")]
     named = spark.createDataFrame([(" a", "u", "x"), ("b ", "v", "x"), ("é%20\n", "w", "y" * 2_000_000)], "page_id string, url string, html string")
     got = warc.round_trip(named).collect()
     assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got} == {(" a", "response", None, 1), ("b ", "revisit", " a", 1), ("é%20\n", "response", None, 2_000_000)}
