@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cleanframe.functions.literals import literal
 from cleanframe.functions.types import NUMERIC, StepError, kind_of, named, new_name, require
 from cleanframe.functions.types import field as field_of
-from cleanframe.plans.frame import ROW, Frame
+from cleanframe.plans.frame import HIDDEN, Frame
 
 CASTS = {"string": "string", "integer": "bigint", "float": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz"}
 OPERATORS = ("add", "subtract", "multiply", "divide", "modulo", "power")
@@ -16,7 +16,7 @@ OPERATORS = ("add", "subtract", "multiply", "divide", "modulo", "power")
 def select_columns(frame: Frame, columns: list[str]) -> Frame:
     for c in columns:
         field_of(frame.df, c)
-    extra = [r.column for r in frame.order if r.column not in columns and r.column.startswith("__cleanframe")]
+    extra = [r.column for r in frame.order if r.column not in columns and r.column.startswith(HIDDEN)]
     return frame.with_df(frame.df.select(*[named(c) for c in [*columns, *extra]]))
 
 
@@ -24,7 +24,7 @@ def drop_columns(frame: Frame, columns: list[str]) -> Frame:
     for c in columns:
         field_of(frame.df, c)
     left = [c for c in frame.df.columns if c not in columns]
-    if not [c for c in left if c != ROW]:
+    if not [c for c in left if not c.startswith(HIDDEN)]:
         raise StepError("at least one column must stay")
     return frame.with_df(frame.df.select(*[named(c) for c in left]))
 

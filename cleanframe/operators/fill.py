@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.literals import literal
@@ -12,7 +12,7 @@ from cleanframe.functions.types import GROUPABLE, NUMERIC, StepError, all_of, ki
 from cleanframe.functions.types import field as field_of
 from cleanframe.operators.numeric import finite
 from cleanframe.plans.frame import Frame, SortRule
-from cleanframe.plans.ranges import anchors, middle_values, sort_number
+from cleanframe.plans.ranges import anchors, group_middles, middle_values, sort_number
 
 LONGEST_GAP = 1_000_000
 
@@ -131,7 +131,7 @@ def fill_directional(frame: Frame, column: str, direction: str = "forward", orde
     target = field_of(frame.df, column)
     columns = frame.ordered().df.columns if not order_by else frame.df.columns
     ordered = _by_order(frame, order_by)
-    near = anchors(ordered, ~missing(ordered.df, column), named(column), partition_by, buckets)
+    near = anchors(ordered, ~missing(ordered.df, column), named(column), partition_by, buckets, positions=max_gap is not None)
     source = F.col("__prev") if direction == "forward" else F.col("__next")
     may = missing(ordered.df, column) & source.isNotNull()
     if max_gap is not None:
@@ -160,7 +160,7 @@ def fill_linear(frame: Frame, column: str, coordinate: str, max_gap: int | None
     target = field_of(df, column).dataType
     ordered = Frame(df, (SortRule(coordinate), *[r for r in frame.order if r.column != coordinate]))
     v = named(column).cast("double")
-    near = anchors(ordered, ~missing(df, column), F.struct(x.alias("x"), v.alias("y")), partition_by, buckets)
+    near = anchors(ordered, ~missing(df, column), F.struct(x.alias("x"), v.alias("y")), partition_by, buckets, positions=max_gap is not None)
     a, b = F.col("__prev")["v"], F.col("__next")["v"]
     w = (x - a["x"]) / (b["x"] - a["x"])
     line = a["y"] * (F.lit(1.0) - w) + b["y"] * w
@@ -171,12 +171,12 @@ def fill_linear(frame: Frame, column: str, coordinate: str, max_gap: int | None
     return frame.with_df(out.select(*[named(c) for c in df.columns]))
 
 
-def fill_grouped(frame: Frame, column: str, keys: list[str], statistic: str = "mean") -> Frame:
+def fill_grouped(frame: Frame, column: str, keys: list[str], statistic: str = "mean", buckets: int | None = None) -> Frame:
     """A statistic of the row's group: mean (float), median (numeric) or mostFrequent (text, boolean).
 
     Undefined means and tied modes leave values missing. Null and NaN keys make one group. A group's median that does
-    not fit its type is an error where a value of the group is missing. Group tables are joined by Spark, which
-    broadcasts small ones and splits skewed ones.
+    not fit its type is an error where a value of the group is missing. Medians are found by rank in all groups at once
+    (`group_middles`). Group tables are joined by Spark, which broadcasts small ones and splits skewed ones.
     """
     rows_only(frame.df, "grouped fill")
     df = frame.df
@@ -197,20 +197,18 @@ def fill_grouped(frame: Frame, column: str, keys: list[str], statistic: str = "m
         # one aggregate keeps the largest count, its value and the value least by text: they differ on a tie
         best = counts.groupBy(*names).agg(F.max(F.struct("__n", "__v")).alias("__a"), F.min(F.struct((-F.col("__n")).alias("n"), "__v")).alias("__b"))
         found = best.select(*names, F.when(F.col("__a.__v") == F.col("__b.__v"), F.col("__a.__v")).alias("__fill"))
-    elif kind == "float":
-        found = df.groupBy(*by).agg(F.median(v).alias("__fill"))
     else:
-        # whole numbers and decimals: the middle ranks themselves, as doubles would round them
-        rows = df.where(v.isNotNull()).select(*by, v.alias("__v"))
-        w = Window.partitionBy(*names)
-        ranked = rows.withColumns({"__r": F.row_number().over(w.orderBy("__v")), "__n": F.count(F.lit(1)).over(w)})
-        middle = ranked.where((F.col("__r") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__r") == F.floor(F.col("__n") / 2) + 1))
-        wide = f"decimal(38,{getattr(data, 'scale', 0)})"
-        ends = middle.groupBy(*names).agg(F.min("__v").cast(wide).alias("__low"), F.max("__v").cast(wide).alias("__high"))
-        step = F.lit(10 ** getattr(data, "scale", 0)).cast("decimal(38,0)")
-        odd = ((F.col("__high") - F.col("__low")) * step) % 2 != 0
-        half = (F.col("__low") + (F.col("__high") - F.col("__low")) / 2).cast(data)
-        found = ends.select(*names, F.when(odd, F.lit(True)).otherwise(F.lit(False)).alias("__odd"), F.when(~odd, half).alias("__fill"))
+        ends = group_middles(df, by, names, v, buckets)
+        if kind == "float":
+            found = ends.select(*names, (F.col("__low") / 2 + F.col("__high") / 2).alias("__fill"))
+        else:
+            # half way between whole numbers or decimals, as doubles would round it
+            wide = f"decimal(38,{getattr(data, 'scale', 0)})"
+            low, high = F.col("__low").cast(wide), F.col("__high").cast(wide)
+            step = F.lit(10 ** getattr(data, "scale", 0)).cast("decimal(38,0)")
+            odd = ((high - low) * step) % 2 != 0
+            half = (low + (high - low) / 2).cast(data)
+            found = ends.select(*names, F.when(odd, F.lit(True)).otherwise(F.lit(False)).alias("__odd"), F.when(~odd, half).alias("__fill"))
     keyed = df.select("*", *by)
     same = all_of([keyed[n].eqNullSafe(found[n]) for n in names])
     joined = keyed.join(found, same, "left")

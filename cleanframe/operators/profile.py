@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanframe.functions.types import any_of, kind_of, missing, named, rows_only, valid
+from cleanframe.functions.types import kind_of, missing, named, rows_only, valid
 from cleanframe.functions.types import field as field_of
 from cleanframe.operators.numeric import finite
 from cleanframe.plans.filters import ascii_folded
-from cleanframe.plans.ranges import middle_values
+from cleanframe.plans.frame import whole_number
+from cleanframe.plans.ranges import group_middles
 
-#: Columns of one job with distinct counts: each such count multiplies the rows that Spark expands.
-DISTINCT_COLUMNS = 4
+#: Texts longer than this are counted by their SHA-256.
+TEXT_BYTES = 64
 #: Top values kept, and bins of a histogram at most.
 TOP, BINS = 10, 20
 #: Distinct values, by estimate, up to which an exact median is one aggregate.
 MEDIAN_VALUES = 1_000_000
+#: Slots that tell few distinct values of a column from many.
+SLOTS = 4096
+#: Rows and cells of a sample; slots of its hashes, as a power of two, and how many are summed up for the driver.
+SAMPLE_ROWS, SAMPLE_CELLS, SLOT_BITS, SLOT_GROUP = 100_000, 5_000_000, 20, 1024
 
 
 def canonical(df: DataFrame, name: str) -> Column:
@@ -39,28 +46,51 @@ def _key(df: DataFrame, name: str) -> Column:
     return canonical(df, name) if kind_of(df, name) in ("list", "struct", "binary") else valid(df, name)
 
 
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`j, state, s, n, x`: a row for each cell of the columns: the column's place, whether the cell is a value (0), null (1) or NaN
+    (2), and the value as a text, a long or a double. Texts of over TEXT_BYTES bytes are (3) by their SHA-256."""
+
+    def cell(j: int, name: str) -> Column:
+        kind, c = kind_of(df, name), named(name)
+        data = field_of(df, name).dataType
+        state = F.when(c.isNull(), 1)
+        text, whole, real = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+        if kind == "float":
+            # nothing but the sign tells the two zeros apart
+            state, real = state.when(F.isnan(c), 2), F.when(~F.isnan(c), F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")))
+        elif kind in ("integer", "boolean", "date", "datetime") and not isinstance(data, T.DecimalType):
+            whole = whole_number(c, kind, data)
+        else:
+            long = canonical(df, name)
+            far = F.octet_length(long) > TEXT_BYTES
+            state, text = state.when(far, 3), F.when(far, F.sha2(long.cast("binary"), 256)).otherwise(long)
+        return F.struct(F.lit(j).alias("j"), state.otherwise(0).alias("state"), text.alias("s"), whole.alias("n"), real.alias("x"))
+
+    return df.select(F.inline(F.array(*[cell(j, c) for j, c in enumerate(columns)])))
+
+
 def base_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """`column, total, nulls, nans, distinct`: DISTINCT_COLUMNS columns to a job, all in one union."""
+    """`column, total, nulls, nans, distinct` of any number of columns, from one scan.
+
+    Cells are counted as (column, value) pairs with map-side partial counts, and the pairs again by column.
+    """
     rows_only(df, "profile")
     columns = columns or df.columns
-    out = None
-    for i in range(0, len(columns), DISTINCT_COLUMNS):
-        part = columns[i : i + DISTINCT_COLUMNS]
-        made = [F.count("*").alias("t")]
-        for j, c in enumerate(part):
-            nan = F.count(F.when(F.isnan(named(c)), 1)) if kind_of(df, c) == "float" else F.lit(0).cast("long")
-            made += [F.count(F.when(named(c).isNull(), 1)).alias(f"n{j}"), nan.alias(f"x{j}"), F.countDistinct(_key(df, c)).alias(f"d{j}")]
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col("t").alias("total"), F.col(f"n{j}").alias("nulls"), F.col(f"x{j}").alias("nans"), F.col(f"d{j}").alias("distinct")) for j, c in enumerate(part)])
-        one = df.agg(*made).select(F.inline(cells))
-        out = one if out is None else out.union(one)
-    return out
+    pairs = _cells(df, columns).groupBy("j", "state", "s", "n", "x").agg(F.count(F.lit(1)).alias("c"))
+    each = pairs.groupBy("j").agg(F.sum("c").alias("t"), *[F.sum(F.when(F.col("state") == i, F.col("c")).otherwise(0)).alias(f"s{i}") for i in (1, 2)], F.count_if(F.col("state").isin(0, 3)).alias("d"))
+    # one row, so that a table without rows has its zeros
+    made = F.map_from_entries(F.collect_list(F.struct("j", F.struct("t", "s1", "s2", "d"))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[zero(F.col("m")[F.lit(j)][f]).alias(n) for f, n in (("t", "total"), ("s1", "nulls"), ("s2", "nans"), ("d", "distinct"))]) for j, c in enumerate(columns)])
+    return each.agg(made.alias("m")).select(F.inline(cells))
 
 
 def numeric_summary(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """`column, min, max, mean, median, std, sum` as doubles, over finite values; `exact=False` approximates the median.
 
     Exact medians of columns of up to MEDIAN_VALUES distinct values come from one aggregate, which holds them all;
-    those of others from the range bucket that holds the middle ranks, so that no task holds a column.
+    those of all others are found together by rank (`group_middles`, the columns being the groups), so that no task holds
+    a column and no column needs jobs of its own.
     """
     rows_only(df, "profile")
     made, value = [], lambda c: finite(named(c).cast("double"))
@@ -68,11 +98,15 @@ def numeric_summary(df: DataFrame, columns: list[str], exact: bool = True) -> Da
     if exact:
         found = df.agg(*[F.approx_count_distinct(value(c)).alias(f"d{j}") for j, c in enumerate(columns)]).first()
         wide = {c for c, n in zip(columns, found, strict=True) if n > MEDIAN_VALUES}
+    far = {}
+    if wide:
+        each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), value(c).alias("v")) for c in columns if c in wide])))
+        far = {r["k"]: (r["__low"], r["__high"]) for r in group_middles(each, [F.col("k")], ["k"], F.col("v")).collect()}
     for j, c in enumerate(columns):
         v = value(c)
         total = F.sum(v) if kind_of(df, c) == "float" else F.try_sum(named(c).cast("decimal(38,0)") if kind_of(df, c) == "integer" else named(c)).cast("double")
-        if c in wide:
-            low, high = middle_values(df.select(v.alias("v")), "v")
+        if c in far:
+            low, high = far[c]
             middle = F.lit(low / 2 + high / 2)
         else:
             middle = F.median(v) if exact else F.percentile_approx(v, 0.5)
@@ -120,40 +154,89 @@ def top_values(df: DataFrame, columns: list[str], k: int = TOP) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("column", "value", "count", F.col("rank").cast("long").alias("rank"))
 
 
-def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """`bin, low, high, count`: equal bins over the finite values, closed on the left, the last on both sides.
+def _reals(df: DataFrame, columns: list[str]) -> list[Column]:
+    value = lambda c: finite(named(c).cast("double"))
+    return [F.when(value(c) == 0, F.lit(0.0)).otherwise(value(c)) for c in columns]
+
+
+def _ends(df: DataFrame, columns: list[str], bins: int) -> dict[int, tuple[float, float, int]]:
+    """Of each column with a finite value: the least, the largest, and the number of distinct ones up to `bins`.
+
+    Values are dealt into SLOTS by hash. A slot whose least and largest value are equal has one value, another two or more:
+    that settles the number, but for a column of few values two of which share a slot; those few columns are counted.
+    """
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), v.alias("v")) for j, v in enumerate(_reals(df, columns))]))).where("v is not null")
+    slots = pairs.groupBy("j", F.pmod(F.xxhash64("v"), F.lit(SLOTS)).alias("slot")).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    found = slots.groupBy("j").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(2)).alias("n"), F.count_if(F.col("a") < F.col("b")).alias("shared")).collect()
+    out = {r["j"]: (r["a"], r["b"], r["n"]) for r in found}
+    unsure = [r["j"] for r in found if r["shared"] and r["n"] < bins]
+    if unsure:
+        for r in pairs.where(F.col("j").isin(unsure)).distinct().groupBy("j").count().collect():
+            out[r["j"]] = (*out[r["j"]][:2], r["count"])
+    return out
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
+    """`column, bin, low, high, count`: equal bins over the finite values of each column, closed on the left, the last on both
+    sides; columns without such a value have none.
 
     As many bins as there are distinct values, `bins` at most. Edges are weighted means of both ends, so that they
-    don't overflow; a value at an edge is put right against the edges themselves, not against a quotient.
+    don't overflow; a value at an edge is put right against the edges themselves, not against a quotient. Two scans
+    for any number of columns: the ends of all, then (column, bin) pairs with map-side partial counts.
     """
     rows_only(df, "profile")
-    v = finite(named(column).cast("double"))
-    ends = df.agg(F.min(v), F.max(v), F.countDistinct(v)).first()
-    low, high, distinct = ends
-    schema = "bin long, low double, high double, count long"
-    if low is None:
-        return df.sparkSession.createDataFrame([], schema)
-    n = 1 if low == high else max(1, min(bins, distinct))
-    edges = [low * ((n - i) / n) + high * (i / n) for i in range(n)] + [high]
-    at = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v / n - F.lit(low / n)) / F.lit(max(high / n - low / n, 5e-324)) * n).cast("int")))
-    array = F.array(*[F.lit(float(e)) for e in edges])
-    guess = df.select(v.alias("v"), at.alias("b")).where("v is not null").withColumn("e", array)
-    fixed = F.when(F.col("v") < F.get("e", F.col("b")), F.col("b") - 1).when((F.col("b") < n - 1) & (F.col("v") >= F.get("e", F.col("b") + 1)), F.col("b") + 1).otherwise(F.col("b"))
-    counts = guess.groupBy(F.least(F.greatest(fixed, F.lit(0)), F.lit(n - 1)).cast("long").alias("bin")).count()
-    frame = df.sparkSession.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(n)], "bin long, low double, high double")
-    return frame.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    ends, specs, rows = _ends(df, columns, bins), [], []
+    for j, c in enumerate(columns):
+        if j not in ends:
+            specs.append({"j": j, "n": 0, "edges": []})
+            continue
+        low, high, distinct = ends[j]
+        n = 1 if low == high else max(1, min(bins, distinct))
+        edges = [low * ((n - i) / n) + high * (i / n) for i in range(n)] + [high]
+        specs.append({"j": j, "n": n, "edges": edges})
+        rows += [(c, j, i, edges[i], edges[i + 1]) for i in range(n)]
+    # the edges of all columns are one literal
+    spec = F.from_json(F.lit(json.dumps(specs)), "array<struct<j:int,n:int,edges:array<double>>>")
+    v, e, n = F.col("v"), F.col("e.edges"), F.col("e.n")
+    each = df.select(F.inline(F.arrays_zip(F.array(*_reals(df, columns)).alias("v"), spec.alias("e")))).where("v is not null")
+    low, high = F.get(e, F.lit(0)), F.get(e, n)
+    width = F.greatest(high / n - low / n, F.lit(5e-324))
+    at = F.greatest(F.lit(0), F.least(n - 1, F.floor((v / n - low / n) / width * n).cast("int")))
+    guess = each.select(v, e.alias("edges"), n.alias("n"), F.col("e.j").alias("j"), at.alias("b"))
+    fixed = F.when(F.col("v") < F.get("edges", F.col("b")), F.col("b") - 1).when((F.col("b") < F.col("n") - 1) & (F.col("v") >= F.get("edges", F.col("b") + 1)), F.col("b") + 1).otherwise(F.col("b"))
+    counts = guess.groupBy("j", F.least(F.greatest(fixed, F.lit(0)), F.col("n") - 1).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    frame = df.sparkSession.createDataFrame(rows, "column string, j int, bin long, low double, high double")
+    return frame.join(counts, ["j", "bin"], "left").select("column", "bin", "low", "high", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
+    """`bin, low, high, count`: `histograms` of one column."""
+    return histograms(df, [column], bins).drop("column")
+
+
+def _digests(keys: list[Column]) -> list[Column]:
+    return [F.xxhash64(F.lit(i), *keys).alias(f"h{i}") for i in (0, 1)]
 
 
 def dataset_stats(df: DataFrame) -> DataFrame:
-    """One row: rows, missing_cells, rows_with_missing, duplicate_rows (rows beyond the first of equal ones)."""
+    """One row: rows, missing_cells, rows_with_missing, duplicate_rows (rows beyond the first of equal ones).
+
+    Rows are counted by digest first; only rows whose digest repeats are compared whole, so that a collision of digests
+    counts nothing and a table of different rows shuffles no more than digests.
+    """
     rows_only(df, "profile")
     gone = [missing(df, c) for c in df.columns]
-    flags = sum((F.when(g, 1).otherwise(0) for g in gone), F.lit(0))
-    base = df.select(flags.alias("m")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("missing_cells"), F.count(F.when(F.col("m") > 0, 1)).alias("rows_with_missing"))
-    keys = [_key(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    groups = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
-    twice = groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
-    return base.crossJoin(twice).select("rows", "missing_cells", "rows_with_missing", "duplicate_rows")
+    keys = [_key(df, c) for c in df.columns]
+    marks = _digests(keys)
+    flags = sum((F.when(g, 1).otherwise(0) for g in gone), F.lit(0)).cast("long")
+    by = df.select(*marks, flags.alias("m")).groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.count_if(F.col("m") > 0).alias("w"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    base = by.agg(zero("n").alias("rows"), zero("m").alias("missing_cells"), zero("w").alias("rows_with_missing"))
+    names = [f"c{i}" for i in range(len(keys))]
+    repeated = by.where("n > 1").select("h0", "h1")
+    whole = df.select(*marks, *[k.alias(n) for k, n in zip(keys, names, strict=True)]).join(repeated, ["h0", "h1"], "left_semi")
+    twice = whole.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return base.crossJoin(F.broadcast(twice)).select("rows", "missing_cells", "rows_with_missing", "duplicate_rows")
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -174,34 +257,69 @@ def column_values(df: DataFrame, column: str, search: str = "", limit: int = 100
     return rows.groupBy("value").count().orderBy(F.desc("count"), "value").limit(limit + 1)
 
 
-def sampled_profile(df: DataFrame, columns: list[str], key: list[str], rows: int = 100_000) -> DataFrame:
-    """`column, total, nulls, min, max, sum, mean, std, distinct_estimate, median_estimate, sampled`.
+def hash_sample(df: DataFrame, key: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The `rows` rows of the least hashes of `key` (all, where there are no more): the same for any partitioning, and mergeable:
+    the least of several samples are the sample of all.
 
-    Counts, ends, sums, means and deviations cover all rows; the median comes from about `rows` rows chosen by a hash
-    of `key`, the same on every run, and distinct values from a sketch. A sampling operator: its labels say so.
+    One narrow aggregate counts hashes by their leading bits and so finds the slot that the last row falls into; a filter keeps
+    the slots below it, and the few rows of that slot are ranked by hash, key and row. Name a key that tells rows apart.
     """
     rows_only(df, "profile")
-    chosen = _sample(df, key, rows)
-    made = [F.count("*").alias("t"), F.count(F.when(chosen, 1)).alias("s")]
+    h = F.xxhash64(*[named(k) for k in key])
+    slot = F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
+    counts = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.floor(F.col("slot") / SLOT_GROUP)).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    groups = counts.groupBy(F.floor(F.col("slot") / SLOT_GROUP).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").collect()
+    before, last = 0, None
+    for r in groups:  # at most 2 ** SLOT_BITS / SLOT_GROUP rows
+        if before + r["n"] >= rows:
+            inside = counts.where(F.floor(F.col("slot") / SLOT_GROUP) == r["g"]).select("slot", "n", (upto + before).alias("u")).where(F.col("u") >= rows).orderBy("slot").first()
+            last, before = inside["slot"], inside["u"] - inside["n"]
+            break
+        before += r["n"]
+    if last is None:
+        return df
+    edge = df.where(slot == last).withColumn("__h", h)
+    content = F.xxhash64(*[_key(df, c) for c in df.columns])
+    # a limit keeps no more than the rows wanted in any task
+    ranked = edge.orderBy("__h", *[named(k) for k in key], content).limit(rows - before).drop("__h")
+    return df.where(slot < last).union(ranked)
+
+
+def sampled_profile(df: DataFrame, columns: list[str], key: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """`column, total, nulls, min, max, sum, mean, std, min_length, max_length, mean_length, distinct_estimate, median_estimate, sampled`.
+
+    Counts, ends, sums, means, deviations and text lengths cover all rows, in one aggregate with mergeable parts; numbers
+    have no length and texts no moments. The median is that of `hash_sample`, and distinct values come from a sketch. A
+    sampling operator: its labels say so.
+    """
+    rows_only(df, "profile")
+    names = {"nulls": "n", "min": "a", "max": "b", "sum": "f", "mean": "m", "std": "e", "min_length": "k", "max_length": "l", "mean_length": "g", "distinct_estimate": "d"}
+    made, real, none = [F.count(F.lit(1)).alias("t")], {}, F.lit(None)
     for j, c in enumerate(columns):
-        v = finite(named(c).cast("double"))
-        made += [F.count(F.when(named(c).isNull(), 1)).alias(f"n{j}"), F.min(v).alias(f"a{j}"), F.max(v).alias(f"b{j}"), F.sum(v).alias(f"f{j}"), F.avg(v).alias(f"m{j}"), F.stddev_samp(v).alias(f"e{j}"), F.approx_count_distinct(named(c)).alias(f"d{j}"), F.percentile_approx(F.when(chosen, v), 0.5).alias(f"p{j}")]
-    names = {"nulls": "n", "min": "a", "max": "b", "sum": "f", "mean": "m", "std": "e", "distinct_estimate": "d", "median_estimate": "p"}
-    cells = [F.struct(F.lit(c).alias("column"), F.col("t").alias("total"), *[F.col(f"{x}{j}").alias(n) for n, x in names.items()], F.col("s").alias("sampled")) for j, c in enumerate(columns)]
-    return df.agg(*made).select(F.inline(F.array(*cells)))
+        text = kind_of(df, c) == "string"
+        v = F.lit(None).cast("double") if text else finite(named(c).cast("double"))
+        size = F.length(named(c)) if text else none.cast("int")
+        real[c] = v
+        made += [F.count_if(named(c).isNull()).alias(f"n{j}"), F.min(v).alias(f"a{j}"), F.max(v).alias(f"b{j}"), F.sum(v).alias(f"f{j}"), F.avg(v).alias(f"m{j}"), F.stddev_samp(v).alias(f"e{j}"), F.min(size).cast("long").alias(f"k{j}"), F.max(size).cast("long").alias(f"l{j}"), F.avg(size).alias(f"g{j}"), F.approx_count_distinct(named(c)).alias(f"d{j}")]
+    sample = hash_sample(df, key, rows)
+    # the sample is bounded: its exact medians fit an aggregate's buffer
+    middles = sample.agg(F.count(F.lit(1)).alias("sampled"), *[F.median(real[c]).alias(f"p{j}") for j, c in enumerate(columns)])
+    cells = [F.struct(F.lit(c).alias("column"), F.col("t").alias("total"), *[F.col(f"{x}{j}").alias(n) for n, x in names.items()], F.col(f"p{j}").alias("median_estimate"), "sampled") for j, c in enumerate(columns)]
+    return df.agg(*made).crossJoin(F.broadcast(middles)).select(F.inline(F.array(*cells)))
 
 
-def _sample(df: DataFrame, key: list[str], rows: int) -> Column:
-    """About `rows` rows, chosen by a hash of `key`; all, where there are no more."""
-    share = min(1.0, rows / max(1, df.count()))
-    return F.pmod(F.xxhash64(*[named(k) for k in key]), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+def sampled_dataset(df: DataFrame, key: list[str], rows: int = SAMPLE_ROWS, cells: int = SAMPLE_CELLS) -> DataFrame:
+    """One row: `sampled` rows, and of those missing_cells, rows_with_missing and duplicate_rows; `cells` bounds the sample too."""
+    out = dataset_stats(hash_sample(df, key, max(1, min(rows, cells // max(1, len(df.columns))))))
+    return out.withColumnRenamed("rows", "sampled")
 
 
-def sampled_histogram(df: DataFrame, column: str, key: list[str], rows: int = 100_000, bins: int = BINS) -> DataFrame:
-    """`histogram` of about `rows` rows chosen by a hash of `key`."""
-    return histogram(df.where(_sample(df, key, rows)), column, bins)
+def sampled_histogram(df: DataFrame, column: str, key: list[str], rows: int = SAMPLE_ROWS, bins: int = BINS) -> DataFrame:
+    """`histogram` of `hash_sample`."""
+    return histogram(hash_sample(df, key, rows), column, bins)
 
 
-def sampled_top_values(df: DataFrame, columns: list[str], key: list[str], rows: int = 100_000, k: int = TOP) -> DataFrame:
-    """`top_values` of about `rows` rows chosen by a hash of `key`."""
-    return top_values(df.where(_sample(df, key, rows)), columns, k)
+def sampled_top_values(df: DataFrame, columns: list[str], key: list[str], rows: int = SAMPLE_ROWS, k: int = TOP) -> DataFrame:
+    """`top_values` of `hash_sample`."""
+    return top_values(hash_sample(df, key, rows), columns, k)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cleanframe.functions.literals import literal
 from cleanframe.functions.types import GROUPABLE, StepError, named, require, rows_only, valid
 from cleanframe.functions.types import field as field_of
-from cleanframe.plans.frame import ROW, Frame, SortRule
+from cleanframe.operators.aggregate import first_seen
+from cleanframe.plans.frame import HIDDEN, ROW, Frame, SortRule
 
 
 def pivot_longer(frame: Frame, columns: list[str], label: str, value: str) -> Frame:
@@ -28,19 +29,20 @@ def pivot_longer(frame: Frame, columns: list[str], label: str, value: str) -> Fr
     return Frame(out, (SortRule("__cleanframe_at"), *frame.order) if frame.order and all(r.column in kept for r in frame.order) else ())
 
 
-def pivot_wider(frame: Frame, names_from: str, values_from: str, outputs: list[tuple[object, str]], ids: list[str] | None = None, strict: bool = True) -> Frame:
+def pivot_wider(frame: Frame, names_from: str, values_from: str, outputs: list[tuple[object, str]], ids: list[str] | None = None, strict: bool = True, ordered: bool = False) -> Frame:
     """A column for each declared key. Undeclared or null keys and repeated (ids, key) pairs are errors.
 
     With `strict` one job looks for those first; without, the error is raised where the result is used. A missing
-    combination is null. NaN ids count as null.
+    combination is null. NaN ids count as null. With `ordered` rows have the order of the first rows of their ids.
     """
     rows_only(frame.df, "pivotWider")
+    frame = frame.ordered() if ordered else frame
     if not 2 <= len(outputs) <= 64:
         raise StepError("2 to 64 outputs")
     df = frame.df
     require(df, names_from, GROUPABLE, "pivotWider")
     field_of(df, values_from)
-    ids = ids or [c for c in df.columns if c not in (names_from, values_from, ROW)]
+    ids = ids or [c for c in df.columns if c not in (names_from, values_from) and not c.startswith(HIDDEN)]
     taken = {c.lower() for c in ids}
     for _, name in outputs:
         if name.lower() in taken:
@@ -62,8 +64,8 @@ def pivot_wider(frame: Frame, names_from: str, values_from: str, outputs: list[t
         if (seen[1] or 0) > 1:
             raise StepError("ids and key repeat")
     cells = [F.first(F.when(key == k, F.struct(named(values_from).alias("v"))), ignorenulls=True)["v"].alias(name) for k, (_, name) in zip(keys, outputs, strict=True)]
-    out = df.groupBy(*by).agg(*cells, *([] if strict else [bad.alias("__bad"), F.greatest(*most).alias("__most")]))
+    out = df.groupBy(*by).agg(*cells, *([F.min(frame.position()).alias(ROW)] if ordered else []), *([] if strict else [bad.alias("__bad"), F.greatest(*most).alias("__most")]))
     if not strict:
         ok = F.when((F.col("__bad") > 0) | (F.col("__most") > 1), F.raise_error(F.lit("undeclared or repeated keys")).cast("boolean")).otherwise(F.lit(True))
         out = out.where(ok).drop("__bad", "__most")
-    return frame.with_df(out)
+    return first_seen(out) if ordered else frame.with_df(out)

@@ -6,23 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.types import all_of, named
+from cleanframe.plans.frame import Frame, SortRule
+from cleanframe.plans.ranges import running_sum
 
 
-def step_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+def step_diff(before: DataFrame, after: DataFrame, key: list[str], buckets: int | None = None) -> DataFrame:
     """`keys..., change, column, old, new`: every added or removed row and every changed cell, as text.
 
-    Rows are matched by `key`, nulls equal to nulls, over the whole tables. Only columns in both are compared;
-    see `column_diff` for the others. Take `.limit(n)` for a page, `.count()` for the total.
+    Rows are matched by `key`, nulls equal to nulls, over the whole tables. Where a key repeats, its rows are aligned as
+    multisets: rows alike on both sides cancel by their counts, and what is left of either side is numbered in the order of
+    its cells and paired by number; so n rows of a key meet m others in as many pairs as the fewer, never n times m.
+    Numbers come from range buckets: a key that most rows share is spread. Only columns in both are compared; see
+    `column_diff` for the others. Take `.limit(n)` for a page, `.count()` for the total.
     """
     shared = [c for c in before.columns if c in after.columns and c not in key]
-    b = before.select(*[named(c).alias(f"b{i}") for i, c in enumerate(key)], *[named(c).cast("string").alias(f"o{i}") for i, c in enumerate(shared)], F.lit(True).alias("was"))
-    a = after.select(*[named(c).alias(f"a{i}") for i, c in enumerate(key)], *[named(c).cast("string").alias(f"n{i}") for i, c in enumerate(shared)], F.lit(True).alias("is"))
-    both = b.join(a, all_of([b[f"b{i}"].eqNullSafe(a[f"a{i}"]) for i in range(len(key))]), "full_outer")
+    names, cells = [f"k{i}" for i in range(len(key))], [f"c{i}" for i in range(len(shared))]
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.select(*[named(c).alias(k) for c, k in zip(key, names, strict=True)], *[named(c).cast("string").alias(x) for c, x in zip(shared, cells, strict=True)], F.lit(n).cast("long").alias("n"))
+
+    # alike rows of both sides are one group; the sum is what one side has more of
+    left = side(before, -1).union(side(after, 1)).groupBy(*names, *cells).agg(F.sum("n").alias("n")).where("n <> 0").select(*names, (F.col("n") > 0).alias("side"), *cells, F.abs("n").alias("n"))
+    by = tuple(SortRule(c, nulls="first") for c in cells)
+    numbered = running_sum(Frame(left, by), [*names, "side"], F.col("n"), "upto", buckets)
+    each = numbered.select(*names, "side", *cells, F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("at"))
+    b = each.where("not side").select(*names, "at", *[F.col(c).alias(f"o{i}") for i, c in enumerate(cells)], F.lit(True).alias("was"))
+    a = each.where("side").select(*[F.col(k).alias(f"a{k}") for k in names], F.col("at").alias("other"), *[F.col(c).alias(f"n{i}") for i, c in enumerate(cells)], F.lit(True).alias("is"))
+    both = b.join(a, all_of([F.col("at") == F.col("other"), *[F.col(k).eqNullSafe(F.col(f"a{k}")) for k in names]]), "full_outer")
     cell = lambda change, column, old, new: F.struct(F.lit(change).alias("change"), F.lit(column).cast("string").alias("column"), old.cast("string").alias("old"), new.cast("string").alias("new"))
     none = F.lit(None)
     changed = F.array(*[cell("changed", c, F.col(f"o{i}"), F.col(f"n{i}")) for i, c in enumerate(shared)]) if shared else F.array().cast("array<struct<change:string,column:string,old:string,new:string>>")
-    cells = F.when(F.col("is").isNull(), F.array(cell("removed", None, none, none))).when(F.col("was").isNull(), F.array(cell("added", None, none, none))).otherwise(F.filter(changed, lambda x: ~x["old"].eqNullSafe(x["new"])))
-    return both.select(*[F.coalesce(f"a{i}", f"b{i}").alias(k) for i, k in enumerate(key)], F.inline(cells))
+    found = F.when(F.col("is").isNull(), F.array(cell("removed", None, none, none))).when(F.col("was").isNull(), F.array(cell("added", None, none, none))).otherwise(F.filter(changed, lambda x: ~x["old"].eqNullSafe(x["new"])))
+    return both.select(*[F.when(F.col("was").isNull(), F.col(f"a{k}")).otherwise(F.col(k)).alias(c) for c, k in zip(key, names, strict=True)], F.inline(found))
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def sort_rows(frame: Frame, rules: list[SortRule]) -> Frame:
 def page(frame: Frame, offset: int, limit: int, columns: list[str] | None = None) -> DataFrame:
     """Rows offset .. offset + limit in the frame's order, and only the named columns."""
     ordered = frame.ordered()
-    shown = [c for c in columns or frame.df.columns]
+    shown = [c for c in columns or frame.result().columns]
     rows = ordered.df.select(*{*map(named_key, shown), *(named_key(r.column) for r in ordered.order)})
     return rows.orderBy(*ordered.sort_columns()).offset(offset).limit(limit).select(*[named(c) for c in shown])
 

@@ -1,4 +1,4 @@
-"""Order at scale: range buckets, so that no window spans the whole table."""
+"""Order at scale: range buckets over whole sort keys, so that no window spans the whole table; ranks and medians from counts."""
 
 from __future__ import annotations
 
@@ -6,124 +6,189 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanframe.functions.types import kind_of, missing, named
-from cleanframe.plans.frame import Frame, SortRule
+from cleanframe.functions.types import all_of, kind_of, missing, named
+from cleanframe.functions.types import field as field_of
+from cleanframe.plans.frame import Frame, SortRule, whole_number
 
 #: Rows of a bucket, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 32_768
+#: Sampled keys a bucket, and in all beyond the least; they go through the driver.
+SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 200, 12, 400_000
 
 
 def sort_number(df: DataFrame, column: str) -> Column:
-    """A number that orders as the column does (ties allowed): text by its first seven bytes."""
+    """A number or time as a double, for straight lines along it."""
     kind, c = kind_of(df, column), named(column)
     if kind in ("integer", "float", "decimal"):
         return c.cast("double")
-    if kind == "boolean":
-        return c.cast("int").cast("double")
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "datetime":
-        zoned = c if isinstance(df.schema[column].dataType, T.TimestampType) else F.to_timestamp(c)
-        return F.unix_micros(zoned).cast("double")
-    if kind == "duration":
-        return (F.extract(F.lit("DAY"), c) * 86400 + F.extract(F.lit("HOUR"), c) * 3600 + F.extract(F.lit("MINUTE"), c) * 60 + F.extract(F.lit("SECOND"), c)).cast("double")
-    head = F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
-def split_points(df: DataFrame, number: Column, buckets: int | None) -> list[float]:
-    """Split points of about equal buckets, from one aggregate. They become literals of the plan, so that a task
-    run again puts every row into the same bucket."""
+    return whole_number(c, kind, field_of(df, column).dataType).cast("double")
+
+
+def split_points(df: DataFrame, key: Column, buckets: int | None) -> list[str]:
+    """Keys, as JSON, that cut the rows into about equal buckets by `key`, a struct of simple fields.
+
+    Every k-th of a sorted sample of whole keys, so that keys that agree in their first fields are divided by the
+    others. The sample is bounded by the number of buckets, not by the table. Its keys become a literal of the
+    plan, so that a task run again puts every row into the same bucket; a poor sample makes buckets uneven, never wrong.
+    """
+    rows = df.count()
     if buckets is None:
-        buckets = min(MOST_BUCKETS, max(1, df.count() // BUCKET_ROWS))
-    if buckets <= 1:
+        buckets = min(MOST_BUCKETS, max(1, rows // BUCKET_ROWS))
+    if buckets <= 1 or not rows:
         return []
-    cuts = df.select(number.alias("n")).where("n is not null and not isnan(n)").agg(F.percentile_approx("n", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets))).first()[0]
-    return sorted(set(cuts or []))
+    wanted = max(buckets * LEAST_SAMPLE, min(buckets * SAMPLE, MOST_SAMPLE))
+    keys = df.select(key.alias("k"))
+    if rows > wanted:
+        keys = keys.sample(wanted / rows, seed=1)
+    found = [r[0] for r in keys.orderBy("k").select(F.to_json("k", {"ignoreNullFields": "false"})).collect()]
+    return list(dict.fromkeys(found[len(found) * i // buckets] for i in range(1, buckets))) if found else []
 
 
-def bucket(number: Column, cuts: list[float]) -> Column:
-    """The number of split points below the value, by two look-ups in short lists."""
+def bucket(key: Column, cuts: list[str], kind: T.StructType) -> Column:
+    """The number of split points below the key, by two look-ups in short lists."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    array = lambda xs: F.array(*[F.lit(x) for x in xs])
-    coarse = F.size(F.filter(array([b[-1] for b in blocks]), lambda x: x < number))
-    fine = F.size(F.filter(F.get(F.array(*[array(b) for b in blocks]), coarse), lambda x: x < number))
-    return F.when(coarse == len(blocks), F.lit(len(cuts))).otherwise(coarse * step + fine)
+    # one literal text each, which the optimizer turns into an array once
+    tops = F.from_json(F.lit(f"[{','.join(b[-1] for b in blocks)}]"), T.ArrayType(kind))
+    lists = F.from_json(F.lit(f"[{','.join(f'[{",".join(b)}]' for b in blocks)}]"), T.ArrayType(T.ArrayType(kind)))
+    below = lambda cuts, k: F.size(F.filter(cuts, lambda x: x < k))
+    last = len(blocks)
+    place = lambda k, c: F.when(c == last, F.lit(len(cuts))).otherwise(c * step + below(F.get(lists, c), k))
+    # the key, and the block, are worked out once each as variables of a lambda
+    return F.transform(F.array(key), lambda k: F.transform(F.array(below(tops, k)), lambda c: place(k, c))[0])[0]
 
 
-def with_buckets(frame: Frame, buckets: int | None = None) -> DataFrame:
-    """`__bucket`, rising in the frame's order; equal first keys share one, missing keys have their own at their end.
+def with_buckets(frame: Frame, buckets: int | None = None, lead: list[str] | None = None) -> DataFrame:
+    """`__bucket`, rising in the order of `lead` (ascending, null first) and then the frame's, by their whole key.
 
-    A first key that one value dominates makes a large bucket: put a key that tells its rows apart first.
+    Only rows that are equal in all keys must share a bucket.
     """
-    rule = frame.order[0]
-    number = sort_number(frame.df, rule.column)
-    cuts = split_points(frame.df, number, buckets)
-    gone = missing(frame.df, rule.column)
-    place = bucket(number, cuts)
-    top = len(cuts) + 1
-    if rule.descending:
-        place = F.lit(len(cuts)) - place
-    nan = F.lit(-1 if rule.descending else top)
-    null = F.lit(-2 if rule.nulls == "first" else top + 1)
-    return frame.df.withColumn("__bucket", F.when(named(rule.column).isNull(), null).when(gone, nan).otherwise(place))
-
-
-def positioned(frame: Frame, partition: list[str] | None = None, buckets: int | None = None) -> tuple[DataFrame, list[Column]]:
-    """(rows with `__rn`, their number from 1 in the bucket or partition; what windows partition by)."""
-    if partition:
-        df, by = frame.df, [named(c) for c in partition]
-    else:
-        df, by = with_buckets(frame, buckets), [F.col("__bucket")]
-    w = Window.partitionBy(*by).orderBy(*frame.sort_columns())
-    return df.withColumn("__rn", F.row_number().over(w)), by
+    key = frame.position(lead)
+    kind = frame.df.select(key.alias("k")).schema["k"].dataType
+    return frame.df.withColumn("__bucket", bucket(key, split_points(frame.df, key, buckets), kind))
 
 
-def anchors(frame: Frame, present: Column, carried: Column, partition: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Adds `__pos` (place in the whole order), `__total`, and `__prev`, `__next`: structs (pos, v) of the nearest
-    rows before (or at) and after (or at) each row where `present` holds, v being `carried`.
+def anchors(frame: Frame, present: Column, carried: Column, partition: list[str] | None = None, buckets: int | None = None, positions: bool = True) -> DataFrame:
+    """Adds `__pos` (place in the whole order or the partition), `__total`, and `__prev`, `__next`: structs (pos, v) of the
+    nearest rows before (or at) and after (or at) each row where `present` holds, v being `carried`.
 
-    Inside a bucket they come from windows. Across buckets a table of one row a bucket (its size, its first and
-    last present row) is carried on by a window over that table alone, and joined back by broadcast.
+    Inside a bucket they come from windows. Across buckets a table of a row a bucket (its size, its first and last
+    present row) is carried on by windows over that table alone, and joined back by broadcast. With `partition`
+    buckets run over (partition, order): a partition that holds most rows spans many buckets, and only those that span
+    several, at most as many as there are buckets, are in that table. Without `positions` places and
+    totals are null, and the table comes from a plain aggregate, without sorting rows for it.
     """
-    df, by = positioned(frame, partition, buckets)
-    order = frame.sort_columns()
-    here = F.when(present, F.struct(F.col("__rn").cast("long").alias("pos"), carried.alias("v")))
-    df = df.withColumn("__here", here)
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = partition or []
+    df = with_buckets(frame, buckets, parts)
+    order, none = frame.sort_columns(), F.lit(None).cast("long")
+    whole = Window.partitionBy("__bucket", *[named(c) for c in parts])
+    by_order = whole.orderBy(*order)
+    marked = df.withColumn("__rn", F.row_number().over(by_order).cast("long"))
+    marked = marked.withColumn("__here", F.when(present, F.struct((F.col("__rn") if positions else none).alias("pos"), carried.alias("v"))))
+    so_far = by_order.rowsBetween(Window.unboundedPreceding, 0)
     # the next one is the last one of the turned order: a frame that only grows costs a step a row
-    after = Window.partitionBy(*by).orderBy(F.desc("__rn")).rowsBetween(Window.unboundedPreceding, 0)
-    near = df.withColumn("__p", F.last("__here", ignorenulls=True).over(before)).withColumn("__f", F.last("__here", ignorenulls=True).over(after))
-    if partition:
-        whole = Window.partitionBy(*by)
-        return near.withColumns({"__pos": F.col("__rn").cast("long"), "__total": F.count(F.lit(1)).over(whole), "__prev": F.col("__p"), "__next": F.col("__f")}).drop("__rn", "__here", "__p", "__f")
-    small = df.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.max_by("__here", F.when(F.col("__here").isNotNull(), F.col("__rn"))).alias("last"), F.min_by("__here", F.when(F.col("__here").isNotNull(), F.col("__rn"))).alias("first"))
-    run = Window.orderBy("__bucket")
-    sized = small.withColumn("__off", F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    turned = whole.orderBy(F.desc("__rn"))
+    near = marked.withColumn("__p", F.last("__here", ignorenulls=True).over(so_far)).withColumn("__f", F.last("__here", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0)))
+    if parts and positions:
+        near = near.withColumn("__n", F.count(F.lit(1)).over(whole))
+
+    names = [f"__k{i}" for i in range(len(parts))]
+    keys = [named(c).alias(k) for c, k in zip(parts, names, strict=True)]
+    value = F.when(present, carried).alias("__v")
+    if positions:
+        counted, place = marked.select("__bucket", *keys, value, F.col("__rn").alias("__at")), F.col("__at")
+    else:
+        counted = df.select("__bucket", *keys, value, frame.position().alias("__at"))
+        fields = counted.schema["__at"].dataType.names
+        place = F.col("__at") if len(fields) > 1 else F.col("__at")[fields[0]]
+    at = F.when(F.col("__v").isNotNull(), place)
+    small = counted.groupBy("__bucket", *names).agg(F.count(F.lit(1)).alias("n"), *[f("__v", at).alias(f"{n}_v") for n, f in (("last", F.max_by), ("first", F.min_by))], *[(f(at) if positions else F.lit(None).cast("long")).alias(f"{n}_pos") for n, f in (("last", F.max), ("first", F.min))])
+    small = _spanning(small, names)
+    small = small.select("__bucket", *names, "n", *[F.when(F.col(f"{n}_v").isNotNull(), F.struct(F.col(f"{n}_pos").alias("pos"), F.col(f"{n}_v").alias("v"))).alias(n) for n in ("last", "first")])
+    run = Window.partitionBy(*names).orderBy("__bucket")
+    ahead = run.rowsBetween(Window.unboundedPreceding, -1)
+    sized = small.withColumn("__off", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     moved = lambda s, by: F.when(s.isNotNull(), F.struct((s["pos"] + by).alias("pos"), s["v"].alias("v")))
-    sized = sized.select("__bucket", "n", "__off", moved(F.col("last"), F.col("__off")).alias("last"), moved(F.col("first"), F.col("__off")).alias("first"))
+    sized = sized.select("__bucket", *names, "n", "__off", moved(F.col("last"), F.col("__off")).alias("last"), moved(F.col("first"), F.col("__off")).alias("first"))
     carry = sized.select(
         F.col("__bucket").alias("__b"),
+        *names,
         "__off",
-        F.last("last", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)).alias("__cp"),
-        F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("__cn"),
-        F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
+        F.last("last", ignorenulls=True).over(ahead).alias("__cp"),
+        F.last("first", ignorenulls=True).over(Window.partitionBy(*names).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("__cn"),
+        F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__sum"),
     )
-    joined = near.join(F.broadcast(carry), F.col("__bucket") == F.col("__b"))
+    same = [F.col("__bucket") == F.col("__b"), *[named(c).eqNullSafe(F.col(k)) for c, k in zip(parts, names, strict=True)]]
+    joined = near.join(F.broadcast(carry), all_of(same), "left" if parts else "inner")
+    off = F.coalesce("__off", F.lit(0))
+    total = F.coalesce("__sum", F.col("__n")) if parts and positions else F.col("__sum")
     return joined.withColumns({
-        "__pos": F.col("__rn") + F.col("__off"),
-        "__prev": F.coalesce(moved(F.col("__p"), F.col("__off")), F.col("__cp")),
-        "__next": F.coalesce(moved(F.col("__f"), F.col("__off")), F.col("__cn")),
-    }).drop("__rn", "__here", "__p", "__f", "__b", "__off", "__cp", "__cn", "__bucket")
+        "__pos": F.col("__rn") + off,
+        "__total": total if positions else none,
+        "__prev": F.coalesce(moved(F.col("__p"), off), F.col("__cp")),
+        "__next": F.coalesce(moved(F.col("__f"), off), F.col("__cn")),
+    }).drop("__rn", "__here", "__p", "__f", "__n", "__b", "__off", "__cp", "__cn", "__sum", "__bucket", *names)
+
+
+def _spanning(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Of a table of a row a bucket and partition, the partitions of several buckets: at most as many as there are buckets."""
+    if not names:
+        return sums
+    spans = sums.groupBy(*[F.col(k).alias(f"{k}s") for k in names]).agg(F.min("__bucket").alias("lo"), F.max("__bucket").alias("hi")).where("lo < hi")
+    return sums.join(F.broadcast(spans), all_of([F.col(k).eqNullSafe(F.col(f"{k}s")) for k in names]), "left_semi")
+
+
+def running_sum(frame: Frame, partition: list[str], weight: Column, name: str, buckets: int | None = None) -> DataFrame:
+    """Adds `name`: the sum of `weight` over the rows of the partition up to this one, in the frame's order.
+
+    Windows run inside range buckets of (partition, order); what stands before a bucket of a partition that spans several
+    comes from a table of their sums.
+    """
+    names = [f"__k{i}" for i in range(len(partition))]
+    df = with_buckets(frame, buckets, partition).withColumn("__w", weight)
+    here = Window.partitionBy("__bucket", *[named(c) for c in partition]).orderBy(*frame.sort_columns()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = _spanning(df.groupBy("__bucket", *[named(c).alias(k) for c, k in zip(partition, names, strict=True)]).agg(F.sum("__w").alias("__s")), names)
+    ahead = Window.partitionBy(*names).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(F.col("__bucket").alias("__b"), *names, F.sum("__s").over(ahead).alias("__off"))
+    same = [F.col("__bucket") == F.col("__b"), *[named(c).eqNullSafe(F.col(k)) for c, k in zip(partition, names, strict=True)]]
+    out = df.withColumn(name, F.sum("__w").over(here)).join(F.broadcast(carry), all_of(same), "left")
+    return out.withColumn(name, F.col(name) + F.coalesce("__off", F.lit(0))).drop("__bucket", "__w", "__b", "__off", *names)
+
+
+def group_middles(df: DataFrame, by: list[Column], names: list[str], value: Column, buckets: int | None = None) -> DataFrame:
+    """`names..., __low, __high`: the two middle present values (null is none, NaN too) of each group, exactly.
+
+    Ranks are found in all groups at once: rows are counted by group and range bucket of (group, value), running sums over
+    those counts tell which bucket holds each middle rank, and only the values of these buckets are ranked, as (value,
+    count) pairs. Groups without a value are absent. No task holds a group: a group of most rows is spread over many
+    buckets, and a value that most rows share is one pair.
+    """
+    rows = df.select(*[b.alias(n) for b, n in zip(by, names, strict=True)], value.alias("__v"))
+    rows = rows.where(~missing(rows, "__v"))
+    placed = with_buckets(Frame(rows, (SortRule("__v"),)), buckets, names).withColumnRenamed("__bucket", "__b")
+    pairs = placed.groupBy(*names, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counts = placed.groupBy(*names, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    run = Window.partitionBy(*names)
+    ranked = counts.withColumns({"__n": F.sum("__c").over(run), "__upto": F.sum("__c").over(run.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))})
+    low, high = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+    before = F.col("__upto") - F.col("__c")
+    holds = lambda rank: (rank > before) & (rank <= F.col("__upto"))
+    wanted = ranked.where(holds(low) | holds(high)).select(*[F.col(k).alias(f"{k}w") for k in names], F.col("__b").alias("__bw"), (low - before).alias("__low_at"), (high - before).alias("__high_at"))
+    same = [F.col("__b") == F.col("__bw"), *[F.col(k).eqNullSafe(F.col(f"{k}w")) for k in names]]
+    near = pairs.join(wanted, all_of(same)).select(*names, "__b", "__v", "__c", "__low_at", "__high_at")
+    upto = F.sum("__c").over(Window.partitionBy(*names, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    # a middle rank may lie in another bucket: its place there is none of this one's
+    at = near.withColumn("__upto", upto).where(((F.col("__low_at") > F.col("__upto") - F.col("__c")) & (F.col("__low_at") <= F.col("__upto"))) | ((F.col("__high_at") > F.col("__upto") - F.col("__c")) & (F.col("__high_at") <= F.col("__upto"))))
+    return at.groupBy(*names).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
 
 
 def middle_values(df: DataFrame, column: str, buckets: int | None = None) -> tuple[object, object] | None:
     """The two middle values of the present ones (the same, if their number is odd), exactly, for any type with an order.
 
-    Counts by bucket tell which bucket holds the middle ranks; only its rows are numbered.
+    Counts by bucket tell which bucket holds the middle ranks; only its values are ranked, as (value, count) pairs with
+    map-side partial counts, so that a value that most rows share is one pair.
     """
     frame = Frame(df.where(~missing(df, column)).select(column), (SortRule(column),))
     placed = with_buckets(frame, buckets)
@@ -131,14 +196,15 @@ def middle_values(df: DataFrame, column: str, buckets: int | None = None) -> tup
     n = sum(c for _, c in counts)
     if not n:
         return None
-    out = []
-    for rank in ((n + 1) // 2, n // 2 + 1):
-        before = 0
-        for b, c in counts:
-            if before + c >= rank:
-                w = Window.partitionBy("__bucket").orderBy(named(column))
-                row = placed.where(F.col("__bucket") == b).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == rank - before).first()
-                out.append(row[column])
-                break
-            before += c
-    return out[0], out[1]
+    out, before = [], 0
+    ranks = ((n + 1) // 2, n // 2 + 1)
+    for b, c in counts:
+        here = [r - before for r in ranks if before < r <= before + c]
+        if here:
+            pairs = placed.where(F.col("__bucket") == b).groupBy(named(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+            upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+            ended = pairs.select("v", upto.alias("u"), "c")
+            got = ended.where(F.greatest(*[F.when((F.lit(r) > F.col("u") - F.col("c")) & (F.lit(r) <= F.col("u")), 1).otherwise(0) for r in (here[0], here[-1])]) == 1).orderBy("v").collect()
+            out += [got[0]["v"], got[-1]["v"]] if len(here) == 2 else [got[0]["v"]]
+        before += c
+    return out[0], out[-1]

@@ -71,8 +71,8 @@ STEPS: dict[str, Callable[[Frame, dict], Frame]] = {
     "ceilNumber": lambda f, p: numeric.ceil_number(f, p["column"], p.get("newColumn")),
     "formatDatetime": lambda f, p: numeric.format_datetime(f, p["column"], p["format"], p.get("newColumn")),
     "pivotLonger": lambda f, p: reshape.pivot_longer(f, p["columns"], p["labelColumn"], p["valueColumn"]),
-    "pivotWider": lambda f, p: reshape.pivot_wider(f, p["namesFrom"], p["valuesFrom"], [(o["key"], o["name"]) for o in p["outputs"]]),
-    "groupBy": lambda f, p: group_by(f, p["keys"], [Aggregation(a["column"], a["operation"], a["alias"]) for a in p["aggregations"]]),
+    "pivotWider": lambda f, p: reshape.pivot_wider(f, p["namesFrom"], p["valuesFrom"], [(o["key"], o["name"]) for o in p["outputs"]], ordered=True),
+    "groupBy": lambda f, p: group_by(f, p["keys"], [Aggregation(a["column"], a["operation"], a["alias"]) for a in p["aggregations"]], ordered=True),
     "byExample": lambda f, p: example.by_example(f, p["program"], p["newColumn"]),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cleanframe.functions.types import StepError
@@ -14,7 +14,7 @@ from cleanframe.operators import profile
 from cleanframe.operators.example import ranked
 from cleanframe.plans.diff import diff_counts, step_diff
 from cleanframe.plans.filters import FilterModel, page
-from cleanframe.plans.frame import Frame, SortRule
+from cleanframe.plans.frame import ROW, Frame, SortRule
 from cleanframe.plans.recipe import Recipe, Step
 from cleanframe.sources import dialect, files
 
@@ -111,6 +111,25 @@ def csv_encoded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, df, lambda d, p: files.write_delimited(d, p, encoding="ISO-8859-1"), lambda s, p: files.read_delimited(s, p, encoding="ISO-8859-1", schema="c_custkey bigint, c_name string"))
 
 
+@query("csv_utf16", "SELECT c_custkey, 'Größe 日本 ' || c_name AS c_name FROM customer")
+def csv_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Größe 日本 "), "c_name").alias("c_name"))
+    return _round_trip(spark, df, lambda d, p: files.write_delimited(d, p, encoding="UTF-16"), lambda s, p: files.read_delimited(s, p, encoding="UTF-16", schema="c_custkey bigint, c_name string"))
+
+
+@query("csv_quoted_inferred", "SELECT c_custkey::BIGINT AS c_custkey, c_acctbal, c_name || chr(10) || 'x' AS note FROM customer")
+def csv_quoted_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.concat("c_name", F.lit("\nx")).alias("note"))
+    return _round_trip(spark, df, files.write_delimited, lambda s, p: files.read_delimited(s, p, multi_line=True)).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@query("dialect_quotes", "SELECT 'semicolon' AS delimiter, chr(39) AS quote, 2::BIGINT AS fields, count(*) > 0 AS found FROM customer")
+def dialect_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("; it's "), "c_mktsegment").alias("note"))
+    got = _round_trip(spark, df, lambda d, p: files.write_delimited(d, p, ";", quote="'"), dialect.dialects)
+    return got.groupBy("delimiter", "quote", "fields").agg((F.count("*") > 0).alias("found"))
+
+
 @query("csv_lossy_utf8", "SELECT c_custkey, 'Gr' || chr(65533) || 'n ' || c_name AS c_name FROM customer")
 def csv_lossy_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Grün "), "c_name").alias("c_name"))
@@ -256,6 +275,15 @@ step("drop_missing_all", "events", ["event_id", "event_type"], f"SELECT event_id
 QUERIES["drop_missing_all"] = lambda spark, sf_dir: Recipe().then("dropMissingRows", columns=["event_type", "value"], how="all").apply(Frame(events(spark, sf_dir))).df.select("event_id", "event_type")
 for keep, rank in (("first", "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1"), ("last", "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"), ("none", "count(*) OVER (PARTITION BY user_id, event_type) = 1")):
     step(f"dedupe_{keep}", "events", ["event_id", "user_id", "event_type"], f"SELECT event_id, user_id, event_type FROM {EVENTS_SQL} QUALIFY {rank}", ("dropDuplicates", {"columns": ["user_id", "event_type"], "keep": keep}))
+
+
+@query("dedupe_descending", f"SELECT event_id, user_id, event_type FROM {EVENTS_SQL} QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY props DESC NULLS LAST, event_id DESC) = 1")
+def dedupe_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of equal rows by a descending text, then a descending number."""
+    frame = Frame(events(spark, sf_dir).select("event_id", "user_id", "event_type", "props"), (SortRule("props", True), SortRule("event_id", True)))
+    return Recipe().then("dropDuplicates", columns=["user_id", "event_type"]).apply(frame).df.select("event_id", "user_id", "event_type")
+
+
 step("dedupe_rows", "lineitem", ["l_returnflag", "l_linestatus", "l_linenumber"], "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem", ("dropDuplicates", {}))
 
 # -- columns ------------------------------------------------------------------------------------------------
@@ -321,6 +349,32 @@ step("group_by", "events", ["event_id", "user_id", "event_type", "value"], f"""
 step("group_by_text_extremes", "lineitem", ["l_linenumber", "l_returnflag", "l_shipdate"], "SELECT l_linenumber, min(l_returnflag) AS a, max(l_shipdate) AS b, count(l_returnflag) AS n FROM lineitem GROUP BY l_linenumber",
      ("groupBy", {"keys": ["l_linenumber"], "aggregations": [{"column": "l_returnflag", "operation": "min", "alias": "a"}, {"column": "l_shipdate", "operation": "max", "alias": "b"}, {"column": "l_returnflag", "operation": "count", "alias": "n"}]}))
 
+step("group_by_medians", "lineitem", ["l_returnflag", "l_discount", "l_extendedprice", "l_linenumber"], "SELECT l_returnflag, median(l_discount) AS d, median(l_extendedprice) AS p, median(l_linenumber)::DOUBLE AS n, count(l_discount) AS c FROM lineitem GROUP BY l_returnflag",
+     ("groupBy", {"keys": ["l_returnflag"], "aggregations": [{"column": "l_discount", "operation": "median", "alias": "d"}, {"column": "l_extendedprice", "operation": "median", "alias": "p"}, {"column": "l_linenumber", "operation": "median", "alias": "n"}, {"column": "l_discount", "operation": "count", "alias": "c"}]}))
+
+
+def _shown(frame: Frame, rows: int, columns: list[str]) -> DataFrame:
+    """The first rows of a frame and their places: a page, so few."""
+    return page(frame, 0, rows, columns).withColumn("n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
+@query("group_order", f"SELECT user_id, s, n FROM (SELECT user_id, sum(event_id)::DECIMAL(38, 0) AS s, row_number() OVER (ORDER BY max(event_id) DESC) AS n FROM {EVENTS_SQL} GROUP BY user_id) WHERE n <= 20")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups keep the order of their first rows, here by descending id, for the steps that follow."""
+    frame = Frame(events(spark, sf_dir).select("event_id", "user_id"), (SortRule("event_id", True),))
+    grouped = Recipe().then("groupBy", keys=["user_id"], aggregations=[{"column": "event_id", "operation": "sum", "alias": "s"}]).apply(frame)
+    return _shown(grouped, 20, ["user_id", "s"])
+
+
+@query("pivot_order", "SELECT l_orderkey, a, n FROM (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS a, row_number() OVER (ORDER BY l_orderkey DESC) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey) WHERE n <= 30")
+def pivot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivoted rows keep the order of the first rows of their ids."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    frame = Frame(rows.withColumn(ROW, F.col("l_orderkey") * 10 + F.col("l_linenumber")), (SortRule(ROW, True),))
+    wide = Recipe().then("pivotWider", namesFrom="l_linenumber", valuesFrom="q", outputs=[{"key": 1, "name": "a"}, {"key": 2, "name": "b"}]).apply(frame)
+    return _shown(wide, 30, ["l_orderkey", "a"])
+
+
 # -- fills --------------------------------------------------------------------------------------------------
 FILL = ["event_id", "user_id", "event_type", "value"]
 
@@ -343,6 +397,10 @@ AFTER = "first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURREN
 fill("fill_forward", "value", f"CASE WHEN {GONE} THEN coalesce({BEFORE}, value) ELSE value END", source=PLACED, kind="directional", direction="forward")
 fill("fill_forward_gap", "value", f"CASE WHEN {GONE} AND gap <= 2 THEN coalesce({BEFORE}, value) ELSE value END", columns=[*FILL, "ts"], source=PLACED, kind="directional", direction="forward", orderBy=[{"column": "ts"}], maxGap=2)
 fill("fill_backward", "value", f"CASE WHEN {GONE} AND gap <= 3 THEN coalesce({AFTER}, value) ELSE value END", source=PLACED, kind="directional", direction="backward", orderBy=[{"column": "event_id"}], maxGap=3)
+BY_TEXT = "PARTITION BY event_type ORDER BY lpad(user_id::VARCHAR, 12, '0') DESC, event_id"
+fill("fill_forward_partitioned", "value", f"CASE WHEN {GONE} THEN coalesce(last_value(CASE WHEN NOT {GONE} THEN value END IGNORE NULLS) OVER ({BY_TEXT}), value) ELSE value END", kind="value", value="0")
+PARTITIONED = Recipe().then("fillMissingValues", column="value", replacement={"kind": "directional", "direction": "forward", "orderBy": [{"column": "key", "direction": "desc"}], "partitionBy": ["event_type"]})
+QUERIES["fill_forward_partitioned"] = lambda spark, sf_dir: PARTITIONED.apply(Frame(events(spark, sf_dir).select(*FILL, F.lpad(F.col("user_id").cast("string"), 12, "0").alias("key")), BY_ID)).df.select(*FILL)
 LINE = f"""(SELECT *, max(CASE WHEN NOT {GONE} THEN event_id END) OVER (ORDER BY event_id) AS xa, min(CASE WHEN NOT {GONE} THEN event_id END) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS xb,
     last_value(CASE WHEN NOT {GONE} THEN value END IGNORE NULLS) OVER (ORDER BY event_id) AS ya, first_value(CASE WHEN NOT {GONE} THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS yb FROM {EVENTS_SQL})"""
 W = "((event_id - xa)::DOUBLE / (xb - xa)::DOUBLE)"
@@ -455,6 +513,23 @@ def profile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histogram(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
+SPREAD = ["l_quantity", "l_extendedprice", "l_linenumber", "l_discount"]
+
+
+@query("profile_histograms", " UNION ALL ".join(f"""SELECT '{c}' AS "column", bin, low, high, count({c}) AS count FROM (SELECT i AS bin, a * ((n - i) / n) + b * (i / n) AS low, CASE WHEN i = n - 1 THEN b ELSE a * ((n - i - 1) / n) + b * ((i + 1) / n) END AS high, i = n - 1 AS top
+    FROM (SELECT min({c})::DOUBLE AS a, max({c})::DOUBLE AS b, least(20, count(DISTINCT {c}))::DOUBLE AS n FROM lineitem), range(20) AS t(i) WHERE i < n) LEFT JOIN lineitem ON {c} >= low AND ({c} < high OR top) GROUP BY bin, low, high""" for c in SPREAD))
+def profile_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.histograms(table(spark, sf_dir, "lineitem"), SPREAD)
+
+
+WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "l_linestatus"]
+
+
+@query("profile_counts_wide", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS total, count(*) - count({c}) AS nulls, 0::BIGINT AS nans, count(DISTINCT {c}) AS distinct FROM lineitem""" for c in WIDE))
+def profile_counts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.base_counts(table(spark, sf_dir, "lineitem"), WIDE)
+
+
 @query("profile_dataset", f"""SELECT (SELECT count(*) FROM {EVENTS_SQL}) AS rows, (SELECT count(*) FILTER (WHERE event_type IS NULL) + count(*) FILTER (WHERE {GONE}) FROM {EVENTS_SQL}) AS missing_cells,
     (SELECT count(*) FILTER (WHERE event_type IS NULL OR {GONE}) FROM {EVENTS_SQL}) AS rows_with_missing,
     (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM (SELECT user_id, event_type, CASE WHEN NOT isnan(value) THEN value END AS v FROM {EVENTS_SQL}) GROUP BY user_id, event_type, v)) AS duplicate_rows""")
@@ -486,6 +561,17 @@ def profile_sampled_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_sampled(spark, sf_dir).select("column", "total", "nulls", "min", "max", F.round("sum", 2).alias("sum"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("profile_sampled_lengths", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS total, count(*) - count({c}) AS nulls, min(length({c})) AS min_length, max(length({c})) AS max_length, avg(length({c})) AS mean_length FROM documents""" for c in ("text", "source")))
+def profile_sampled_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text lengths of the sampled profile are exact."""
+    return profile.sampled_profile(table(spark, sf_dir, "documents"), ["text", "source"], ["doc_id"]).select("column", "total", "nulls", "min_length", "max_length", "mean_length")
+
+
+@query("profile_sampled_duplicates")
+def profile_sampled_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sampled_dataset(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["event_id"])
+
+
 @query("profile_sampled_values")
 def profile_sampled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sampled_top_values(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_partkey"], ["l_orderkey", "l_linenumber", "l_partkey"])
@@ -515,6 +601,16 @@ def step_diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_counts(step_diff(before, after, ["event_id"]))
 
 
+@query("step_diff_repeated", """WITH x AS (SELECT l_orderkey AS k, l_linenumber::VARCHAR AS a, l_quantity::BIGINT::VARCHAR AS b FROM lineitem WHERE l_linenumber < 5), y AS (SELECT l_orderkey AS k, l_linenumber::VARCHAR AS a, (l_quantity::BIGINT % 40)::VARCHAR AS b FROM lineitem WHERE l_linenumber > 1),
+    l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, b) AS n FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y)), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, b) AS n FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)),
+    j AS (SELECT l.k AS lk, r.k AS rk, coalesce((l.a <> r.a)::INT, 0) + coalesce((l.b <> r.b)::INT, 0) AS cells FROM l FULL JOIN r ON l.k = r.k AND l.n = r.n)
+    SELECT CASE WHEN rk IS NULL THEN 'removed' WHEN lk IS NULL THEN 'added' ELSE 'changed' END AS change, sum(CASE WHEN lk IS NULL OR rk IS NULL THEN 1 ELSE cells END)::BIGINT AS cells FROM j GROUP BY ALL""")
+def step_diff_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by their order alone: rows of a key that repeats cancel, and the others pair off."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    return diff_counts(step_diff(rows.where("l_linenumber < 5"), rows.where("l_linenumber > 1").withColumn("q", F.col("q") % 40), ["l_orderkey"]))
+
+
 @query("recipe_from_json", "SELECT l_orderkey, l_quantity * l_tax AS t, lower(l_returnflag) AS l_returnflag FROM lineitem WHERE l_quantity >= 40")
 def recipe_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     recipe = Recipe().then("filterRows", filterModel={"filters": [on("l_quantity", ("gte", "40"))]}).then("formula", leftColumn="l_quantity", operator="multiply", rightColumn="l_tax", newColumn="t").then("lowerText", column="l_returnflag").then("selectColumns", columns=["l_orderkey", "t", "l_returnflag"])

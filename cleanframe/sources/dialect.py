@@ -8,22 +8,42 @@ from pyspark.sql import functions as F
 DELIMITERS = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
 
 
+QUOTES = ('"', "'")
+
+
+def _quoted_fields(delimiter: str, quote: str) -> str:
+    """A pattern of a field in quotes between delimiters, quotes in it doubled."""
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    return f"(?:^|(?<={d})){quote}(?:[^{quote}]|{quote}{quote})*{quote}(?={d}|\\s*$)"
+
+
 def dialect_scores(lines: DataFrame) -> DataFrame:
-    """`file, delimiter, fields, share, quoted, header`, the best delimiter of each file.
+    """`file, delimiter, quote, fields, share, quoted, header`, the best delimiter of each file.
 
     `lines(file, line)` are sample lines. For every delimiter, lines are counted by their number of fields outside
-    quotes; the delimiter with the largest share of lines of one width wins, the wider one on ties. The header is
-    likely where the first line has no number and later lines have some.
+    quotes; the delimiter with the largest share of lines of one width wins, the wider one on ties. Single quotes are a
+    delimiter's where they enclose at least two fields, and more than double quotes do: apostrophes in prose are none.
+    The header is likely where the first line has no number and later lines have some.
     """
-    quoteless = F.regexp_replace("line", '"[^"]*"', "")
-    number: Column = F.regexp_like("line", F.lit(r"(^|[,;|\t])\s*[+-]?\d+(\.\d+)?\s*($|[,;|\t])"))
-    cells = F.array(*[F.struct(F.lit(n).alias("delimiter"), (F.length(quoteless) - F.length(F.replace(quoteless, F.lit(d), F.lit(""))) + 1).alias("fields")) for n, d in DELIMITERS.items()])
-    widths = lines.select("file", F.inline(cells)).groupBy("file", "delimiter", "fields").count()
-    best = widths.groupBy("file", "delimiter").agg(F.max(F.struct("count", "fields")).alias("m"), F.sum("count").alias("n"))
-    score = F.struct((F.col("m.fields") > 1).alias("splits"), (F.col("m.count") / F.col("n")).alias("share"), F.col("m.fields").alias("fields"), F.col("delimiter"))
-    pick = best.groupBy("file").agg(F.max(score).alias("s"))
-    heads = lines.groupBy("file").agg(F.max(F.when(F.col("nr") == 1, number)).alias("h"), F.max(F.when(F.col("nr") > 1, number)).alias("b"), F.max(F.col("line").contains('"')).alias("quoted"))
-    return pick.join(heads, "file").select("file", F.col("s.delimiter").alias("delimiter"), F.col("s.fields").cast("long").alias("fields"), F.col("s.share").alias("share"), "quoted", (~F.coalesce("h", F.lit(False)) & F.coalesce("b", F.lit(False))).alias("header"))
+    number: Column = F.regexp_like("line", F.lit(r"(^|[,;|\t])\s*['\"]?[+-]?\d+(\.\d+)?['\"]?\s*($|[,;|\t])"))
+
+    def cell(name: str, delimiter: str, quote: str) -> Column:
+        pattern = _quoted_fields(delimiter, quote)
+        bare = F.regexp_replace("line", pattern, "")
+        fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+        return F.struct(F.lit(name).alias("delimiter"), F.lit(quote).alias("quote"), fields.alias("fields"), F.regexp_count("line", F.lit(pattern)).alias("enclosed"))
+
+    cells = F.array(*[cell(n, d, q) for n, d in DELIMITERS.items() for q in QUOTES])
+    widths = lines.select("file", F.inline(cells)).groupBy("file", "delimiter", "quote", "fields").agg(F.count("*").alias("count"), F.sum("enclosed").alias("enclosed"))
+    each = widths.groupBy("file", "delimiter", "quote").agg(F.max(F.struct("count", "fields")).alias("m"), F.sum("count").alias("n"), F.sum("enclosed").alias("enclosed"))
+    score = lambda q: F.max(F.when(F.col("quote") == q, F.struct("m", "n", "enclosed")))
+    both = each.groupBy("file", "delimiter").agg(score('"').alias("double"), score("'").alias("single"))
+    by_single = (F.col("single.enclosed") >= 2) & (F.col("single.enclosed") > F.col("double.enclosed"))
+    best = both.select("file", "delimiter", F.when(by_single, F.lit("'")).otherwise(F.lit('"')).alias("quote"), F.when(by_single, F.col("single")).otherwise(F.col("double")).alias("s"))
+    rank = F.struct((F.col("s.m.fields") > 1).alias("splits"), (F.col("s.m.count") / F.col("s.n")).alias("share"), F.col("s.m.fields").alias("fields"), "delimiter", "quote", F.col("s.enclosed").alias("enclosed"))
+    pick = best.groupBy("file").agg(F.max(rank).alias("s"))
+    heads = lines.groupBy("file").agg(F.max(F.when(F.col("nr") == 1, number)).alias("h"), F.max(F.when(F.col("nr") > 1, number)).alias("b"))
+    return pick.join(heads, "file").select("file", F.col("s.delimiter").alias("delimiter"), F.col("s.quote").alias("quote"), F.col("s.fields").cast("long").alias("fields"), F.col("s.share").alias("share"), (F.col("s.enclosed") > 0).alias("quoted"), (~F.coalesce("h", F.lit(False)) & F.coalesce("b", F.lit(False))).alias("header"))
 
 
 def dialects(spark: SparkSession, path: str, sample: int = 100, encoding: str = "UTF-8") -> DataFrame:
