@@ -14,6 +14,8 @@ from cleanframe.plans.frame import Frame, SortRule, whole_number
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 32_768
 #: Sampled keys a bucket, and in all beyond the least; they go through the driver.
 SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 200, 12, 400_000
+#: Characters of a text that a split point keeps.
+KEY_CHARS = 256
 
 
 def sort_number(df: DataFrame, column: str) -> Column:
@@ -38,6 +40,9 @@ def split_points(df: DataFrame, key: Column, buckets: int | None) -> list[str]:
         return []
     wanted = max(buckets * LEAST_SAMPLE, min(buckets * SAMPLE, MOST_SAMPLE))
     keys = df.select(key.alias("k"))
+    # the first KEY_CHARS characters of a text cut as well
+    short = [(F.substring(F.col("k")[f.name], 1, KEY_CHARS) if isinstance(f.dataType, T.StringType) else F.col("k")[f.name]).alias(f.name) for f in keys.schema["k"].dataType.fields]
+    keys = keys.select(F.struct(*short).alias("k"))
     if rows > wanted:
         keys = keys.sample(wanted / rows, seed=1)
     found = [r[0] for r in keys.orderBy("k").select(F.to_json("k", {"ignoreNullFields": "false"})).collect()]
@@ -169,7 +174,8 @@ def group_middles(df: DataFrame, by: list[Column], names: list[str], value: Colu
     rows = rows.where(~missing(rows, "__v"))
     placed = with_buckets(Frame(rows, (SortRule("__v"),)), buckets, names).withColumnRenamed("__bucket", "__b")
     pairs = placed.groupBy(*names, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    counts = placed.groupBy(*names, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    # from the same pairs: their shuffle serves both
+    counts = pairs.groupBy(*names, "__b").agg(F.sum("__c").alias("__c"))
     run = Window.partitionBy(*names)
     ranked = counts.withColumns({"__n": F.sum("__c").over(run), "__upto": F.sum("__c").over(run.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))})
     low, high = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
