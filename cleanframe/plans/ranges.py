@@ -71,8 +71,10 @@ def with_buckets(frame: Frame, buckets: int | None = None, lead: list[str] | Non
     Only rows that are equal in all keys must share a bucket.
     """
     key = frame.position(lead)
-    kind = frame.df.select(key.alias("k")).schema["k"].dataType
-    return frame.df.withColumn("__bucket", bucket(key, split_points(frame.df, key, buckets), kind))
+    fields = frame.df.select(key.alias("k")).schema["k"].dataType.fields
+    # of the split points' own type, so that no comparison casts
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    return frame.df.withColumn("__bucket", bucket(key.cast(kind), split_points(frame.df, key, buckets), kind))
 
 
 def anchors(frame: Frame, present: Column, carried: Column, partition: list[str] | None = None, buckets: int | None = None, positions: bool = True) -> DataFrame:
