@@ -25,7 +25,7 @@ BLANK = "▁"
 OWN_BLANK = "\ud800"
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: Bytes of text whose chunks are worked on at once.
-PART = 1 << 20
+PART = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 #: Cumulative probabilities and draws lie on this grid (draws between its points): a probability below it is never drawn
@@ -34,11 +34,11 @@ GRID = 2.0**-30
 #: Slots, as a power of two, of the table in which pieces are looked up.
 TABLE_BITS = 22
 #: Distinct chunks whose lattices a task keeps.
-KEPT = 80_000
+KEPT = 40_000
 #: Characters of a chunk that is looked over for further cuts.
 LONG = 256
 #: Cells (place, piece length, chunk) of lattices built at once.
-CELLS = 1 << 20
+CELLS = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
