@@ -333,6 +333,9 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
         """Those of the pairs `u, v` whose whole texts are near copies."""
         seen = written(pairs.select("u", "v"), "pairs")
         wanted = seen.select(F.col("u").alias("_k")).union(seen.select(F.col("v").alias("_k"))).distinct()
+        if 2 * seen.count() <= BROADCAST_IDS:
+            # few of all texts: those that aren't needed stay where they are
+            wanted = F.broadcast(wanted)
         shown = written(binary.join(wanted, "_k", "left_semi"), "shown")
         both = seen.join(shown.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(shown.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
         held = both.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, ngram), "u long, v long, like double").where(F.col("like") >= similarity)
