@@ -68,14 +68,16 @@ def whole_number(c: Column, kind: str, data: T.DataType) -> Column:
         return c.cast("int").cast("long")
     if kind == "date":
         return F.unix_date(c).cast("long")
-    part = lambda unit: F.extract(F.lit(unit), c)
+    # parts are ints, whose products would leave their range: 59 minutes are 3.54e9 microseconds
+    part = lambda unit: F.extract(F.lit(unit), c).cast("long")
+    second = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
     if kind == "datetime" and not isinstance(data, T.TimestampType):
         # without a zone: by its calendar, which never jumps back
-        return F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000 + part("HOUR") * 3_600_000_000 + part("MINUTE") * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+        return F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000 + part("HOUR") * 3_600_000_000 + part("MINUTE") * 60_000_000 + second
     if kind == "datetime":
         return F.unix_micros(c)
     if kind == "duration":
-        return (((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + part("SECOND") * 1_000_000).cast("long")
+        return ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + second
     return c.cast("long")
 
 

@@ -164,3 +164,16 @@ def test_order_after_groups_and_pivots(spark):
     # sorts keep it for ties, and the rows after them
     tied = Recipe().then("groupBy", keys=["g"], aggregations=[{"column": "v", "operation": "count", "alias": "n"}]).then("sortRows", rules=[{"column": "n"}]).apply(frame)
     assert [r.g for r in tied.df.collect()] == ["a", None, "c", "b"]
+
+
+@pytest.mark.parametrize("column", ["n", "t"])
+@pytest.mark.parametrize("down", [False, True])
+def test_times_late_in_the_hour_have_places(spark, column, down):
+    # 36 minutes or more in microseconds are no int
+    span = "CAST(id * 613 - 40000 AS INT)"
+    df = spark.range(200).selectExpr("id", f"TIMESTAMP_NTZ'2024-01-01 00:59:59.5' + make_dt_interval(0, 0, 0, {span}) AS n", f"make_dt_interval(0, 0, 0, {span} + 0.25) AS t", "IF(id % 4 = 0, id, NULL) AS v")
+    frame = Frame(df, (SortRule(column, down),))
+    placed = [r["__bucket"] for r in with_buckets(frame, 5).orderBy("id", ascending=not down).collect()]
+    assert placed == sorted(placed) and len(set(placed)) == 5
+    filled = fill_directional(frame, "v", order_by=[SortRule(column, down)], max_gap=3, buckets=5).df
+    assert {r.id: r.v for r in filled.collect()} == {i: (i if i % 4 == 0 else None if down and i > 196 else i // 4 * 4 + (4 if down else 0)) for i in range(200)}
