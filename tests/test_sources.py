@@ -86,3 +86,11 @@ def test_quote_of_a_dialect(spark, tmp_path, text, delimiter, quote):
     (tmp_path / "d.csv").write_text(text)
     got = dialect.dialects(spark, str(tmp_path / "d.csv")).first()
     assert (got.delimiter, got.quote, got.fields) == (delimiter, quote, 2)
+
+
+def test_a_file_of_a_header_alone_goes_with_its_like(spark, tmp_path):
+    # as written where the first task has no rows
+    for name, text in (("a", "k|v\n"), ("b", "k|v\nx|1\n"), ("c", "k|v\ny|2\n"), ("d", "p,q\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r.file[-5]: (r.delimiter, r.fields, r.header) for r in dialect.dialects(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("pipe", 2, True), "b": ("pipe", 2, True), "c": ("pipe", 2, True), "d": ("comma", 2, False)}
