@@ -94,3 +94,10 @@ def test_a_file_of_a_header_alone_goes_with_its_like(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(text)
     got = {r.file[-5]: (r.delimiter, r.fields, r.header) for r in dialect.dialects(spark, str(tmp_path)).collect()}
     assert got == {"a": ("pipe", 2, True), "b": ("pipe", 2, True), "c": ("pipe", 2, True), "d": ("comma", 2, False)}
+
+
+def test_a_header_alone_shows_no_quotes_of_its_own(spark, tmp_path):
+    for name, text in (("a", "k;note\n"), ("b", "k;note\n1;'x; it''s'\n2;'y; it''s'\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r.file[-5]: (r.delimiter, r.quote, r.fields, r.quoted) for r in dialect.dialects(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("semicolon", "'", 2, True), "b": ("semicolon", "'", 2, True)}
