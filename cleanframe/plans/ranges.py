@@ -50,19 +50,16 @@ def split_points(df: DataFrame, key: Column, buckets: int | None) -> list[str]:
 
 
 def bucket(key: Column, cuts: list[str], kind: T.StructType) -> Column:
-    """The number of split points below the key, by two look-ups in short lists."""
+    """The number of split points below the key, by halving: a comparison for each doubling of their number."""
     if not cuts:
         return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    # one literal text each, which the optimizer turns into an array once
-    tops = F.from_json(F.lit(f"[{','.join(b[-1] for b in blocks)}]"), T.ArrayType(kind))
-    lists = F.from_json(F.lit(f"[{','.join(f'[{",".join(b)}]' for b in blocks)}]"), T.ArrayType(T.ArrayType(kind)))
-    below = lambda cuts, k: F.size(F.filter(cuts, lambda x: x < k))
-    last = len(blocks)
-    place = lambda k, c: F.when(c == last, F.lit(len(cuts))).otherwise(c * step + below(F.get(lists, c), k))
-    # the key, and the block, are worked out once each as variables of a lambda
-    return F.transform(F.array(key), lambda k: F.transform(F.array(below(tops, k)), lambda c: place(k, c))[0])[0]
+    # one literal text, which the optimizer turns into an array once
+    points = F.from_json(F.lit(f"[{','.join(cuts)}]"), T.ArrayType(kind))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    # beyond the last split point there is none, and a comparison with null takes no step
+    place = lambda k: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) < k, at + step).otherwise(at))
+    # the key is worked out once as a variable of a lambda
+    return F.transform(F.array(key), place)[0]
 
 
 def with_buckets(frame: Frame, buckets: int | None = None, lead: list[str] | None = None) -> DataFrame:
@@ -167,16 +164,15 @@ def running_sum(frame: Frame, partition: list[str], weight: Column, name: str, b
 def group_middles(df: DataFrame, by: list[Column], names: list[str], value: Column, buckets: int | None = None) -> DataFrame:
     """`names..., __low, __high`: the two middle present values (null is none, NaN too) of each group, exactly.
 
-    Ranks are found in all groups at once: rows are counted by group and range bucket of (group, value), running sums over
-    those counts tell which bucket holds each middle rank, and only the values of these buckets are ranked, as (value,
-    count) pairs. Groups without a value are absent. No task holds a group: a group of most rows is spread over many
+    Ranks are found in all groups at once: (value, count) pairs of the groups are summed by range bucket of (group, value),
+    running sums over those sums tell which bucket holds each middle rank, and only the pairs of these buckets are
+    ranked. Groups without a value are absent. No task holds a group: a group of most rows is spread over many
     buckets, and a value that most rows share is one pair.
     """
     rows = df.select(*[b.alias(n) for b, n in zip(by, names, strict=True)], value.alias("__v"))
-    rows = rows.where(~missing(rows, "__v"))
-    placed = with_buckets(Frame(rows, (SortRule("__v"),)), buckets, names).withColumnRenamed("__bucket", "__b")
-    pairs = placed.groupBy(*names, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    # from the same pairs: their shuffle serves both
+    # pairs first, with map-side partial counts: buckets are looked up once a distinct value
+    pairs = rows.where(~missing(rows, "__v")).groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    pairs = with_buckets(Frame(pairs, (SortRule("__v"),)), buckets, names).withColumnRenamed("__bucket", "__b")
     counts = pairs.groupBy(*names, "__b").agg(F.sum("__c").alias("__c"))
     run = Window.partitionBy(*names)
     ranked = counts.withColumns({"__n": F.sum("__c").over(run), "__upto": F.sum("__c").over(run.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))})

@@ -13,7 +13,7 @@ from cleanframe.operators.aggregate import Aggregation, group_by
 from cleanframe.operators.fill import fill_directional, fill_grouped, fill_linear, fill_median
 from cleanframe.operators.rows import drop_duplicates
 from cleanframe.plans.frame import Frame, SortRule
-from cleanframe.plans.ranges import group_middles, middle_values, with_buckets
+from cleanframe.plans.ranges import bucket, group_middles, middle_values, with_buckets
 from cleanframe.plans.recipe import Recipe
 
 NAN = float("nan")
@@ -177,3 +177,23 @@ def test_times_late_in_the_hour_have_places(spark, column, down):
     assert placed == sorted(placed) and len(set(placed)) == 5
     filled = fill_directional(frame, "v", order_by=[SortRule(column, down)], max_gap=3, buckets=5).df
     assert {r.id: r.v for r in filled.collect()} == {i: (i if i % 4 == 0 else None if down and i > 196 else i // 4 * 4 + (4 if down else 0)) for i in range(200)}
+
+
+def test_medians_look_up_buckets_once_a_value(spark):
+    # 20,000 rows of three values: what is put into range buckets are pairs of value and count
+    df = spark.range(20_000).select((F.col("id") % 3).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    middles = group_middles(df, [F.col("g")], ["k"], F.col("v"), buckets=4)
+    assert sorted(map(tuple, middles.collect())) == [(0, 1.0, 1.0), (1, 1.0, 1.0)]
+    plan = middles._jdf.queryExecution().analyzed().toString()
+    scanned = plan[plan.rindex("Aggregate [") :].split("], [")[0]  # the keys of the aggregate next to the scan
+    assert "__b" not in scanned and "__v" in scanned
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 100])
+def test_buckets_by_halving(spark, n):
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("o0", T.LongType())])
+    cuts = [f'{{"o0":{10 * i}}}' for i in range(n)]
+    got = spark.range(-5, 10 * n + 5).select("id", bucket(F.struct(F.col("id").alias("o0")).cast(kind), cuts, kind).alias("b")).collect()
+    assert [r.b for r in got] == [sum(10 * i < r.id for i in range(n)) for r in got]
