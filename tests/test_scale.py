@@ -197,3 +197,20 @@ def test_buckets_by_halving(spark, n):
     cuts = [f'{{"o0":{10 * i}}}' for i in range(n)]
     got = spark.range(-5, 10 * n + 5).select("id", bucket(F.struct(F.col("id").alias("o0")).cast(kind), cuts, kind).alias("b")).collect()
     assert [r.b for r in got] == [sum(10 * i < r.id for i in range(n)) for r in got]
+
+
+def test_a_diff_numbers_rows_by_key_and_hot_keys_by_ranges(spark, monkeypatch):
+    from cleanframe.plans import diff
+
+    rows = [(k, i * 7 % 5, i * 3 % 11) for k in (None, 1, 2, 3) for i in range(400 if k == 1 else 6)]
+    before = spark.createDataFrame(rows, "k int, a int, b int")
+    after = before.where("b <> 4 OR k IS NULL").withColumn("a", F.when(F.col("b") == 3, 99).otherwise(F.col("a")))
+    plain = diff.step_diff(before, after, ["k"])
+    want = sorted(map(str, diff.step_diff(before, after, ["k"], buckets=3).collect()))
+    assert "__bucket" not in plain._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(diff, "BUCKET_ROWS", 100)
+    ranged = diff.step_diff(before, after, ["k"])
+    assert "__bucket" in ranged._jdf.queryExecution().analyzed().toString()
+    assert want == sorted(map(str, plain.collect())) == sorted(map(str, ranged.collect()))
+    keyless = [sorted(map(str, diff.step_diff(before.drop("k"), after.drop("k"), [], buckets=b).collect())) for b in (None, 2)]
+    assert keyless[0] == keyless[1]
