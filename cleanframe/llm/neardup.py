@@ -109,7 +109,8 @@ def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int,
     under each value of the segment's Hamming ball; complete distances are verified in the joins. First a look-up
     meets the smallest mark of its bucket alone. Then look-ups meet marks of groups that are not joined by then:
     members of a bucket's largest group meet only the rest, and the rest meets all, so that a group, however large,
-    is not held against itself. Of two groups that meet, one link between their roots leaves.
+    is not held against itself. A look-up that is too far from the bits all members share, as chance meetings are, does not
+    leave the join. Of two groups that meet, one link between their roots leaves.
     """
 
     def key(s: int, at: int, width: int) -> Column:
@@ -131,14 +132,17 @@ def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int,
     first = written(asked(marks).join(least, "_key").where((F.col("u") != F.col("v")) & near).select("u", "v").distinct(), "first")
     roots = components(first)
     groups = written(marks.join(roots, F.col("u") == F.col("node"), "left").select("f", F.coalesce("root", "u").alias("r")), "groups")
-    sizes = stored(groups).groupBy("_key", "r").agg(F.count(F.lit(1)).alias("c"))
-    tops = written(sizes.groupBy("_key").agg(F.max_by("r", "c").alias("top")), "tops")
-    members = stored(groups).join(tops, "_key").select("_key", F.col("f").alias("g"), F.col("r").alias("s"), "top")
+    sizes = stored(groups).groupBy("_key", "r").agg(F.count(F.lit(1)).alias("c"), F.bit_and("f").alias("ones"), F.bit_or("f").alias("any"))
+    tops = sizes.groupBy("_key").agg(F.max_by(F.struct("r", "ones", "any"), "c").alias("t"))
+    tops = written(tops.select("_key", F.col("t.r").alias("top"), F.col("t.ones").alias("ones"), F.col("t.any").alias("any")), "tops")
+    members = stored(groups).join(tops.select("_key", "top"), "_key").select("_key", F.col("f").alias("g"), F.col("r").alias("s"), "top")
+    # bits that all members of the largest group share: one as far from them is near no member, one alone is measured whole
+    apart = F.bit_count(F.col("f").bitwiseXOR(F.col("ones")).bitwiseAND(F.bitwise_not(F.col("ones").bitwiseXOR(F.col("any")))))
     pair = (F.least("r", "s").alias("u"), F.greatest("r", "s").alias("v"))
     rest = asked(groups).join(members.where("s <> top"), "_key").where((F.col("r") != F.col("s")) & near)
     rest = written(rest.select(*pair).distinct(), "rest")
     # written before the next join, so that Spark can split the skewed keys of both
-    strangers = written(asked(groups).join(tops, "_key").where("r <> top").select("_key", "f", "r"), "strangers")
+    strangers = written(asked(groups).join(tops, "_key").where((F.col("r") != F.col("top")) & (apart <= radius)).select("_key", "f", "r"), "strangers")
     most = written(strangers.join(members.where("s = top"), "_key").where(near).select(*pair).distinct(), "most")
     dropped(groups, tops, strangers)
     # a star for each group of the first step: the caller's search for components starts from it

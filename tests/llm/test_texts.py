@@ -126,6 +126,24 @@ def test_links_of_balls_make_all_groups(spark, n):
         assert links.count() < 10 * len(f) < len(pairs)
 
 
+def test_chance_meetings_stay_in_the_join(spark, monkeypatch):
+    rng, seen, real = random.Random(9), {}, neardup.written
+
+    def counted(df, what):
+        out = real(df, what)
+        seen[what] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    f = [rng.getrandbits(64) for _ in range(1500)]
+    f += [x ^ 1 << 40 ^ 1 << 50 for x in f[:20]]
+    marks = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(f)], "u long, f long")
+    # segments so short that every look-up meets fingerprints that are far
+    links = neardup.joining_links(marks, 4, [(8 * i, 8, 0) for i in range(5)])
+    assert sorted(components.components(links).where("node <> root").collect()) == [(1500 + i, i) for i in range(20)]
+    assert seen["strangers"] < 100
+
+
 def test_keys_do_not_jump():
     keys = lambda n: sum(len(neardup.ball(w, r)) for _, w, r in neardup.segments_for(4, n))
     assert {keys(n) for n in (2, 5000, 10**5, 3 * 10**6, 10**8)} == {45}
