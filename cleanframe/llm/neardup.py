@@ -29,6 +29,8 @@ SAMPLE, FREQUENT = 16, 100_000
 FEW = 64
 #: Shingles found so often in the sample are hot: their buckets are never shuffled.
 HOT = 2_000
+#: Bits of 64 within which near copies are looked up by fingerprint.
+RADIUS = 4
 #: Rows and shingles of a block within which all pairs are looked at.
 BLOCK, BLOCK_TOKENS = 512, 1 << 18
 
@@ -102,6 +104,33 @@ def differing(f: Column, g: Column, longs: int) -> Column:
     return sum((F.bit_count(f[j].bitwiseXOR(g[j])) for j in range(longs)), F.lit(0))
 
 
+def _segment(s: int, at: int, width: int) -> Column:
+    v = F.shiftrightunsigned(F.col("f"), at)
+    return v if width == 64 else v.bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _stored(segments: list[tuple[int, int, int]], rows: DataFrame) -> DataFrame:
+    """A row a segment, `_key` being its exact value."""
+    return rows.select("*", F.explode(F.array(*[F.xxhash64(F.lit(s), _segment(s, at, w)) for s, (at, w, _) in enumerate(segments)])).alias("_key"))
+
+
+def _asked(segments: list[tuple[int, int, int]], rows: DataFrame) -> DataFrame:
+    """A row for each value of each segment's Hamming ball, as `_key`."""
+
+    def around(s: int, at: int, width: int, within: int) -> Column:
+        masks = ", ".join(f"{m - (1 << 64) if m >= 1 << 63 else m}L" for m in ball(width, within))
+        return F.transform(F.expr(f"array({masks})"), lambda m: F.xxhash64(F.lit(s), _segment(s, at, width).bitwiseXOR(m)))
+
+    return rows.select("*", F.explode(F.concat(*[around(s, *x) for s, x in enumerate(segments)])).alias("_key"))
+
+
+def leading_pairs(marks: DataFrame, radius: int, segments: list[tuple[int, int, int]]) -> DataFrame:
+    """`u, v`: pairs of `marks(u long, f long)` at most `radius` bits apart, each look-up meeting the smallest mark of its bucket."""
+    near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
+    least = _stored(segments, marks).groupBy("_key").agg(F.min("u").alias("v"), F.min_by("f", "u").alias("g"))
+    return _asked(segments, marks).join(least, "_key").where((F.col("u") != F.col("v")) & near).select("u", "v").distinct()
+
+
 def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int, int]]) -> DataFrame:
     """`u, v`: links that make the same groups as all pairs of `marks(u long, f long)` at most `radius` bits apart.
 
@@ -113,23 +142,9 @@ def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int,
     leave the join. Of two groups that meet, one link between their roots leaves.
     """
 
-    def key(s: int, at: int, width: int) -> Column:
-        v = F.shiftrightunsigned(F.col("f"), at)
-        return v if width == 64 else v.bitwiseAND(F.lit((1 << width) - 1))
-
-    def stored(rows: DataFrame) -> DataFrame:
-        return rows.select("*", F.explode(F.array(*[F.xxhash64(F.lit(s), key(s, at, w)) for s, (at, w, _) in enumerate(segments)])).alias("_key"))
-
-    def asked(rows: DataFrame) -> DataFrame:
-        def around(s: int, at: int, width: int, within: int) -> Column:
-            masks = ", ".join(f"{m - (1 << 64) if m >= 1 << 63 else m}L" for m in ball(width, within))
-            return F.transform(F.expr(f"array({masks})"), lambda m: F.xxhash64(F.lit(s), key(s, at, width).bitwiseXOR(m)))
-
-        return rows.select("*", F.explode(F.concat(*[around(s, *x) for s, x in enumerate(segments)])).alias("_key"))
-
+    stored, asked = partial(_stored, segments), partial(_asked, segments)
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
-    least = stored(marks).groupBy("_key").agg(F.min("u").alias("v"), F.min_by("f", "u").alias("g"))
-    first = written(asked(marks).join(least, "_key").where((F.col("u") != F.col("v")) & near).select("u", "v").distinct(), "first")
+    first = written(leading_pairs(marks, radius, segments), "first")
     roots = components(first)
     groups = written(marks.join(roots, F.col("u") == F.col("node"), "left").select("f", F.coalesce("root", "u").alias("r")), "groups")
     sizes = stored(groups).groupBy("_key", "r").agg(F.count(F.lit(1)).alias("c"), F.bit_and("f").alias("ones"), F.bit_or("f").alias("any"))
@@ -347,10 +362,18 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
         dropped(seen, shown)
         return out
 
-    # every member of a bucket against its first: a row each, however large a group of copies is
+    # by SimHash: fingerprints of 64 bits, equal or found by multi-index hashing, their texts verified whole
+    prints = marks.join(nodes.select(F.col("u").alias("_k")), "_k", "left_semi").select(F.col("_k").alias("u"), F.col("_f")[0].alias("f"))
+    heads = written(prints.groupBy("f").agg(F.min("u").alias("u")), "heads")
+    equal = prints.join(heads.select("f", F.col("u").alias("v")), "f").where("u <> v").select("u", "v")
+    close = leading_pairs(heads, RADIUS, segments_for(RADIUS, heads.count())).union(equal)
+    hashed = real(close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    dropped(heads)
+    # the exact search goes on to what is farther apart; every member of a bucket against its first: a row each, however
+    # large a group of copies is
     led = shared.where("u <> a").select(F.col("a").alias("u"), F.col("u").alias("v")).distinct()
     led = written(led.join(mark("u", "f", "m"), "u").join(mark("v", "g", "n"), "v").where(maybe).select("u", "v", (d <= far).alias("about")), "led")
-    first = real(led)
+    first = hashed.union(real(led.join(hashed, ["u", "v"], "left_anti")))
     # the rows that are about alike one first member, their home, against each other
     near_home = led.where("about").groupBy(F.col("v").alias("k")).agg(F.min("u").alias("home"))
     further = near_home.select(F.col("k").alias("home"), F.col("home").alias("_further"))
@@ -380,7 +403,8 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8, longs: int = 4) -> DataFrame:
     """`id, group_id`: rows in groups of near copies (Jaccard of word n-grams >= similarity); alone: own id.
 
-    1. Texts of equal shingle sets are one node, so exact copies cost one row however many they are. 2. Two sets
+    1. Texts of equal shingle sets are one node, so exact copies cost one row however many they are. SimHash fingerprints
+    of 64 bits at most RADIUS apart are found by multi-index hashing and verified on whole texts. 2. For those farther apart: two sets
     of that similarity share a shingle among the first (1 - similarity) of each, in any order that is the same
     for all; rare shingles come first. So texts that meet in a shingle of these prefixes are all the candidates:
     no pair is lost. 3. The members of a bucket are held against its first one. Those about alike it make it their

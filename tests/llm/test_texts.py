@@ -405,3 +405,22 @@ def test_long_chunks_are_cut_only_where_no_piece_lies(model):
 def test_sampling_of_an_empty_table(spark, model):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert segment.sampled(empty, model).count() == segment.sample_digests(empty, model).count() == segment.encoded(empty, model).count() == 0
+
+
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    found, real = [], neardup.written
+
+    def kept(df, what):
+        out = real(df, what)
+        if what in ("heads", "near"):
+            found.append((what, sorted(map(tuple, out.collect()))))
+        return out
+
+    monkeypatch.setattr(neardup, "written", kept)
+    words = lambda a: [f"{a}{i}" for i in range(600)]
+    texts = [words("x"), [*words("x"), "end"], words("y")]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+    assert found[0][0] == "heads" and len(found[0][1]) in (2, 3)
+    assert found[1] == ("near", [(0, 1)])  # before the exact search, which finds no more
+    assert found[2] == ("near", [])
