@@ -22,10 +22,12 @@ def dialect_scores(lines: DataFrame) -> DataFrame:
 
     `lines(file, line)` are sample lines. For every delimiter, lines are counted by their number of fields outside
     quotes; the delimiter with the largest share of lines of one width wins, the wider one on ties. Single quotes are a
-    delimiter's where they enclose at least two fields, and more than double quotes do: apostrophes in prose are none.
+    delimiter's where they enclose more fields than double quotes do and at least two, or one where that makes more lines
+    agree in width: apostrophes in prose are none.
     The header is likely where the first line has no number and later lines have some. A file of one line, such as Spark
-    writes for a first task without rows, shows neither quotes nor a header: it has the dialect that most of the longer
-    files with the same first line have, or its own where there are none.
+    writes for a first task without rows, shows neither quotes nor a header, and a single field in single quotes may be
+    prose: such a file has the dialect that most of the other files with the same first line have, or its own where there
+    are none.
     """
     number: Column = F.regexp_like("line", F.lit(r"(^|[,;|\t])\s*['\"]?[+-]?\d+(\.\d+)?['\"]?\s*($|[,;|\t])"))
 
@@ -40,17 +42,19 @@ def dialect_scores(lines: DataFrame) -> DataFrame:
     each = widths.groupBy("file", "delimiter", "quote").agg(F.max(F.struct("count", "fields")).alias("m"), F.sum("count").alias("n"), F.sum("enclosed").alias("enclosed"))
     score = lambda q: F.max(F.when(F.col("quote") == q, F.struct("m", "n", "enclosed")))
     both = each.groupBy("file", "delimiter").agg(score('"').alias("double"), score("'").alias("single"))
-    by_single = (F.col("single.enclosed") >= 2) & (F.col("single.enclosed") > F.col("double.enclosed"))
-    best = both.select("file", "delimiter", F.when(by_single, F.lit("'")).otherwise(F.lit('"')).alias("quote"), F.when(by_single, F.col("single")).otherwise(F.col("double")).alias("s"))
-    rank = F.struct((F.col("s.m.fields") > 1).alias("splits"), (F.col("s.m.count") / F.col("s.n")).alias("share"), F.col("s.m.fields").alias("fields"), "delimiter", "quote", F.col("s.enclosed").alias("enclosed"))
+    agree = F.col("single.m.count") > F.col("double.m.count")
+    by_single = (F.col("single.enclosed") > F.col("double.enclosed")) & ((F.col("single.enclosed") >= 2) | agree)
+    unsure = ~by_single & (F.col("single.enclosed") > F.col("double.enclosed"))
+    best = both.select("file", "delimiter", F.when(by_single, F.lit("'")).otherwise(F.lit('"')).alias("quote"), F.when(by_single, F.col("single")).otherwise(F.col("double")).alias("s"), unsure.alias("unsure"))
+    rank = F.struct((F.col("s.m.fields") > 1).alias("splits"), (F.col("s.m.count") / F.col("s.n")).alias("share"), F.col("s.m.fields").alias("fields"), "delimiter", "quote", F.col("s.enclosed").alias("enclosed"), "unsure")
     pick = best.groupBy("file").agg(F.max(rank).alias("s"))
     heads = lines.groupBy("file").agg(F.max(F.when(F.col("nr") == 1, number)).alias("h"), F.max(F.when(F.col("nr") > 1, number)).alias("b"), F.min_by("line", "nr").alias("first"), F.count(F.lit(1)).alias("n"))
     header = ~F.coalesce("h", F.lit(False)) & F.coalesce("b", F.lit(False))
     named = {"delimiter": F.col("s.delimiter"), "quote": F.col("s.quote"), "fields": F.col("s.fields").cast("long"), "share": F.col("s.share"), "quoted": F.col("s.enclosed") > 0, "header": header}
-    own = pick.join(heads, "file").select("file", "first", "n", F.struct(*[c.alias(k) for k, c in named.items()]).alias("own"))
-    votes = own.where("n > 1").groupBy("first", *[F.col(f"own.{k}").alias(k) for k in named if k != "share"]).agg(F.count(F.lit(1)).alias("files"), F.max("own.share").alias("share"))
+    own = pick.join(heads, "file").select("file", "first", (F.col("s.unsure") | (F.col("n") == 1)).alias("thin"), F.struct(*[c.alias(k) for k, c in named.items()]).alias("own"))
+    votes = own.where("not thin").groupBy("first", *[F.col(f"own.{k}").alias(k) for k in named if k != "share"]).agg(F.count(F.lit(1)).alias("files"), F.max("own.share").alias("share"))
     like = votes.groupBy("first").agg(F.max_by(F.struct(*named), F.struct("files", "share", *[k for k in named if k != "share"])).alias("like"))
-    verdict = F.when(F.col("n") == 1, F.coalesce("like", "own")).otherwise(F.col("own"))
+    verdict = F.when(F.col("thin"), F.coalesce("like", "own")).otherwise(F.col("own"))
     return own.join(like, "first", "left").select("file", verdict.alias("v")).select("file", "v.*")
 
 

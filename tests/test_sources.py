@@ -101,3 +101,14 @@ def test_a_header_alone_shows_no_quotes_of_its_own(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(text)
     got = {r.file[-5]: (r.delimiter, r.quote, r.fields, r.quoted) for r in dialect.dialects(spark, str(tmp_path)).collect()}
     assert got == {"a": ("semicolon", "'", 2, True), "b": ("semicolon", "'", 2, True)}
+
+
+def test_files_of_a_single_row_show_their_quotes(spark, tmp_path):
+    # e and f have nothing that tells quotes from prose: e goes with its like, f has none
+    texts = {"a": "k;note\n1;'x; it''s'\n", "b": "k;note\n1;'x; it''s'\n2;'y; it''s'\n", "e": "k;note\n1;'it''s'\n", "f": "k;text\n1;'tis what they say'\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r.file[-5]: (r.delimiter, r.quote, r.fields, r.share) for r in dialect.dialects(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("semicolon", "'", 2, 1.0), "b": ("semicolon", "'", 2, 1.0), "e": ("semicolon", "'", 2, 1.0), "f": ("semicolon", '"', 2, 1.0)}
+    alone = dialect.dialects(spark, str(tmp_path / "a.csv")).first()
+    assert (alone.delimiter, alone.quote, alone.fields) == ("semicolon", "'", 2)
