@@ -32,13 +32,13 @@ MASK = (1 << 64) - 1
 #: by chance, but is reached where all likelier ways are drawn already.
 GRID = 2.0**-30
 #: Slots, as a power of two, of the table in which pieces are looked up.
-TABLE_BITS = 22
+TABLE_BITS = 19
 #: Distinct chunks whose lattices a task keeps.
-KEPT = 40_000
+KEPT = 80_000
 #: Characters of a chunk that is looked over for further cuts.
 LONG = 256
 #: Cells (place, piece length, chunk) of lattices built at once.
-CELLS = 1 << 19
+CELLS = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,6 +70,8 @@ class Vocabulary:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         back = {v: k for k, v in self.byte_id.items()}
         self.spelling = [bytes([back[i]]) if i in back else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelled = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.spelled_at = np.cumsum([0, *map(len, self.spelling)])
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         bad = [self.pieces[i] for i in normal if BLANK in self.pieces[i].lstrip(BLANK) or ("\n" in self.pieces[i] and len(self.pieces[i]) > 1)]
         if bad:
@@ -90,6 +92,9 @@ class Vocabulary:
         self.chain = np.zeros(len(self.key), np.int32)
         for e, at in enumerate(self.slot(self.key[1:]).tolist(), 1):
             self.chain[e], self.table[at] = self.table[at], e
+        # which slots have the beginning of a piece: a string that has none begins no longer piece either
+        self.begins = np.zeros(1 << TABLE_BITS, bool)
+        self.begins[self.slot(np.array([self.hash(b) for b in {self.pieces[i][:j] for i in normal for j in range(1, len(self.pieces[i]) + 1)}], np.uint64))] = True
         self.ascii = np.array([self.byte_id.get(b, 0) for b in range(128)])
         self.lengths = set(map(len, map(self.pieces.__getitem__, normal)))
         self.pairs = {p[j : j + 2] for p in map(self.pieces.__getitem__, normal) for j in range(len(p) - 1)}
@@ -97,14 +102,13 @@ class Vocabulary:
 
     def entry(self, h: np.ndarray) -> np.ndarray:
         """The entries of hashes, 0 for none."""
-        e = self.table[self.slot(h)]
-        wrong = np.flatnonzero((self.key[e] != h).ravel())
-        wrong = wrong[e.ravel()[wrong] > 0]
-        out = e.reshape(-1)
-        while len(wrong):
-            out[wrong] = self.chain[out[wrong]]
-            wrong = wrong[(out[wrong] > 0) & (self.key[out[wrong]] != h.ravel()[wrong])]
-        return e
+        flat = h.ravel()
+        e = self.table[self.slot(flat)]
+        wrong = np.flatnonzero(e)
+        while len(wrong := wrong[self.key[e[wrong]] != flat[wrong]]):
+            e[wrong] = self.chain[e[wrong]]
+            wrong = wrong[e[wrong] > 0]
+        return e.reshape(h.shape)
 
     def cut(self, words: list[str]) -> list[str]:
         """The chunks, those over LONG characters cut wherever no piece holds both neighbours: no way crosses that."""
@@ -127,9 +131,16 @@ class Vocabulary:
             h = (h * int(MULTIPLIER) + ord(c) + 1) & MASK
         return h
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of piece ids: bytes join to characters, blanks become spaces, the first space goes."""
-        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.pieces)):
+            raise IndexError("a piece id is out of range")
+        begin = self.spelled_at[ids]
+        size = self.spelled_at[ids + 1] - begin
+        at = np.repeat(begin - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        text = self.spelled[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -138,6 +149,12 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
+@lru_cache(1)
+def lattice_of(model_file: str, alpha: float) -> Lattice:
+    """A worker's lattice: its tasks, one at a time, share the chunks met. No result depends on them."""
+    return Lattice(vocabulary(model_file), alpha)
+
+
 def chunks(text: str) -> list[str]:
     return CHUNK.findall(BLANK + text.replace(BLANK, OWN_BLANK).replace(" ", BLANK)) if text else []
 
@@ -195,7 +212,7 @@ class Lattice:
         arc = np.arange(int(degree.sum())) + np.repeat(self.begin[node] - begin, degree)
         self.start = (self.start[arc] + np.repeat(np.repeat(shift, size), degree)).astype(np.int32)
         self.piece, self.q, self.cum = self.piece[arc], self.q[arc], self.cum[arc]
-        self.rest, self.leave, self.begin = self.rest[node], self.leave[node], np.concatenate((begin, [len(arc)]))
+        self.rest, self.leave, self.begin = self.rest[node], self.leave[keep], np.concatenate((begin, [len(arc)]))
         length = np.diff(self.main_begin)[keep]
         place = np.cumsum(length) - length
         self.main_ids = self.main_ids[np.arange(int(length.sum())) + np.repeat(self.main_begin[keep] - place, length)]
@@ -208,7 +225,7 @@ class Lattice:
         """Builds the lattices of new chunks: blocks of chunks of about one length, a character a step for all."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         width = np.where(size <= 24, size, np.ceil(1.25 ** np.ceil(np.log(np.maximum(size, 1)) / np.log(1.25) - 1e-9))).astype(np.int64)
-        first, known = np.empty(len(words), np.int64), len(self.first)
+        first, off, known = np.empty(len(words), np.int64), np.empty(len(words)), len(self.first)
         made, nodes, arcs = [], self.nodes, len(self.start)
         order = np.argsort(width, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
@@ -216,15 +233,15 @@ class Lattice:
             step = max(1, CELLS // ((w + 1) * self.vocab.longest))
             for i in range(0, len(rows), step):
                 some = rows[i : i + step]
-                degree, start, piece, q, cum, rest, leave = self._block([words[r] for r in some.tolist()], size[some], w)
+                degree, start, piece, q, cum, rest, off[some] = self._block([words[r] for r in some.tolist()], size[some], w)
                 base = np.cumsum(size[some] + 1) - size[some] - 1
                 first[some] = nodes + base
-                made.append((arcs + np.cumsum(degree), start + nodes, piece, q, cum, rest, leave))
+                made.append((arcs + np.cumsum(degree), start + nodes, piece, q, cum, rest))
                 nodes, arcs = nodes + len(degree), arcs + len(start)
-        for name, x in zip(("begin", "start", "piece", "q", "cum", "rest", "leave"), zip(*made, strict=True), strict=True):
+        for name, x in zip(("begin", "start", "piece", "q", "cum", "rest"), zip(*made, strict=True), strict=True):
             old = getattr(self, name)
             setattr(self, name, np.concatenate((old, *[y.astype(old.dtype) for y in x])))
-        self.first, self.last = np.concatenate((self.first, first)), np.concatenate((self.last, first + size))
+        self.first, self.last, self.leave = np.concatenate((self.first, first)), np.concatenate((self.last, first + size)), np.concatenate((self.leave, off))
         self.nodes = nodes
         fresh = np.arange(known, len(self.first))
         who, step, arc = self._walk(self.last[fresh], fresh, None)
@@ -236,7 +253,7 @@ class Lattice:
 
     def _block(self, words: list[str], size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
         """(arcs into each node; start node, piece, probability and cumulative probability of each arc; main path's
-        probability from each node back, and that of all other ways) of chunks of at most `width` characters.
+        probability from each node back, and that of all other ways of each chunk) of chunks of at most `width` characters.
 
         Cells are [end, piece length - 1, chunk], so that all steps are sums of whole rows.
         """
@@ -249,11 +266,23 @@ class Lattice:
         char = np.ascontiguousarray(char.T)
         code = char.astype(np.uint64) + np.uint64(1)
         entry = np.zeros((width + 1, longest, count), np.int32)
-        h = np.zeros((width, count), np.uint64)
-        for length in range(1, longest + 1):
-            h = h[: width - length + 1] * MULTIPLIER + code[length - 1 :]
+        entry[1:, 0] = vocab.entry(code)
+        code = code.ravel()
+        start, h, most = np.arange(len(code)), code, 1
+        for length in range(2, longest + 1):
+            more = vocab.begins[vocab.slot(h)]
+            more[np.searchsorted(start, (width - length + 1) * count) :] = False
+            start = start[more]
+            if not len(start):
+                break
+            h = h[more] * MULTIPLIER + code[start + (length - 1) * count]
             if length in vocab.lengths:
-                entry[length:, length - 1] = vocab.entry(h)
+                e = vocab.entry(h)
+                found = np.flatnonzero(e)
+                if len(found):
+                    row, column = np.divmod(start[found], count)
+                    entry[row + length, length - 1, column], most = e[found], length
+        entry, longest = entry[:, :most], most
         if int(size.min()) < width:
             entry.transpose(0, 2, 1)[np.arange(width + 1)[:, None] > size] = 0
         score = vocab.logp[entry]
@@ -268,7 +297,11 @@ class Lattice:
             m = min(j, longest)
             x = score[j, :m]
             x += alpha[j - m : j][::-1]
-            top, b = x.max(axis=0), x.argmax(axis=0)
+            top, b = x[0].copy(), best[j]
+            for r in range(1, m):
+                more = x[r] > top
+                np.copyto(top, x[r], where=more)
+                b[more] = r
             x -= top
             np.exp(x, out=x)
             x[b, column] = 0.0
@@ -277,10 +310,11 @@ class Lattice:
             first = 1 / (1 + other)
             x *= first
             run = total[j, :m]
-            np.cumsum(x, axis=0, out=run)
+            run[0] = x[0]
+            for r in range(1, m):
+                np.add(run[r - 1], x[r], out=run[r])
             run += first
             x[b, column] = run[b, column] = first
-            best[j] = b
             rest[j] = first * rest[j - 1 - b, column]
             leave[j] = other * first + first * leave[j - 1 - b, column]
         # from cells to arcs by (chunk, end), the likeliest first
@@ -308,11 +342,11 @@ class Lattice:
         piece[unknown] = np.where(c < 128, vocab.ascii[np.minimum(c, 127)], -1 - c)
         for x in set(c[c >= 128].tolist()):
             self.spelled[-1 - x] = [vocab.byte_id[b] for b in (BLANK if x == ord(OWN_BLANK) else chr(x)).encode()]
-        cell = (place, short, chunk)
+        cell = (place * longest + short) * count + chunk
         start, pieces, q, cum = np.empty(len(cells), np.int64), np.empty(len(cells), np.int32), np.empty(len(cells)), np.empty(len(cells))
-        start[to], pieces[to], q[to], cum[to] = end - short - 1, piece, score[cell], np.round(np.minimum(total[cell], 1.0) / GRID) * GRID
+        start[to], pieces[to], q[to], cum[to] = end - short - 1, piece, score.ravel()[cell], np.round(np.minimum(total.ravel()[cell], 1.0) / GRID) * GRID
         cum[(begin + degree - 1)[degree > 0]] = 1.0
-        return degree, start, pieces, q, cum, rest.T[inside], leave.T[inside]
+        return degree, start, pieces, q, cum, rest.T[inside], leave[size, column]
 
     def _walk(self, at: np.ndarray, chunk: np.ndarray, draw, off: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(walker, step, arc) of walks from nodes `at` back to their chunks' first nodes.
@@ -424,7 +458,7 @@ class Sampler:
             with np.errstate(divide="ignore"):
                 self.main = main[self.chunk]
                 self.main_log = np.log(main)[self.chunk]
-            self.leave = lattice.leave[lattice.last][self.chunk]
+            self.leave = lattice.leave[self.chunk]
 
     def run(self) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text, its samples in the order drawn: (piece ids, log probability, perturbed value).
@@ -652,7 +686,7 @@ SAMPLE_FIELDS = "sample int, ids array<int>, log_prob double, inclusion double"
 
 def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(model_file)
-    lattice = Lattice(vocab, alpha)
+    lattice = lattice_of(model_file, alpha)
     for batch in batches:
         for keys, texts in _parts(batch.column("_k").to_pylist(), batch.column("_b").to_pylist()):
             rows = []
@@ -660,7 +694,7 @@ def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batc
                 kappa = drawn[-1][2]
                 for i, (ids, logp, _) in enumerate(drawn[:-1]):
                     if digest:
-                        rows.append((key, i, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), logp, _inclusion(logp, kappa), vocab.decode(ids.tolist()) == text))
+                        rows.append((key, i, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), logp, _inclusion(logp, kappa), vocab.decode(ids) == text))
                     else:
                         rows.append((key, i, ids.astype(np.int32), logp, _inclusion(logp, kappa)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (7 if digest else 5)

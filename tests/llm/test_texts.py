@@ -381,6 +381,26 @@ def test_every_segmentation_is_reached_once(model):
         assert all(x[1] == pytest.approx(p[tuple(x[0].tolist())]) for x in drawn[:-1])
 
 
+def test_blocks_find_all_pieces_and_no_longer_cells(model):
+    vocab, rng = segment.vocabulary(model), random.Random(8)
+    known = {vocab.pieces[i]: i for i in vocab.id[1:].tolist()}
+    words = ["".join(rng.choice("aeinorst▁éQ") for _ in range(rng.randint(1, 12))) for _ in range(300)] + rng.sample(sorted(known), 300)
+    lattice = segment.Lattice(vocab, 0.5)
+    lattice.numbers([words])
+    numbers = set(known.values())
+    for w in words:
+        c = lattice.number[w]
+        for j in range(1, len(w) + 1):
+            node = int(lattice.first[c]) + j
+            arcs = range(int(lattice.begin[node]), int(lattice.begin[node + 1]))
+            got = {(int(lattice.start[x] - lattice.first[c]), int(lattice.piece[x])) for x in arcs}
+            assert {a for a in got if a[1] in numbers} == {(i, known[w[i:j]]) for i in range(j) if w[i:j] in known}
+    # what leaves the main path is kept once a chunk, not once a node; a worker's tasks share their chunks
+    assert len(lattice.leave) == len(lattice.number) and segment.lattice_of(model, 0.5) is segment.lattice_of(model, 0.5)
+    ids = np.array([known[w] for w in words[300:]])
+    assert vocab.decode(ids) == vocab.decode(ids.tolist()) == "".join(words[300:]).replace("▁", " ").removeprefix(" ") and vocab.decode([]) == ""
+
+
 def test_draws_do_not_depend_on_kept_chunks(model, monkeypatch):
     vocab, rng = segment.vocabulary(model), random.Random(3)
     texts = [" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(30)]
