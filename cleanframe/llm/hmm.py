@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanframe.llm.common import as_binary, ascii_lower, fold, keyed, words_of, written
+from cleanframe.llm.common import as_binary, fold, keyed, written
 
 #: Words that are symbols of their own: the most frequent, so many at most. All others share the classes.
 HEAD = 1 << 16
@@ -158,6 +158,23 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("cls", pa.array([word_class(w.encode()) for w in batch.column("word").to_pylist()], pa.int32()))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a partition with counts, handed on whenever there are more than MEMO: partial sums."""
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+
+    counts: Counter[bytes] = Counter()
+    for batch in batches:
+        for b in batch.column("_b"):
+            counts.update(b.as_py().lower().split())
+            if len(counts) > MEMO:
+                yield rows()
+                counts.clear()
+    if counts:
+        yield rows()
+
+
 def _encode(head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's symbols with its end, and its words outside the head with their counts."""
     symbols = Symbols(head)
@@ -165,7 +182,7 @@ def _encode(head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         for keys, words in _parts(batch):
             made = [symbols.of(w) for w in words]
             ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            rare = [Counter([w for w, s in zip(ws, x.tolist(), strict=False) if s >= symbols.head]) for ws, x in zip(words, made, strict=True)]
+            rare = [Counter(map(ws.__getitem__, np.flatnonzero(x[:-1] >= symbols.head).tolist())) for ws, x in zip(words, made, strict=True)]
             at = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()),
@@ -249,8 +266,8 @@ def scores(df: DataFrame, states: int = 8, warm: int = 8, full: int = 2, seed: i
     rows, plain = keyed(df, id_col, text_col)
     texts = as_binary(rows)
     train = rows.where(fold(F.col("_id"), modulo) != left)
-    each = train.select(F.explode(words_of(ascii_lower(F.coalesce("_text", F.lit(""))))).alias("word"))
-    words = written(each.groupBy("word").agg(F.count("*").alias("c")), "words")
+    each = as_binary(train).mapInArrow(_counted, "word string, c long")
+    words = written(each.groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = train.count()
     sizes = words.where(F.octet_length("word") <= HEAD_BYTES).groupBy("c").count().orderBy(F.desc("c"))
     total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())

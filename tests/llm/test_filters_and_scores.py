@@ -275,3 +275,17 @@ def test_early_steps_see_all_training_rows(spark, monkeypatch):
 def test_symbols(text):
     s = hmm.Symbols([b"a"])
     assert s.of(text.encode().split()).tolist()[-1] == s.end
+
+
+def test_words_are_counted_in_parts(monkeypatch):
+    import pyarrow as pa
+    from cleanframe.llm import hmm
+
+    monkeypatch.setattr(hmm, "MEMO", 3)
+    texts = ["A a\x0bb É é", "", "c d e f a", "b\x85b b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["_k", "_b"])
+    parts = list(hmm._counted(iter([batch, batch])))
+    got = {}
+    for r in (r for b in parts for r in b.to_pylist()):
+        got[r["word"]] = got.get(r["word"], 0) + r["c"]
+    assert len(parts) > 2 and got == {"a": 6, "b": 4, "É": 2, "é": 2, "c": 2, "d": 2, "e": 2, "f": 2, "b\x85b": 2}
