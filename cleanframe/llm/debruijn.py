@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -131,22 +132,26 @@ def _edges(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins edges that follow each other at their source, equally often repeated, to paths (start, edges, count)."""
     for batch in batches:
-        paths = []
-        for edges in batch.column("_firsts").to_pylist():
-            i = np.array([e["i"] for e in edges])
-            n = np.array([e["n"] for e in edges])
-            cut = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(n) != 0))))
-            size = np.diff(np.concatenate((cut, [len(i)])))
-            paths.append([{"start": int(a), "edges": int(b), "count": int(c)} for a, b, c in zip(i[cut], size, n[cut], strict=True)])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("edges", pa.int32()), ("count", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(paths, kind)], ["_k", "_paths"])
+        if not batch.num_rows:
+            continue
+        firsts = batch.column("_firsts")
+        at = firsts.offsets.to_numpy().astype(np.int64)
+        edges = firsts.flatten()
+        i, n = edges.field("i").to_numpy(), edges.field("n").to_numpy()
+        at -= at[0]
+        new = np.ones(len(i) + 1, bool)
+        new[1:-1] = (np.diff(i) != 1) | (np.diff(n) != 0)
+        new[at] = True
+        cut = np.flatnonzero(new)
+        paths = pa.StructArray.from_arrays([pa.array(i[cut[:-1]], pa.int32()), pa.array(np.diff(cut), pa.int32()), pa.array(n[cut[:-1]], pa.int64())], ["start", "edges", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.ListArray.from_arrays(pa.array(np.searchsorted(cut, at), pa.int32()), paths)], ["_k", "_paths"])
 
 
 def covered(n: int, window: int, starts: np.ndarray) -> np.ndarray:
-    """Which of n words are covered by windows at `starts`."""
+    """Which of n words are covered by windows at the distinct `starts`."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    edge[starts] = 1
+    edge[starts + window] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -165,12 +170,14 @@ def _kept(window: int, digest: bool, batches: Iterator[pa.RecordBatch]) -> Itera
             if places:
                 w = Words(b, window, memo)
                 starts = w.candidates(np.array(places, np.int64))
-                first = [np.arange(p["start"], p["start"] + p["edges"]) for p in paths or []]
-                later = np.setdiff1d(starts, np.concatenate(first)) if first else starts
+                own = np.zeros(w.n, bool)
+                for p in paths or []:
+                    own[p["start"] : p["start"] + p["edges"]] = True
+                later = starts[~own[starts]]
                 words = w.words
                 if len(later):
                     gone = covered(w.n, window, later)
-                    words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
+                    words = list(compress(words, (~gone).tolist()))
                 n = w.n
             else:
                 words = b.split()

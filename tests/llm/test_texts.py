@@ -444,3 +444,31 @@ def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
     assert found[0][0] == "heads" and len(found[0][1]) in (2, 3)
     assert found[1] == ("near", [(0, 1)])  # before the exact search, which finds no more
     assert found[2] == ("near", [])
+
+
+def test_paths_are_cut_in_numpy():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    firsts = [[{"i": i, "n": rng.choice([2, 2, 2, 3])} for i in range(60) if rng.random() < 0.8] or [{"i": 7, "n": 2}] for _ in range(1000)]
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(firsts, kind)], ["_k", "_firsts"])
+    want = []
+    for edges in firsts:
+        runs = []
+        for e in edges:
+            if runs and e["i"] == runs[-1]["start"] + runs[-1]["edges"] and e["n"] == runs[-1]["count"]:
+                runs[-1]["edges"] += 1
+            else:
+                runs.append({"start": e["i"], "edges": 1, "count": e["n"]})
+        want.append(runs)
+    for part in (batch, batch.slice(400, 300), batch.slice(0, 0)):
+        got = [r for b in debruijn._paths(iter([part])) for r in b.to_pylist()]
+        assert got == [{"_k": k, "_paths": want[k]} for k in part.column("_k").to_pylist()]
+    tracemalloc.start()
+    list(debruijn._paths(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * sum(map(len, firsts))  # no object an edge
