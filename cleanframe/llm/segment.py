@@ -15,6 +15,7 @@ from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ TABLE_BITS = 19
 KEPT = 80_000
 #: Characters of a chunk that is looked over for further cuts.
 LONG = 256
-#: Cells (place, piece length, chunk) of lattices built at once.
-CELLS = 1 << 20
+#: Cells (character, piece length) of lattices built at once.
+CELLS = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -159,6 +160,27 @@ def chunks(text: str) -> list[str]:
     return CHUNK.findall(BLANK + text.replace(BLANK, OWN_BLANK).replace(" ", BLANK)) if text else []
 
 
+def _spaced(text: str) -> str:
+    """The chunks of a text without blank signs, joined by spaces, which no chunk holds."""
+    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text:
+        return " ".join(chunks(text))
+    return (BLANK + text.replace(" ", " " + BLANK)).replace("\n", " \n ").replace("  ", " ").rstrip(" ")
+
+
+def distinct_chunks(vocab: Vocabulary, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(chunks of each text; distinct chunks in order of appearance; which of them each chunk is)."""
+    if not any(BLANK in t for t in texts):
+        spaced = [*map(_spaced, texts)]
+        joined = " ".join(filter(None, spaced))
+        coded = pc.split_pattern(pa.array([joined] if joined else [], pa.large_string()), " ").flatten().dictionary_encode()
+        if (pc.max(pc.utf8_length(coded.dictionary)).as_py() or 0) <= LONG:
+            return np.array([x.count(" ") + 1 if x else 0 for x in spaced], np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    each, number = [vocab.cut(chunks(t)) for t in texts], Numbers()
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    index = np.fromiter(map(number.__getitem__, chain.from_iterable(each)), np.int64, int(size.sum()))
+    return size, list(number), index
+
+
 class Numbers(dict):
     """Numbers strings in the order in which they are first asked for."""
 
@@ -190,10 +212,15 @@ class Lattice:
 
     def numbers(self, words: list[list[str]]) -> np.ndarray:
         """The numbers of all chunks, adding those that are new."""
+        every = list(chain.from_iterable(words))
+        return self.numbered(every, np.arange(len(every)))
+
+    def numbered(self, words: list[str], index: np.ndarray) -> np.ndarray:
+        """The numbers of the chunks words[index], adding those of `words` that are new."""
         if len(self.number) > KEPT:
             self._forget()
         known = len(self.number)
-        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[index]
         if len(self.number) > known:
             self._add(list(islice(reversed(self.number), len(self.number) - known))[::-1])
         used = np.bincount(out, minlength=len(self.number))
@@ -222,25 +249,19 @@ class Lattice:
         self.number = Numbers(zip(map(words.__getitem__, keep.tolist()), range(len(keep)), strict=True))
 
     def _add(self, words: list[str]) -> None:
-        """Builds the lattices of new chunks: blocks of chunks of about one length, a character a step for all."""
+        """Builds the lattices of new chunks: blocks of chunks, the longest first, a character a step for all."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        width = np.where(size <= 24, size, np.ceil(1.25 ** np.ceil(np.log(np.maximum(size, 1)) / np.log(1.25) - 1e-9))).astype(np.int64)
         first, off, known = np.empty(len(words), np.int64), np.empty(len(words)), len(self.first)
         made, nodes, arcs = [], self.nodes, len(self.start)
-        order = np.argsort(width, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
-            w = int(width[rows[0]])
-            step = max(1, CELLS // ((w + 1) * self.vocab.longest))
-            for i in range(0, len(rows), step):
-                some = rows[i : i + step]
-                degree, start, piece, q, cum, rest, off[some] = self._block([words[r] for r in some.tolist()], size[some], w)
-                base = np.cumsum(size[some] + 1) - size[some] - 1
-                first[some] = nodes + base
-                made.append((arcs + np.cumsum(degree), start + nodes, piece, q, cum, rest))
-                nodes, arcs = nodes + len(degree), arcs + len(start)
+        order = np.argsort(-size, kind="stable")
+        block = (np.cumsum(size[order]) - 1) // max(1, CELLS // self.vocab.longest)
+        for some in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+            degree, start, piece, q, cum, rest, off[some] = self._block([*map(words.__getitem__, some.tolist())], size[some])
+            first[some] = nodes + np.cumsum(size[some] + 1) - size[some] - 1
+            made.append((arcs + np.cumsum(degree), start + nodes, piece, q, cum, rest))
+            nodes, arcs = nodes + len(degree), arcs + len(start)
         for name, x in zip(("begin", "start", "piece", "q", "cum", "rest"), zip(*made, strict=True), strict=True):
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate((old, *[y.astype(old.dtype) for y in x])))
+            self._grow(name, x)
         self.first, self.last, self.leave = np.concatenate((self.first, first)), np.concatenate((self.last, first + size)), np.concatenate((self.leave, off))
         self.nodes = nodes
         fresh = np.arange(known, len(self.first))
@@ -249,104 +270,118 @@ class Lattice:
         who = np.sort(who)
         ids, owner = self.ids(_reversed(who, path), who)
         self.main_begin = np.concatenate((self.main_begin, self.main_begin[-1] + np.cumsum(np.bincount(owner, minlength=len(words)))))
-        self.main_ids = np.concatenate((self.main_ids, ids.astype(np.int32)))
-
-    def _block(self, words: list[str], size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        self._grow("main_ids", (ids,))
+
+    def _grow(self, name: str, parts: tuple[np.ndarray, ...]) -> None:
+        """Appends to an array, which is the front of a larger one while that has room."""
+        old = getattr(self, name)
+        n = len(old) + sum(map(len, parts))
+        room = old.base if old.base is not None and len(old.base) >= n else None
+        if room is None:
+            room = np.empty(n + n // 4, old.dtype)
+            room[: len(old)] = old
+        at = len(old)
+        for x in parts:
+            room[at : at + len(x)] = x
+            at += len(x)
+        setattr(self, name, room[:n])
+
+    def _block(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, ...]:
         """(arcs into each node; start node, piece, probability and cumulative probability of each arc; main path's
-        probability from each node back, and that of all other ways of each chunk) of chunks of at most `width` characters.
+        probability from each node back, and that of all other ways of each chunk) of chunks, the longest first.
 
-        Cells are [end, piece length - 1, chunk], so that all steps are sums of whole rows.
+        Nodes and arcs are first laid out by step: step j has a node of each chunk of j characters or more, those first.
         """
         vocab, count = self.vocab, len(words)
-        longest = min(width, vocab.longest)
-        char = np.zeros((count, width), np.uint32)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = np.arange(width) < size[:, None]
-        char[inside] = flat
-        char = np.ascontiguousarray(char.T)
+        char = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chunk = np.repeat(np.arange(count), size)
+        within = np.arange(len(char)) - np.repeat(np.cumsum(size) - size, size)
+        left = size[chunk] - within
+        edge = np.concatenate(([0], np.cumsum(np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="right"))))
+        before, after = edge[within] + chunk, edge[within + 1] + chunk
+        # all pieces, as (last character, length, entry); a character without a piece has an arc of its own
         code = char.astype(np.uint64) + np.uint64(1)
-        entry = np.zeros((width + 1, longest, count), np.int32)
-        entry[1:, 0] = vocab.entry(code)
-        code = code.ravel()
-        start, h, most = np.arange(len(code)), code, 1
-        for length in range(2, longest + 1):
+        found = [(np.arange(len(char)), 1, vocab.entry(code))]
+        start, h = found[0][0], code
+        for length in range(2, min(int(size[0]), vocab.longest) + 1):
             more = vocab.begins[vocab.slot(h)]
-            more[np.searchsorted(start, (width - length + 1) * count) :] = False
+            more &= left[start] >= length
             start = start[more]
             if not len(start):
                 break
-            h = h[more] * MULTIPLIER + code[start + (length - 1) * count]
+            h = h[more] * MULTIPLIER + code[start + (length - 1)]
             if length in vocab.lengths:
                 e = vocab.entry(h)
-                found = np.flatnonzero(e)
-                if len(found):
-                    row, column = np.divmod(start[found], count)
-                    entry[row + length, length - 1, column], most = e[found], length
-        entry, longest = entry[:, :most], most
-        if int(size.min()) < width:
-            entry.transpose(0, 2, 1)[np.arange(width + 1)[:, None] > size] = 0
-        score = vocab.logp[entry]
-        single = score[1:, 0]
-        single[single == -np.inf] = vocab.unknown
-        score *= self.smooth
-        alpha, total = np.zeros((width + 1, count)), np.zeros(score.shape)
-        best = np.zeros((width + 1, count), np.int64)
-        rest, leave = np.ones((width + 1, count)), np.zeros((width + 1, count))
-        column = np.arange(count)
-        for j in range(1, width + 1):
-            m = min(j, longest)
-            x = score[j, :m]
-            x += alpha[j - m : j][::-1]
-            top, b = x[0].copy(), best[j]
-            for r in range(1, m):
-                more = x[r] > top
-                np.copyto(top, x[r], where=more)
-                b[more] = r
-            x -= top
-            np.exp(x, out=x)
-            x[b, column] = 0.0
-            other = x.sum(axis=0)
-            alpha[j] = top + np.log1p(other)
-            first = 1 / (1 + other)
-            x *= first
-            run = total[j, :m]
-            run[0] = x[0]
-            for r in range(1, m):
-                np.add(run[r - 1], x[r], out=run[r])
-            run += first
-            x[b, column] = run[b, column] = first
-            rest[j] = first * rest[j - 1 - b, column]
-            leave[j] = other * first + first * leave[j - 1 - b, column]
-        # from cells to arcs by (chunk, end), the likeliest first
-        entry = np.ascontiguousarray(entry.transpose(2, 0, 1))
-        valid = entry > 0
-        valid[:, 1:, 0] = True
-        inside = np.arange(width + 1) <= size[:, None]
-        valid &= inside[:, :, None]
-        cells = np.flatnonzero(valid)
-        place, short = np.divmod(cells, longest)
-        chunk, place = np.divmod(place, width + 1)
-        end = (np.cumsum(size + 1) - size - 1)[chunk] + place
-        degree = np.bincount(end, minlength=int((size + 1).sum()))
+                some = np.flatnonzero(e)
+                if len(some):
+                    found.append((start[some] + (length - 1), length, e[some]))
+        degree = np.zeros(int(edge[-1]), np.int64)
+        ranks = []
+        for last, _, _ in found:
+            node = after[last]
+            ranks.append(degree[node])
+            degree[node] += 1
         begin = np.cumsum(degree) - degree
-        top = np.flatnonzero(short == best[place, chunk])
-        at = np.zeros(len(degree), np.int64)
-        at[end[top]] = top
-        to = np.arange(len(cells))
-        to += to < at[end]
-        to[top] = begin[end[top]]
-        flat = entry.ravel()[cells]
-        piece = vocab.id[flat].astype(np.int64)
-        unknown = np.flatnonzero(flat == 0)
-        c = char[place[unknown] - 1, chunk[unknown]].astype(np.int64)
+        arcs = int(degree.sum())
+        entry, end, source = np.empty(arcs, np.int32), np.empty(arcs, np.int64), np.empty(arcs, np.int64)
+        for (last, length, e), rank in zip(found, ranks, strict=True):
+            at = begin[after[last]] + rank
+            entry[at], end[at], source[at] = e, last, before[last - (length - 1)]
+        x = vocab.logp[entry]
+        x[entry == 0] = vocab.unknown
+        x *= self.smooth
+        owner = np.repeat(np.arange(len(degree)), degree)
+        alpha, first, top = np.zeros(len(degree)), np.zeros(len(degree)), np.zeros(len(degree), np.int64)
+        rest, leave = np.ones(len(degree)), np.zeros(len(degree))
+        for m, n in zip(edge[1:].tolist(), edge[2:].tolist(), strict=False):
+            a, b = int(begin[m]), int(begin[n]) if n < len(begin) else arcs
+            y, own, lead = x[a:b], owner[a:b] - m, begin[m:n] - a
+            y += alpha[source[a:b]]
+            most = np.maximum.reduceat(y, lead)
+            y -= most[own]
+            # of equals the first, the shortest
+            best = np.flatnonzero(y == 0)[::-1]
+            lead[own[best]] = best
+            np.exp(y, out=y)
+            y[lead] = 0.0
+            other = np.bincount(own, y, n - m)
+            alpha[m:n] = most + np.log1p(other)
+            sure = first[m:n] = 1 / (1 + other)
+            y *= sure[own]
+            top[m:n] = lead + a
+            back = source[top[m:n]]
+            rest[m:n] = sure * rest[back]
+            leave[m:n] = other * sure + sure * leave[back]
+        run = x.copy()
+        node, r = np.flatnonzero(degree > 1), 1
+        while len(node):
+            at = begin[node] + r
+            run[at] += run[at - 1]
+            r += 1
+            node = node[degree[node] > r]
+        run += first[owner]
+        some = np.flatnonzero(degree)
+        x[top[some]] = run[top[some]] = first[some]
+        # from steps to chunks, a node's likeliest arc first
+        place = np.empty(len(degree), np.int64)
+        place[:count] = np.cumsum(size + 1) - size - 1
+        place[after] = np.arange(len(char)) + chunk + 1
+        arcs_in, main = np.empty_like(degree), np.empty_like(rest)
+        arcs_in[place], main[place] = degree, rest
+        lead = (np.cumsum(arcs_in) - arcs_in)[place]
+        to = np.arange(arcs) + (lead - begin)[owner]
+        to += np.arange(arcs) < top[owner]
+        to[top[some]] = lead[some]
+        piece = vocab.id[entry].astype(np.int64)
+        unknown = np.flatnonzero(entry == 0)
+        c = char[end[unknown]].astype(np.int64)
         piece[unknown] = np.where(c < 128, vocab.ascii[np.minimum(c, 127)], -1 - c)
-        for x in set(c[c >= 128].tolist()):
-            self.spelled[-1 - x] = [vocab.byte_id[b] for b in (BLANK if x == ord(OWN_BLANK) else chr(x)).encode()]
-        cell = (place * longest + short) * count + chunk
-        start, pieces, q, cum = np.empty(len(cells), np.int64), np.empty(len(cells), np.int32), np.empty(len(cells)), np.empty(len(cells))
-        start[to], pieces[to], q[to], cum[to] = end - short - 1, piece, score.ravel()[cell], np.round(np.minimum(total.ravel()[cell], 1.0) / GRID) * GRID
-        cum[(begin + degree - 1)[degree > 0]] = 1.0
-        return degree, start, pieces, q, cum, rest.T[inside], leave[size, column]
+        for u in set(c[c >= 128].tolist()):
+            self.spelled[-1 - u] = [vocab.byte_id[b] for b in (BLANK if u == ord(OWN_BLANK) else chr(u)).encode()]
+        starts, pieces, q, cum = np.empty(arcs, np.int64), np.empty(arcs, np.int32), np.empty(arcs), np.empty(arcs)
+        starts[to], pieces[to], q[to], cum[to] = place[source], piece, x, np.round(np.minimum(run, 1.0) / GRID) * GRID
+        cum[(np.cumsum(arcs_in) - 1)[arcs_in > 0]] = 1.0
+        return arcs_in, starts, pieces, q, cum, main, leave[edge[size] + np.arange(count)]
 
     def _walk(self, at: np.ndarray, chunk: np.ndarray, draw, off: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(walker, step, arc) of walks from nodes `at` back to their chunks' first nodes.
@@ -444,9 +479,8 @@ class Sampler:
     """
 
     def __init__(self, lattice: Lattice, texts: list[str], seeds: list[int], k: int) -> None:
-        words = [lattice.vocab.cut(chunks(t)) for t in texts]
-        self.n = np.fromiter(map(len, words), np.int64, len(words))
-        self.chunk = lattice.numbers(words)
+        self.n, words, index = distinct_chunks(lattice.vocab, texts)
+        self.chunk = lattice.numbered(words, index)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
         self.begin = np.concatenate(([0], np.cumsum(self.n)))
         self.place = np.arange(len(self.chunk)) - self.begin[self.doc]

@@ -401,6 +401,34 @@ def test_blocks_find_all_pieces_and_no_longer_cells(model):
     assert vocab.decode(ids) == vocab.decode(ids.tolist()) == "".join(words[300:]).replace("▁", " ").removeprefix(" ") and vocab.decode([]) == ""
 
 
+def test_chunks_are_split_at_once_and_built_in_one_block(model, monkeypatch):
+    vocab, rng = segment.vocabulary(model), random.Random(9)
+    odd = ["", " ", "\n", "a", " a", "a ", "a  b", "a \nb", "a\n b", "\n\n a\n\n\nb\n", "x\x00 \ty\r\n é日 z", "\u00a0 a\u2028b", "w" * 300 + " w"]
+    odd += ["".join(rng.choice("ab \né") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    for texts in (odd, odd[:-301], ["a▁ b"] + odd, [""], []):
+        n, words, index = segment.distinct_chunks(vocab, texts)
+        want = [vocab.cut(segment.chunks(t)) for t in texts]
+        assert n.tolist() == [*map(len, want)] and [words[i] for i in index.tolist()] == [w for ws in want for w in ws] and len({*words}) == len(words)
+    # chunks of all lengths go in one block, whose draws are those of chunks built one by one
+    built, block = [], segment.Lattice._block
+    monkeypatch.setattr(segment.Lattice, "_block", lambda self, words, *more: built.append(len(words)) or block(self, words, *more))
+    words = sorted({"".join(rng.choice("▁aeinorstQé") for _ in range(rng.randint(1, 40))) for _ in range(200)})
+    whole, single = segment.Lattice(vocab, 0.5), segment.Lattice(vocab, 0.5)
+    whole.numbers([words])
+    assert built == [len(words)]
+    for w in words:
+        single.numbers([[w]])
+    for w in words:
+        got = []
+        for lat in (whole, single):
+            c = lat.number[w]
+            a, b = int(lat.first[c]), int(lat.last[c])
+            x, y = int(lat.begin[a]), int(lat.begin[b + 1])
+            ids = lat.main_ids[lat.main_begin[c] : lat.main_begin[c + 1]].tolist()
+            got.append((b - a, (lat.start[x:y] - a).tolist(), lat.piece[x:y].tolist(), lat.q[x:y].tolist(), lat.cum[x:y].tolist(), lat.rest[a : b + 1].tolist(), lat.leave[c], ids))
+        assert got[0] == got[1]
+
+
 def test_draws_do_not_depend_on_kept_chunks(model, monkeypatch):
     vocab, rng = segment.vocabulary(model), random.Random(3)
     texts = [" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(30)]
