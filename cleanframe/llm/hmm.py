@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ HEAD = 1 << 16
 CLASSES = 1 << 12
 #: Tokens of a training chain; a text's chains but the first start from the states' overall shares.
 CHAIN = 64
+#: Steps of a forward recursion between two scalings: a step's least factor is some 1e-18, and 1e-308 can be told from 0.
+SCALED = 8
 #: Longest word, in bytes, that can be in the head: bounds what the tasks get.
 HEAD_BYTES = 64
 #: Words outside the head whose symbols a task remembers.
@@ -30,6 +32,26 @@ def word_class(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[-3:] + bytes([min(len(word), 15)]), 42) % CLASSES
 
 
+@lru_cache(1 << 16)
+def _class_of_key(key: int) -> int:
+    n = key & 255
+    return word_class(bytes(max(0, n - 3)) + bytes(key >> 8 * i & 255 for i in range(min(n, 3), 0, -1)))
+
+
+def word_classes(words: pa.Array) -> np.ndarray:
+    """`word_class` of each word: found once for each ending and length."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, size, end = np.frombuffer(words.buffers()[2], np.uint8), np.diff(at), at[1:]
+    key = np.minimum(size, 15)
+    for i in (1, 2, 3):
+        some = np.flatnonzero(size >= i)
+        key[some] |= data[end[some] - i].astype(np.int64) << 8 * i
+    keys, which = np.unique(key, return_inverse=True)
+    return np.array([*map(_class_of_key, keys.tolist())], np.int32)[which]
+
+
 class Symbols(dict):
     """Symbol of each word: head words by rank, others by class; the last symbol is a text's end.
 
@@ -122,73 +144,98 @@ class Model:
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")
         flat = np.concatenate([texts[i] for i in order])
-        begin = np.concatenate(([0], np.cumsum(size[order])[:-1]))
-        total = np.zeros(len(texts))
+        at = np.concatenate(([0], np.cumsum(size[order])[:-1]))
         steps = int(size[order[0]])
-        live = np.searchsorted(-size[order], -np.arange(steps), side="left")
-        x = None
-        for t in range(steps):
+        live = np.searchsorted(-size[order], -np.arange(steps), side="left").tolist()
+        total, x = np.zeros(len(texts)), self.start * self.emit[flat[at]]
+        for t in range(1, steps):
             n = live[t]
-            e = self.emit[flat[begin[:n] + t]]
-            x = self.start * e if x is None else (x[:n] @ self.move) * e
-            s = x.sum(axis=1)
-            total[:n] += np.log10(s)
-            x /= s[:, None]
+            if t % SCALED == 0:
+                s = x[:n].sum(axis=1)
+                total[:n] += np.log10(s)
+                x[:n] /= s[:, None]
+            at = at[:n] + 1
+            np.multiply(x[:n] @ self.move, self.emit[flat[at]], out=x[:n])
+        # a text that has ended keeps its last step
+        total += np.log10(x.sum(axis=1))
         out = np.zeros(len(texts))
         out[order] = total
         return out
 
 
-def _parts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """Keys and lower-cased words of rows, some `most` bytes at a time."""
-    keys, words, size = [], [], 0
-    for k, b in zip(batch.column("_k").to_pylist(), batch.column("_b").to_pylist(), strict=True):
-        keys.append(k)
-        words.append(b.lower().split())
-        size += len(b)
-        if size >= most:
-            yield keys, words
-            keys, words, size = [], [], 0
-    if keys:
-        yield keys, words
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words of each text, all words as bytes): A-Z lower-cased, split at white space."""
+    # views, not casts: a cast of a slice to another width of offsets is wrong in this version of Arrow
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, ends = lists.flatten().view(pa.binary()), lists.offsets.to_numpy()
+    # white space at a text's ends leaves empty words
+    full = pc.greater(pc.binary_length(words), 0)
+    kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return np.diff(kept[ends - ends[0]]), words.filter(full)
+
+
+def _parts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """Keys, words of each text and all words of rows, some `most` bytes at a time."""
+    keys, texts = batch.column("_k"), batch.column("_b")
+    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    row = 0
+    while row < len(texts):
+        upto = min(len(texts), max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + most, side="left")) + 1))
+        yield keys.slice(row, upto - row), *_words(texts.slice(row, upto - row))
+        row = upto
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.append_column("cls", pa.array([word_class(w.encode()) for w in batch.column("word").to_pylist()], pa.int32()))
+        yield batch.append_column("cls", pa.array(word_classes(batch.column("word"))))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a partition with counts, handed on whenever there are more than MEMO: partial sums."""
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+    def rows(counts: pa.Table) -> list[pa.RecordBatch]:
+        return [pa.RecordBatch.from_arrays([b.column("word").view(pa.string()), b.column("c")], ["word", "c"]) for b in counts.to_batches(max_chunksize=MEMO)]
 
-    counts: Counter[bytes] = Counter()
+    counts, held = None, 0
     for batch in batches:
-        for b in batch.column("_b"):
-            counts.update(b.as_py().lower().split())
-            if len(counts) > MEMO:
-                yield rows()
-                counts.clear()
-    if counts:
-        yield rows()
+        for _, _, words in _parts(batch):
+            v = words.value_counts()
+            new = pa.table([v.field("values"), v.field("counts")], ["word", "c"])
+            counts, held = new if counts is None else pa.concat_tables([counts, new]), held + len(new)
+            if held > 2 * MEMO:
+                counts = counts.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+                held = len(counts)
+                if held > MEMO:
+                    yield from rows(counts)
+                    counts, held = None, 0
+    if counts is not None:
+        yield from rows(counts.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]))
 
 
 def _encode(head: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's symbols with its end, and its words outside the head with their counts."""
-    symbols = Symbols(head)
+    first, heads = len(head), pa.array(head, pa.binary())
     for batch in batches:
-        for keys, words in _parts(batch):
-            made = [symbols.of(w) for w in words]
-            ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            rare = [Counter(map(ws.__getitem__, np.flatnonzero(x[:-1] >= symbols.head).tolist())) for ws, x in zip(words, made, strict=True)]
-            at = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
+        for keys, size, words in _parts(batch):
+            coded = words.dictionary_encode()
+            kinds, which = coded.dictionary, coded.indices.to_numpy()
+            symbol = pc.fill_null(pc.index_in(kinds, heads), -1).to_numpy().copy()
+            other = np.flatnonzero(symbol < 0)
+            symbol[other] = first + word_classes(kinds.take(pa.array(other)))
+            ends = np.cumsum(size + 1)
+            made = np.full(int(ends[-1]), first + CLASSES, np.int32)
+            text = np.repeat(np.arange(len(size)), size)
+            made[np.arange(len(which)) + text] = symbol[which]
+            # rare words by (text, word)
+            far = np.flatnonzero((symbol >= first)[which])
+            pairs, times = np.unique(text[far] * len(kinds) + which[far], return_counts=True)
+            at = pa.array(np.searchsorted(pairs, np.arange(len(size) + 1) * len(kinds)).astype(np.int32))
+            rare = kinds.take(pa.array(pairs % max(1, len(kinds))))
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made))),
-                pa.ListArray.from_arrays(at, pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string())),
-                pa.ListArray.from_arrays(at, pa.array([n for c in rare for n in c.values()], pa.int64())),
+                keys.cast(pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(made)),
+                pa.ListArray.from_arrays(at, rare.view(pa.string())),
+                pa.ListArray.from_arrays(at, pa.array(times, pa.int64())),
             ], ["_k", "s", "rare", "times"])
 
 

@@ -289,3 +289,49 @@ def test_words_are_counted_in_parts(monkeypatch):
     for r in (r for b in parts for r in b.to_pylist()):
         got[r["word"]] = got.get(r["word"], 0) + r["c"]
     assert len(parts) > 2 and got == {"a": 6, "b": 4, "É": 2, "é": 2, "c": 2, "d": 2, "e": 2, "f": 2, "b\x85b": 2}
+
+
+def test_words_become_symbols_without_an_object_each(monkeypatch):
+    import pyarrow as pa
+    from cleanframe.llm import hmm
+
+    rng = random.Random(5)
+    texts = ["", " ", "A a\x0bb É é\x00 \x00", "\tab\r\n", "x\u00a0y\x85z ÀÉ à", "".join(rng.choice("aB é\n…") for _ in range(400)), "w" * 40 + " Q", "q q"]
+    head = [b"a", "é".encode(), b"ab"]
+    monkeypatch.setattr(hmm.Symbols, "__missing__", lambda self, word: self.head + hmm.word_class(word))
+    symbols = hmm.Symbols(head)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["_k", "_b"])
+    asked, of = [], hmm.word_class
+    monkeypatch.setattr(hmm, "word_class", lambda word: asked.append(word) or of(word))
+    hmm._class_of_key.cache_clear()
+    got = [r for b in hmm._encode(head, iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+    # a class is found once for each ending and length
+    assert len({(w[-3:], min(len(w), 15)) for w in asked}) == len(asked)
+    monkeypatch.setattr(hmm, "word_class", of)
+    assert [r["_k"] for r in got] == [*range(len(texts))]
+    for r, t in zip(got, texts, strict=True):
+        words = t.encode().lower().split()
+        assert r["s"] == symbols.of(words).tolist()
+        rare = [w.decode() for w in words if w not in head]
+        assert len(r["rare"]) == len(r["times"]) and dict(zip(r["rare"], r["times"], strict=True)) == {w: rare.count(w) for w in rare}
+    words = pa.array([b"", b"a", "é".encode(), b"abc", b"abcd", b"x" * 14, b"x" * 15, b"x" * 16, b"\x00a"], pa.binary())
+    assert hmm.word_classes(words).tolist() == [of(w) for w in words.to_pylist()] and hmm.word_classes(words[3:]).tolist() == [of(w) for w in words[3:].to_pylist()]
+
+
+def test_forward_recursion_is_scaled_now_and_then():
+    from cleanframe.llm import hmm
+
+    rng = np.random.default_rng(6)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = hmm.Model(norm(rng.random(3)), norm(rng.random(3)), norm(rng.random((3, 3))), rng.random((5, 3)) * 1e-18)
+    texts = [rng.integers(0, 5, n) for n in (1, 2, 7, 8, 9, 16, 17, 40, 3, 500)]
+    made = []
+    log10 = np.log10
+    got = model.log10(texts)
+    for t in texts:
+        x, total = model.start * model.emit[t[0]], 0.0
+        for s in t[1:]:
+            total += log10(x.sum())
+            x = (x / x.sum() @ model.move) * model.emit[s]
+        made.append(total + log10(x.sum()))
+    assert got == pytest.approx(made, rel=1e-12)
