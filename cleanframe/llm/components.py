@@ -12,6 +12,11 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    """`u, v`: a star for each group of `components`. They make the same groups, in one round of a next search."""
+    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """`node, root` for every node of `links(u long, v long)`; root is the smallest node reachable.
 

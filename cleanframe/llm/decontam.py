@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanframe.llm.common import as_binary, keyed, ship
+from cleanframe.llm.common import as_binary, keyed, lean, ship
 
 #: Test items go to the tasks in blocks of about so many bytes; more items mean more passes, never fewer items.
 BLOCK_BYTES = 8 << 20
@@ -123,6 +123,7 @@ def _find(make: Callable[[], Matcher], batches: Iterator[pa.RecordBatch]) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_k", "item_id", "distance", "start_word", "end_word"])
 
 
+@lean
 def _clean(make: Callable[[], Matcher], text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     matcher = make()
     for batch in batches:

@@ -12,15 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanframe.llm.common import as_binary, fold, keyed, ship
+from cleanframe.llm.common import as_binary, fold, keyed, lean, ship
 
 #: Bytes of a window, widths and number of the filters, size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: A byte's class: letters by themselves without case, bytes from 128 by themselves, all other bytes as 0.
 CLASSES = 1 + 26 + 128
 CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 128 + 27 if b >= 128 else 0 for b in range(256)], np.int16)
-#: Windows that a task holds at once.
-BATCH = 512
+#: Windows that a task holds at once, and those of them whose places are all held.
+BATCH, PLACES = 512, 64
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -107,9 +107,12 @@ class ByteNet:
             x = CLASS[np.frombuffer(padded, np.uint8, min(BATCH, len(owner) - i) * WINDOW, i * WINDOW)].astype(np.int32).reshape(-1, WINDOW)
             pairs = x[:, :-1] * CLASSES + x[:, 1:]
             # a filter's place needs all the bytes of the widest one: the last three places of a window have none
-            z = ahead[pairs[:, :-2]]
-            z[:, :, FILTERS:] += behind[pairs[:, 2:]]
-            a = np.maximum(z.max(axis=1) + self.bias, 0) @ self.out + self.top
+            most = np.empty((len(x), ahead.shape[1]), np.float32)
+            for j in range(0, len(x), PLACES):
+                z = ahead[pairs[j : j + PLACES, :-2]]
+                z[:, :, FILTERS:] += behind[pairs[j : j + PLACES, 2:]]
+                z.max(axis=1, out=most[j : j + PLACES])
+            a = np.maximum(most + self.bias, 0) @ self.out + self.top
             p = np.exp(a - a.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             letters = (x > 0).sum(axis=1)
@@ -183,6 +186,7 @@ def _predict(net: ByteNet | None, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["_k", "lang_pred", "score"])
 
 
+@lean
 def _keep(net: ByteNet | None, least: float, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index(text_col)

@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanframe.llm.common import as_binary, dropped, keyed, written
-from cleanframe.llm.components import components
+from cleanframe.llm.common import as_binary, dropped, keyed, lean, written
+from cleanframe.llm.components import components, stars
 
 #: Shingles whose bits are unpacked at once: bounds a task's memory for texts of any length.
 CHUNK = 1 << 15
@@ -161,7 +161,7 @@ def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int,
     most = written(strangers.join(members.where("s = top"), "_key").where(near).select(*pair).distinct(), "most")
     dropped(groups, tops, strangers)
     # a star for each group of the first step: the caller's search for components starts from it
-    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest).union(most)
+    return stars(roots).union(rest).union(most)
 
 
 def fingerprint_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, radius: int = 4) -> DataFrame:
@@ -185,6 +185,7 @@ def fingerprint_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     return out.join(ids, "_k").join(smallest, "_c").select(F.col("_id").alias(id_col), hexed, "component_id")
 
 
+@lean
 def _jaccard(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         like = []
@@ -199,6 +200,7 @@ def _hashes(text: bytes, ngram: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(t) for t in set(shingles(text, ngram))], np.uint64)).view(np.int64)
 
 
+@lean
 def _set_of(ngram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array([_hashes(b, ngram) for b in batch.column("_b").to_pylist()], pa.list_(pa.int64()))], ["k", "h"])
@@ -221,6 +223,7 @@ def _frequent(texts: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     return got["t"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
+@lean
 def _marked(ngram: int, longs: int, similarity: float, often: tuple[np.ndarray, np.ndarray], much: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, counts = often
     for batch in batches:
@@ -326,7 +329,7 @@ def _inside(members: DataFrame, first: DataFrame, similarity: float) -> DataFram
             targets = placed.join(parts, "home").select("k", "home", "h", "r", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.lit(False).alias("probe"))
             groups = asked.select("k", "home", "h", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "p", F.lit(True).alias("probe")).union(targets)
         more = groups.groupBy("home", "b", "p").applyInPandas(compare, "u long, v long")
-        found = written(found.union(more), "found")
+        found = written(stars(roots).union(more), "found")
     dropped(members)
     return found
 
@@ -394,7 +397,7 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
     other = open_.select("t", F.col("u").alias("v"), F.col("r").alias("s"), F.col("o").alias("q"), F.col("f").alias("g"), F.col("m").alias("n"))
     met = open_.join(other, (open_["t"] == other["t"]) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & (F.col("o") != F.col("q")) & maybe)
     met = met.select("u", "v").distinct().join(led.select("u", "v"), ["u", "v"], "left_anti")
-    linked = inner.union(real(met))
+    linked = stars(roots).union(real(met))
     dropped(shared, placed, open_)
     named = nodes.join(components(linked), F.col("u") == F.col("node"), "left").select("_set", F.coalesce("root", "u").alias("_c"))
     return marks.select("_k", "_set").join(named, "_set").select("_k", "_c")

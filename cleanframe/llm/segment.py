@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanframe.llm.common import as_binary, keyed, ship
+from cleanframe.llm.common import as_binary, keyed, lean, ship
 
 BLANK = "▁"
 #: Stands for a blank sign that is in the text itself; no UTF-8 text holds it.
@@ -35,7 +35,7 @@ GRID = 2.0**-30
 #: Slots, as a power of two, of the table in which pieces are looked up.
 TABLE_BITS = 19
 #: Distinct chunks whose lattices a task keeps.
-KEPT = 80_000
+KEPT = 40_000
 #: Characters of a chunk that is looked over for further cuts.
 LONG = 256
 #: Cells (character, piece length) of lattices built at once.
@@ -718,6 +718,7 @@ def _inclusion(logp: float, kappa: float) -> float:
 SAMPLE_FIELDS = "sample int, ids array<int>, log_prob double, inclusion double"
 
 
+@lean
 def _sample(model_file: str, k: int, alpha: float, seed: int, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(model_file)
     lattice = lattice_of(model_file, alpha)

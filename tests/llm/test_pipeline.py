@@ -1,8 +1,16 @@
 from __future__ import annotations
 
+import random
+import re
+import tracemalloc
+from pathlib import Path
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from cleanframe.llm import common, components, langid, neardup, segment
+from cleanframe.llm.queries import piece_model
 
 
 def test_stages_in_order(spark, tmp_path):
@@ -30,3 +38,58 @@ def test_stages_in_order(spark, tmp_path):
     assert set(seen["sentencepiece"]) == set(seen["benchmark_decontamination"])
     assert all(r.round_trip for r in at.collect())
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, at.collect()))
+
+
+def test_freed_memory_goes_back_between_batches():
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("needs Linux")
+    anon = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    @common.lean
+    def task(n):
+        for _ in range(n):
+            held = [b"x" * 60_000 for _ in range(2000)]
+            pin = [held[i] for i in range(0, 2000, 100)]
+            del held
+            yield pin
+
+    before = anon()
+    run = task(2)
+    next(run), next(run)
+    assert list(run) == [] and anon() - before < 40
+
+
+def test_filters_hold_few_places_at_once():
+    net, rng = langid.ByteNet(["a", "b"]), random.Random(3)
+    text = bytes(rng.randrange(97, 123) for _ in range(langid.BATCH * langid.WINDOW))
+    net.predict([text])
+    tracemalloc.start()
+    net.predict([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+
+
+def test_kept_lattices_are_small():
+    vocab = segment.vocabulary(pytest.importorskip("public_tokenizers") and piece_model())
+    lattice, rng = segment.Lattice(vocab, 0.5), random.Random(5)
+    for _ in range(30):
+        words = list({segment.BLANK + "".join(rng.choice("aeinorst") for _ in range(7)) for _ in range(3000)})
+        lattice.numbered(words, np.arange(len(words)))
+    held = {id(x.base if x.base is not None else x): x.base.nbytes if x.base is not None else x.nbytes for x in vars(lattice).values() if isinstance(x, np.ndarray)}
+    assert sum(held.values()) < 45 << 20
+
+
+def test_groups_found_before_cost_one_round(spark, monkeypatch):
+    made, real = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, what: made.append(what) or real(df, what))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    roots = components.components(links)
+    made.clear()
+    again = components.components(components.stars(roots))
+    assert len(made) == 2 and sorted(again.collect()) == sorted(roots.collect())
+    # each search for groups of near copies but the first starts from the groups of the one before
+    made.clear()
+    rows = [(i, " ".join(f"w{j}" for j in range(10 * i, 10 * i + 200))) for i in range(12)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.group_id for r in got.collect()} == {0} and len(made) <= 9
