@@ -21,8 +21,11 @@ from cleanframe.llm.components import components, stars
 CHUNK = 1 << 15
 #: Bits of a segment at least: shorter ones fill unevenly. A key looked up costs as much as KEY_COST comparisons.
 NARROW, KEY_COST = 21, 50
-#: Ids of rows to drop are broadcast up to so many (8 MB); beyond that they are joined by shuffle.
+#: Ids of rows to drop are broadcast up to so many (8 MB); beyond that they are joined by shuffle. Tables that Spark may size
+#: too low are never broadcast beyond so many rows.
 BROADCAST_IDS = 1_000_000
+#: Texts of more bytes in all are not broadcast either: some are a twentieth of that as files.
+BROADCAST_BYTES = 64 << 20
 #: Shingles that come last in prefixes: the most frequent of every SAMPLE-th text, so many at most.
 SAMPLE, FREQUENT = 16, 100_000
 #: Sets of fewer shingles have no verdict by fingerprint: their bits are too few votes to follow the angle.
@@ -114,14 +117,23 @@ def _stored(segments: list[tuple[int, int, int]], rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(F.array(*[F.xxhash64(F.lit(s), _segment(s, at, w)) for s, (at, w, _) in enumerate(segments)])).alias("_key"))
 
 
+def _unless_many(df: DataFrame) -> DataFrame:
+    """`df`, made by `written`, for a join that sorts and merges beyond BROADCAST_IDS rows.
+
+    Spark goes by the compressed files, of which it takes a share by types: of a binary beside it an id gets too little."""
+    return df if df.count() <= BROADCAST_IDS else df.hint("merge")
+
+
 def _asked(segments: list[tuple[int, int, int]], rows: DataFrame) -> DataFrame:
-    """A row for each value of each segment's Hamming ball, as `_key`."""
+    """A row for each value of each segment's Hamming ball, as `_key`, for a join that sorts and merges.
+
+    Spark sizes them as if there were one a row, and would broadcast 45 times its bound."""
 
     def around(s: int, at: int, width: int, within: int) -> Column:
         masks = ", ".join(f"{m - (1 << 64) if m >= 1 << 63 else m}L" for m in ball(width, within))
         return F.transform(F.expr(f"array({masks})"), lambda m: F.xxhash64(F.lit(s), _segment(s, at, width).bitwiseXOR(m)))
 
-    return rows.select("*", F.explode(F.concat(*[around(s, *x) for s, x in enumerate(segments)])).alias("_key"))
+    return rows.select("*", F.explode(F.concat(*[around(s, *x) for s, x in enumerate(segments)])).alias("_key")).hint("merge")
 
 
 def leading_pairs(marks: DataFrame, radius: int, segments: list[tuple[int, int, int]]) -> DataFrame:
@@ -343,7 +355,8 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
     texts = rows.select("_k", F.coalesce("_text", F.lit("")).alias("_text"))
     marks = written(as_binary(texts).mapInArrow(partial(_marked, ngram, longs, similarity, _frequent(texts, ngram), HOT), MARKS), "sketches")
     nodes = written(marks.groupBy("_set").agg(F.min("_k").alias("u")), "nodes")
-    tokens = marks.join(nodes.select(F.col("u").alias("_k")), "_k", "left_semi").select(F.col("_k").alias("u"), F.col("_prefix").alias("cold"), F.col("_hot").alias("hot"))
+    firsts = _unless_many(nodes).select(F.col("u").alias("_k"))
+    tokens = marks.join(firsts, "_k", "left_semi").select(F.col("_k").alias("u"), F.col("_prefix").alias("cold"), F.col("_hot").alias("hot"))
     shared = written(_buckets(tokens), "shared")
     mark = lambda c, f, n: marks.select(F.col("_k").alias(c), F.col("_f").alias(f), F.col("_n").alias(n))
     d, small = differing(F.col("f"), F.col("g"), longs), F.least("m", "n") < FEW
@@ -359,14 +372,16 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
             # few of all texts: those that aren't needed stay where they are
             wanted = F.broadcast(wanted)
         shown = written(binary.join(wanted, "_k", "left_semi"), "shown")
-        both = seen.join(shown.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(shown.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
+        long = (shown.agg(F.sum(F.octet_length("_b"))).first()[0] or 0) > BROADCAST_BYTES
+        sides = shown.hint("merge") if long else shown
+        both = seen.join(sides.select(F.col("_k").alias("u"), F.col("_b").alias("a")), "u").join(sides.select(F.col("_k").alias("v"), F.col("_b").alias("b")), "v")
         held = both.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, ngram), "u long, v long, like double").where(F.col("like") >= similarity)
         out = written(held.select("u", "v"), "near")
         dropped(seen, shown)
         return out
 
     # by SimHash: fingerprints of 64 bits, equal or found by multi-index hashing, their texts verified whole
-    prints = marks.join(nodes.select(F.col("u").alias("_k")), "_k", "left_semi").select(F.col("_k").alias("u"), F.col("_f")[0].alias("f"))
+    prints = marks.join(firsts, "_k", "left_semi").select(F.col("_k").alias("u"), F.col("_f")[0].alias("f"))
     heads = written(prints.groupBy("f").agg(F.min("u").alias("u")), "heads")
     equal = prints.join(heads.select("f", F.col("u").alias("v")), "f").where("u <> v").select("u", "v")
     close = leading_pairs(heads, RADIUS, segments_for(RADIUS, heads.count())).union(equal)
@@ -394,7 +409,8 @@ def _groups(rows: DataFrame, ngram: int, similarity: float, longs: int) -> DataF
     placed = written(placed, "placed")
     mixed = placed.groupBy("t").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.min("o").alias("z"), F.max("o").alias("w"), F.count(F.lit(1)).alias("c")).where("x <> y and z <> w and c > 2").select("t")
     open_ = written(placed.join(mixed, "t", "left_semi").join(mark("u", "f", "m"), "u"), "open")
-    other = open_.select("t", F.col("u").alias("v"), F.col("r").alias("s"), F.col("o").alias("q"), F.col("f").alias("g"), F.col("m").alias("n"))
+    # merged: fingerprints that repeat in each bucket are many times their files' size when read
+    other = open_.select("t", F.col("u").alias("v"), F.col("r").alias("s"), F.col("o").alias("q"), F.col("f").alias("g"), F.col("m").alias("n")).hint("merge")
     met = open_.join(other, (open_["t"] == other["t"]) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("s")) & (F.col("o") != F.col("q")) & maybe)
     met = met.select("u", "v").distinct().join(led.select("u", "v"), ["u", "v"], "left_anti")
     linked = stars(roots).union(real(met))

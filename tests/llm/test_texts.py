@@ -500,3 +500,29 @@ def test_paths_are_cut_in_numpy():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 * sum(map(len, firsts))  # no object an edge
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_look_ups_are_not_broadcast(spark):
+    """Spark sizes a fingerprint's 45 look-ups as one row."""
+    plan = plan_of(neardup.leading_pairs(spark.range(1000).selectExpr("id AS u", "xxhash64(id) AS f"), 4, neardup.segments_for(4, 1000)))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_near_copies_broadcast_no_more_than_the_bound(spark, monkeypatch):
+    plans, real = {}, neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, what: plans.setdefault(what, []).append(plan_of(df)) or real(df, what))
+    words = lambda a: [f"{a}{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([words("x"), [*words("x"), "end"], words("y")])], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+    few = plans.copy()
+    plans.clear()
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
+    assert {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+    assert "LeftSemi, BuildRight" in few["shared"][0] and "LeftSemi, BuildRight" not in plans["shared"][0]
+    assert "BroadcastHashJoin [t" not in plans["pairs"][-1]
+    assert "BroadcastHashJoin" in few["near"][0] and "BroadcastHashJoin" not in plans["near"][0]
