@@ -162,7 +162,8 @@ def joining_links(marks: DataFrame, radius: int, segments: list[tuple[int, int,
     sizes = stored(groups).groupBy("_key", "r").agg(F.count(F.lit(1)).alias("c"), F.bit_and("f").alias("ones"), F.bit_or("f").alias("any"))
     tops = sizes.groupBy("_key").agg(F.max_by(F.struct("r", "ones", "any"), "c").alias("t"))
     tops = written(tops.select("_key", F.col("t.r").alias("top"), F.col("t.ones").alias("ones"), F.col("t.any").alias("any")), "tops")
-    members = stored(groups).join(tops.select("_key", "top"), "_key").select("_key", F.col("f").alias("g"), F.col("r").alias("s"), "top")
+    # merged, for what Spark sizes exploded rows and files of like rows at is too low to broadcast them
+    members = stored(groups).hint("merge").join(tops.select("_key", "top"), "_key").select("_key", F.col("f").alias("g"), F.col("r").alias("s"), "top").hint("merge")
     # bits that all members of the largest group share: one as far from them is near no member, one alone is measured whole
     apart = F.bit_count(F.col("f").bitwiseXOR(F.col("ones")).bitwiseAND(F.bitwise_not(F.col("ones").bitwiseXOR(F.col("any")))))
     pair = (F.least("r", "s").alias("u"), F.greatest("r", "s").alias("v"))
@@ -188,7 +189,8 @@ def fingerprint_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = written(marks.groupBy(F.col("_f")[0].alias("f")).agg(F.min("_k").alias("u")), "nodes")
     roots = components(joining_links(nodes, radius, segments_for(radius, nodes.count())))
     named = nodes.join(roots, nodes["u"] == roots["node"], "left").select("f", F.coalesce("root", "u").alias("_c"))
-    out = marks.join(named, marks["_f"][0] == named["f"])
+    # copies' fingerprints take next to nothing in files
+    out = _unless_many(marks).join(named, F.col("_f")[0] == F.col("f"))
     hexed = F.lpad(F.lower(F.hex(F.col("_f")[0])), 16, "0").alias("fingerprint")
     if plain:
         return out.select(F.col("_k").alias(id_col), hexed, F.col("_c").alias("component_id"))

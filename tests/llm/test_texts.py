@@ -526,3 +526,14 @@ def test_near_copies_broadcast_no_more_than_the_bound(spark, monkeypatch):
     assert "LeftSemi, BuildRight" in few["shared"][0] and "LeftSemi, BuildRight" not in plans["shared"][0]
     assert "BroadcastHashJoin [t" not in plans["pairs"][-1]
     assert "BroadcastHashJoin" in few["near"][0] and "BroadcastHashJoin" not in plans["near"][0]
+
+
+def test_simhash_groups_broadcast_no_look_ups(spark, monkeypatch):
+    plans, real = {}, neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, what: plans.setdefault(what, plan_of(df)) and real(df, what))
+    df = spark.createDataFrame([(i, f"w{i // 2} x y z " * 9) for i in range(20)], "doc_id long, text string")
+    out = neardup.fingerprint_components(df)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 2 * 2 for i in range(20)}
+    assert all("BroadcastHashJoin" not in plans[x] for x in ("first", "rest", "strangers", "most"))
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    assert "BroadcastHashJoin [_f" in plan_of(out) and "BroadcastHashJoin [_f" not in plan_of(neardup.fingerprint_components(df))
